@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from docketry.llm import line_dedup
 from docketry.llm.line_dedup import op3_line_dedup
+from docketry.llm.quality_rules import op2_quality_rules
 from docketry.llm.simhash_dedup import op1_simhash_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_line_dedup)}
 
 SQL: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL}
