@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from docketry.llm import line_dedup
-from docketry.llm.line_dedup import op3_line_dedup
-from docketry.llm.quality_rules import op2_quality_rules
-from docketry.llm.simhash_dedup import op1_simhash_dedup
+from docketry.llm import decontamination, line_dedup, quality_rules, simhash_dedup, url_filters
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        simhash_dedup.op1_simhash_dedup,
+        quality_rules.op2_quality_rules,
+        line_dedup.op3_line_dedup,
+        url_filters.op5_url_filters,
+        decontamination.op10_benchmark_decontamination,
+    )
+}
 
-SQL: dict[str, str] = {"op3_line_dedup": line_dedup.OP3_SQL}
+SQL = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op5_url_filters": url_filters.OP5_SQL,
+    "op10_benchmark_decontamination": decontamination.OP10_SQL,
+}
