@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontamination, line_dedup, quality_rules, simhash_dedup, url_filters
+from docketry.llm import decontamination, line_dedup, packing, quality_rules, simhash_dedup, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         simhash_dedup.op1_simhash_dedup,
         quality_rules.op2_quality_rules,
         line_dedup.op3_line_dedup,
+        packing.op4_packing,
         url_filters.op5_url_filters,
         decontamination.op10_benchmark_decontamination,
     )
