@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import chat_templates, decontamination, line_dedup, packing, quality_rules, simhash_dedup, url_filters
+from docketry.llm import chat_templates, decontamination, line_dedup, packing, quality_rules, simhash_dedup, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         line_dedup.op3_line_dedup,
         packing.op4_packing,
         url_filters.op5_url_filters,
+        warc.op6_warc,
         chat_templates.op9_chat_formatting,
         decontamination.op10_benchmark_decontamination,
     )
