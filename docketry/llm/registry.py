@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import chat_templates, decontamination, line_dedup, packing, quality_crf, quality_rules, simhash_dedup, url_filters, warc
+from docketry.llm import chat_templates, decontamination, line_dedup, packing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         packing.op4_packing,
         url_filters.op5_url_filters,
         warc.op6_warc,
+        toxicity.op7_toxicity,
         quality_crf.op8_quality_classifier,
         chat_templates.op9_chat_formatting,
         decontamination.op10_benchmark_decontamination,
