@@ -215,26 +215,24 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     included; an empty table or benchmark changes nothing.
     """
     found = find_contamination(docs, benchmark, window)
-    schema = docs.schema
-    at = docs.columns.index("text")
-    has_n = "n_chars" in docs.columns
+    schema, names = docs.schema, docs.columns
+    at, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {i: s for i, s in enumerate(batch.column("__spans").to_pylist()) if s}
-            columns = [batch.column(i) for i in range(len(schema))]
+            columns = [batch.column(i) for i in range(len(names))]
             if rows:
                 texts = columns[at].to_pylist()
                 for i, flat in rows.items():
                     texts[i] = without_spans(texts[i], list(zip(flat[::2], flat[1::2], strict=True)))
                 columns[at] = pa.array(texts, columns[at].type)
-                if has_n:
-                    n = docs.columns.index("n_chars")
+                if n is not None:
                     counts = columns[n].to_pylist()
                     for i in rows:
                         counts[i] = len(texts[i])
                     columns[n] = pa.array(counts, columns[n].type)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     marked = F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda s, x: s + x)
     return found.where(marked <= max_coverage * F.col("__n_words")).mapInArrow(cut, schema)
