@@ -2,12 +2,13 @@
 
 Archives are written by Spark's text sink: a record's bytes are a value, and the two line ends
 that close a record are the separator. So files go through Spark's commit protocol to any file
-system, and are bounded by records a file times bytes a segment. They are read as binary files.
+system, and are bounded by records a file times bytes a segment. They are read as binary files, gzip members included.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -114,11 +115,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = rows.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers (names in lower case) and block of each record of an archive, by their lengths."""
+    """The headers (names in lower case) and block of each record of an archive, plain or in gzip members, by their lengths."""
+    data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
