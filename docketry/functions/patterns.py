@@ -53,8 +53,8 @@ def any_of(labels: tuple[str, ...]) -> str:
 
 
 def first(text: Column, pattern: str, group: int = 1, flags: str = IGNORE_CASE) -> Column:
-    """A group of the pattern's first match, null where there is none."""
-    return F.when(text.rlike(flags + pattern), F.regexp_extract(text, flags + pattern, group))
+    """A group of the pattern's first match, null where there is none; the group must not match an empty text."""
+    return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
 
 
 def stripped(text: Column) -> Column:
@@ -137,24 +137,38 @@ def amount_invalid(block: Column, labels: tuple[str, ...]) -> Column:
     return after_label(block, labels, AMOUNT, separator=SEPARATOR + r"\$?").isNotNull() & amount(block, labels).isNull()
 
 
-def account_status(block: Column) -> Column:
+def status_text(block: Column) -> Column:
+    return F.lower(up_to(block, ("account status", "status", "payment status"), ("date", "balance")))
+
+
+def status_of(said: Column) -> Column:
     """The first status word, in the map's order, that the status text holds; null if none."""
-    said = F.lower(up_to(block, ("account status", "status", "payment status"), ("date", "balance")))
     out = F
     for word, value in STATUS_MAP:
         out = out.when(F.contains(said, F.lit(word)), value)
     return out
 
 
+def account_status(block: Column) -> Column:
+    return status_of(status_text(block))
+
+
+def creditor_name(block: Column) -> Column:
+    return up_to(block, ("creditor", "company", "lender", "collection agency"), ("account",))
+
+
+def account_number(block: Column) -> Column:
+    return stripped(first(block, r"(?:account\s*(?:#|number|num)|acct)[:\s#]+([X*\d-]{4,20})"))
+
+
 def account_fields(block: Column) -> dict[str, Column]:
-    """Every field of an account block, by name."""
-    number = first(block, r"(?:account\s*(?:#|number|num)|acct)[:\s#]+([X*\d-]{4,20})")
+    """Every field of an account block, by name; status_text is what the status is read from."""
     return {
-        "creditor_name": up_to(block, ("creditor", "company", "lender", "collection agency"), ("account",)),
-        "account_number": stripped(number),
+        "creditor_name": creditor_name(block),
+        "account_number": account_number(block),
         "balance": amount(block, ("balance", "amount owed")),
         "credit_limit": amount(block, ("credit limit", "high balance", "original amount")),
-        "account_status": account_status(block),
+        "status_text": status_text(block),
         **{name: after_label(block, labels, MONTH_DATE) for name, labels in DATE_LABELS.items()},
         "account_type": up_to(block, ("account type", "type"), ("status", "balance")),
         "amount_invalid": amount_invalid(block, ("balance", "amount owed")) | amount_invalid(block, ("credit limit", "high balance", "original amount")),

@@ -27,18 +27,16 @@ def account_rows(texts: DataFrame) -> DataFrame:
 
     Blocks of under 50 stripped characters go, and those with neither creditor nor number.
     """
-    blocks = F.filter(patterns.account_blocks(F.col("text")), lambda b: F.char_length(patterns.stripped(b)) >= patterns.MIN_BLOCK)
-    named = F.filter(
-        F.transform(blocks, lambda b: F.struct(b.alias("block"), *(c.alias(n) for n, c in patterns.account_fields(b).items()))),
-        lambda a: (F.coalesce(a["creditor_name"], F.lit("")) != "") | (F.coalesce(a["account_number"], F.lit("")) != ""),
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    kept = F.filter(
+        patterns.account_blocks(F.col("text")),
+        lambda b: (F.char_length(patterns.stripped(b)) >= patterns.MIN_BLOCK) & (given(patterns.creditor_name(b)) | given(patterns.account_number(b))),
     )
-    out = texts.withColumn("found", named).select("id", "text", F.posexplode_outer("found").alias("n", "account"))
-    fields = list(patterns.account_fields(F.col("text")))
-    none = F.col("account").isNull()
-    return out.select(
-        "id", F.coalesce("n", F.lit(0)).alias("n"), F.when(none, F.col("text")).otherwise(F.col("account.block")).alias("raw_block"),
-        F.when(none, "full_text_ai_parse").alias("extraction_method"), *(F.col(f"account.{f}").alias(f) for f in fields),
-    )
+    out = texts.select("id", "text", F.posexplode_outer(kept).alias("n", "block"))
+    fields = [c.alias(name) for name, c in patterns.account_fields(F.col("block")).items()]
+    whole = F.when(F.col("block").isNull(), "full_text_ai_parse").alias("extraction_method")
+    out = out.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("block", "text").alias("raw_block"), whole, *fields)
+    return out.withColumn("account_status", patterns.status_of(F.col("status_text"))).drop("status_text")
 
 
 def inquiry_rows(texts: DataFrame) -> DataFrame:
