@@ -477,3 +477,21 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(with_extra(read(spark, sf_dir, "conversations")))
+
+
+def _escaped(c: str) -> str:
+    out = f"replace({c}, '{MARK}', '{MARK}{MARK}')"
+    for x in CONTROL:
+        out = f"replace({out}, '{x}', '{x[0]}{MARK}-{x[1:]}')"
+    return out
+
+
+_MADE_OF = ", ".join(f"(-1, {i}, '{role}', '{text}')" for i, (role, text) in enumerate(EXTRA))
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL (VALUES {_MADE_OF})),
+f AS (SELECT *, length({_escaped("text")}) + CASE role WHEN 'user' THEN {len("[INST]  [/INST]")} WHEN 'assistant' THEN {len("<|assistant|></s>")} ELSE length({_escaped("role")}) + {len("<||><s>")} END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -21,7 +21,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op9_chat_formatting": chat_templates.OP9_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
 }

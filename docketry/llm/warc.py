@@ -228,3 +228,14 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BY
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32),
+    lambda i: substr('{_BASE32}', CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first OR n < {MIN_REVISIT_BYTES} THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first AND n >= {MIN_REVISIT_BYTES} THEN first END AS refers_to FROM q
+"""
