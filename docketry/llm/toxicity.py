@@ -23,8 +23,8 @@ from docketry.llm.common import prepare, read, stored
 MAX_DOCUMENTS, MAX_TERMS = 8000, 250
 FOLDS, RIDGE, HELD_OUT = 3, 3.0, 5
 PREFIXES = (4, 5, 6)
-#: Fewest sample documents of a term.
-MIN_DOCUMENTS = 5
+#: Fewest sample documents of a term, and the least chi-squared that its presence must reach: chance reaches less.
+MIN_DOCUMENTS, MIN_TELLS = 5, 25.0
 #: Predicted in this order; low_quality is the negation of the label quality.
 CATEGORIES = ("low_quality", "toxic")
 
@@ -119,7 +119,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def telling_terms(sample: DataFrame, categories: tuple[str, ...], most: int = MAX_TERMS) -> list[str]:
-    """The ``most`` terms of the sample whose presence tells most about a category (chi-squared), in order of name."""
+    """The ``most`` terms of the sample whose presence tells most about a category (chi-squared, MIN_TELLS at least), in order of name."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,7 @@ def telling_terms(sample: DataFrame, categories: tuple[str, ...], most: int = MA
     total = sample.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
     share = [max(total[c], 1) / total["n"] for c in categories]
     tells = [(F.col(c) - F.col("n") * q) ** 2 / (F.col("n") * q * (1 - q + 1e-9)) for c, q in zip(categories, share, strict=True)]
-    each = [r["term"] for t in tells for r in counts.orderBy(F.desc(t), "term").select("term").limit(most // len(categories)).collect()]
+    each = [r["term"] for t in tells for r in counts.where(t >= MIN_TELLS).orderBy(F.desc(t), "term").select("term").limit(most // len(categories)).collect()]
     return sorted(set(each))
 
 
