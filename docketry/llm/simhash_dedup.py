@@ -210,8 +210,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id one stays; rows without an id count as one document.
     """
     found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates(["doc_id"])
+    keep = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
+    # the texts are shuffled once: the join leaves them dealt and sorted by doc_id
+    out = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    if keep.where("doc_id IS NULL").limit(1).count():
+        out = out.union(docs.where("doc_id IS NULL").orderBy(F.xxhash64("text")).limit(1))
+    return out
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
