@@ -29,7 +29,7 @@ from docketry.llm.common import prepare, read, stored
 
 CAPACITY, END = 1024, 0
 #: Different chunks of text whose ids a task keeps (about 200 bytes each).
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
