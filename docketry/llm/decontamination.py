@@ -7,12 +7,11 @@ its words and names the items that hold the window.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import clean_name, prepare, read
@@ -168,7 +167,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(automata: list, known: str, items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scanner(automata: list, counted: str, known: str, items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the spans and items that one automaton finds to those of the blocks before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,28 +182,36 @@ def _scanner(automata: list, known: str, items: str) -> Callable[[Iterator[pa.Re
                 n_words.append(len(words))
                 spans.append([x for s in merged for x in s])
                 names.append([*had.as_py(), *(None if automaton.names[k] is None else str(automaton.names[k]) for k in found)])
-            new_columns = {"__n_words": pa.array(n_words, pa.int64()), known: pa.array(spans, pa.list_(pa.int32())), items: pa.array(names, pa.list_(pa.string()))}
+            new_columns = {counted: pa.array(n_words, pa.int64()), known: pa.array(spans, pa.list_(pa.int32())), items: pa.array(names, pa.list_(pa.string()))}
             columns = [new_columns.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return scan
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with __n_words, __spans (flat array of word numbers: from, to, from, to ...) and __items (names as strings).
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with three more columns, whose names are returned too: the number of words, the marked spans
+    (a flat array of word numbers: from, to, from, to ...) and the items found (their ids as strings).
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window; one
     without words has none. Items are held in automata of at most ``block_words`` words; documents
     pass through all of them without a shuffle. Null texts have no words. Repeated documents are
-    scanned alike; repeated items are found together; a null item_id is never named but marks.
+    scanned alike; repeated items are found together; a null item_id is never named but marks. An
+    empty table gives an empty one, an empty benchmark no marks. New names avoid those of ``docs``.
     """
     spark = docs.sparkSession
     prepare(spark)
-    out = docs.select("*", F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    names = n_words, spans, items = tuple(clean_name(docs, x) for x in ("n_words", "spans", "items"))
+    out = docs.select("*", F.lit(0).cast("long").alias(n_words), F.array().cast("array<int>").alias(spans), F.array().cast("array<string>").alias(items))
     for block in item_blocks(benchmark, block_words):
         automaton = spark.sparkContext.broadcast(ItemAutomaton(block, window))
-        out = out.mapInArrow(_scanner([automaton], "__spans", "__items"), out.schema)
-    return out
+        out = out.mapInArrow(_scanner([automaton], *names), out.schema)
+    return out, *names
+
+
+def marked_words(spans: str) -> Column:
+    """The number of words in a flat array of spans."""
+    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda s, x: s + x)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
@@ -214,13 +221,13 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     removed span leaves one line end. Documents without marks stay as they are, null texts
     included; an empty table or benchmark changes nothing.
     """
-    found = find_contamination(docs, benchmark, window)
+    found, n_words, spans, _ = mark_contamination(docs, benchmark, window)
     schema, names = docs.schema, docs.columns
     at, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {i: s for i, s in enumerate(batch.column("__spans").to_pylist()) if s}
+            rows = {i: s for i, s in enumerate(batch.column(spans).to_pylist()) if s}
             columns = [batch.column(i) for i in range(len(names))]
             if rows:
                 texts = columns[at].to_pylist()
@@ -234,8 +241,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                     columns[n] = pa.array(counts, columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    marked = F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda s, x: s + x)
-    return found.where(marked <= max_coverage * F.col("__n_words")).mapInArrow(cut, schema)
+    return found.where(marked_words(spans) <= max_coverage * F.col(n_words)).mapInArrow(cut, schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -254,12 +260,12 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    hit = F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda s, x: s + x).cast("long")
-    items = F.array_sort(F.array_distinct(F.array_compact("__items")))
+    docs, benchmark = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    found, n_words, spans, items = mark_contamination(docs, benchmark)
+    hit, items = marked_words(spans).cast("long"), F.array_sort(F.array_distinct(F.array_compact(items)))
     return found.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
+        F.col(n_words).alias("n_words"),
         hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from docketry.llm.common import prepare, read
+from docketry.llm.common import clean_name, prepare, read
 
 #: Labelled documents of each class that are trained on, and lines of each of them: the bounds of what the driver sees.
 MAX_DOCUMENTS, MAX_LINES = 1500, 100
@@ -208,15 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Crf |
     return fit(documents, np.array([r["y"] for r in rows]), ids[1])
 
 
-def score(docs: DataFrame, crf: Crf | None) -> DataFrame:
-    """``docs`` with the column __score: the probability of a good document; 1.0 everywhere without a model."""
+def score(docs: DataFrame, crf: Crf | None) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, whose name is returned too: the probability of a good document; 1.0 everywhere without a model."""
+    name = clean_name(docs, "score")
     if crf is None:
-        return docs.withColumn("__score", F.lit(1.0))
+        return docs.withColumn(name, F.lit(1.0)), name
 
     def scores(texts: pd.Series) -> pd.Series:
         return pd.Series([crf.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("__score", F.pandas_udf(scores, DoubleType())(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(scores, DoubleType())(F.col("text"))), name
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,14 +229,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are scored alike; an empty table gives an empty one; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    out = score(docs, train(docs, labels))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    out, p = score(docs, train(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(p).alias("score"), (F.col(p) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good, unchanged."""
-    scored = score(docs, train(docs.select("doc_id", "text"), labels))
-    return scored.where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    out, p = score(docs, train(docs.select("doc_id", "text"), labels))
+    return out.where(F.col(p) >= THRESHOLD).select(*docs.columns)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

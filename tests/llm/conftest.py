@@ -36,7 +36,7 @@ def odd(docs):
     """The documents with further columns, whose names are those that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["__row", "__hits", "__lines", "__kept", "__words", "__classes", "__left0", "h1", "fp", "key", "n", "kept", "node", "root", "salt", "rank", "ref_lang", "host", "score"]
+    names = ["__score", "__spans", "__items", "__n_words", "__keep", "__tested", "__row", "__hits", "__lines", "__kept", "__words", "__classes", "__left0", "h1", "fp", "key", "n", "kept", "node", "root", "salt", "rank", "ref_lang", "host", "score"]
     return docs.select("*", *(F.lit(f"x{i}").alias(c) for i, c in enumerate(names)))
 
 

@@ -57,7 +57,9 @@ def test_documents_against_brute_force(spark, docs, bench, block):
     extra = spark.createDataFrame([(700, "so only four short words here " + prose(77, 40) + " and " + prose(78, 12), "en", "s", 1)], docs.schema)
     table = docs.where("length(text) < 5000 OR text IS NULL").union(extra)
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
-    rows = dc.find_contamination(table, bench, block_words=block).collect()
+    found, *names = dc.mark_contamination(table, bench, block_words=block)
+    assert names == ["__n_words", "__spans", "__items"]
+    rows = found.collect()
     assert len(rows) == table.count()
     marked = 0
     for r in rows:
