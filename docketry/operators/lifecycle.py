@@ -76,3 +76,19 @@ def regenerated(letters: DataFrame, disputes: DataFrame, asked: str | None = Non
     kind = F.lit(asked) if asked else steps.letter_type(F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(False), F.col("current_round"))
     out = letters.where(~F.col("status").isin("submitted", "delivered")).join(d, F.col("dispute_id") == F.col("dispute_key"))
     return out.withColumn("letter_type", kind).withColumn("status", F.lit("draft")).drop("dispute_key", "current_round")
+
+
+def letters_sent(letters: DataFrame, disputes: DataFrame, sent: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Letters and disputes after ``sent`` (letter_id, method, tracking): both are submitted, and the next action is due in 35 days."""
+    s = sent.select(F.col("letter_id").alias("sent_key"), "method", "tracking")
+    marked = letters.join(s, letters["id"] == s["sent_key"], "left")
+    hit = F.col("sent_key").isNotNull()
+    new = marked.select(
+        *(F.when(hit, "submitted").otherwise(F.col("status")).alias("status") if c == "status" else letters[c] for c in letters.columns),
+        F.col("method").alias("submission_method"), F.col("tracking").alias("certified_mail_tracking"), F.when(hit, at).alias("submitted_at"),
+    )
+    of = marked.where(hit).select(F.col("dispute_id").alias("dispute_key")).distinct()
+    moved = disputes.join(of, disputes["id"] == of["dispute_key"], "left")
+    hit = F.col("dispute_key").isNotNull()
+    changes = {"status": F.lit("submitted"), "next_action_date": dates.plus_days(at, dates.RESPONSE_DAYS), "updated_at": at}
+    return new, moved.select(*(F.when(hit, changes[c]).otherwise(disputes[c]).alias(c) if c in changes else disputes[c] for c in disputes.columns))

@@ -23,9 +23,10 @@ def balance_mismatch(accounts: DataFrame) -> DataFrame:
     """Pairs of rows of one account at two bureaus with different balances.
 
     Only accounts whose balance differs at all are paired, so that the join holds no equal groups.
+    A balance that is missing differs from one that is not.
     """
     key = ["user_id", "creditor_name", "account_number"]
-    differ = accounts.groupBy(*key).agg(F.min("balance").alias("lo"), F.max("balance").alias("hi"), F.count_distinct("bureau").alias("b")).where("b > 1 AND lo < hi").select(*key)
+    differ = accounts.groupBy(*key).agg(F.min("balance").alias("lo"), F.max("balance").alias("hi"), F.min("bureau").alias("a"), F.max("bureau").alias("z")).where("a < z AND NOT lo <=> hi").select(*key)
     some = accounts.join(differ, key, "left_semi").select(*key, "id", "bureau", "balance")
     a, b = some.alias("a"), some.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]

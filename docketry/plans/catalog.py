@@ -11,6 +11,7 @@ from docketry.functions import bands, dates, patterns, steps
 from docketry.operators import extract, ingest, letters, lifecycle, reports, rules
 from docketry.plans import views as v
 from docketry.plans.oracle import NOW, pick, sql
+from docketry.sources import reference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -237,6 +238,23 @@ def letters_regenerated(spark, d):
     return lifecycle.regenerated(v.letters(spark, d), v.disputes(spark, d)).select("id", "status", "letter_type")
 
 
+@query(sql("SELECT id, CASE WHEN id % 4 = 0 THEN 'submitted' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN 'certified_mail' END AS submission_method FROM letters", "letters"))
+def letters_submitted(spark, d):
+    return _sent(spark, d)[0].select("id", "status", "submission_method")
+
+
+@query(sql(f"""SELECT id, CASE WHEN s THEN 'submitted' ELSE status END AS status, CASE WHEN s THEN {NOW} + INTERVAL 35 DAYS ELSE next_action_date END AS next_action_date
+    FROM (SELECT *, id IN (SELECT dispute_id FROM letters WHERE id % 4 = 0) AS s FROM disputes)""", "letters", "disputes"))
+def disputes_submitted(spark, d):
+    return _sent(spark, d)[1].select("id", "status", "next_action_date")
+
+
+def _sent(spark, d):
+    letters_now = v.letters(spark, d)
+    sent = letters_now.where("id % 4 = 0").select(F.col("id").alias("letter_id"), F.lit("certified_mail").alias("method"), F.lit(None).cast("string").alias("tracking"))
+    return lifecycle.letters_sent(letters_now, v.disputes(spark, d), sent, v.as_of())
+
+
 # ---- extraction -----------------------------------------------------------------------------
 
 
@@ -515,3 +533,23 @@ def rule_inquiry_without_account(spark, d):
 @query(sql("SELECT id, creditor_name, priority_score FROM accounts ORDER BY priority_score DESC, balance DESC, id LIMIT 10", "accounts"))
 def highest_priority(spark, d):
     return rules.highest_priority(v.accounts(spark, d))
+
+
+def _values(table: dict, key: str, value: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join(f'({quote(k)}, {quote(x)})' for k, x in table.items())}) t({key}, {value})"
+
+
+@query(_values(reference.STATUTES, "name", "citation"))
+def statute_reference(spark, d):
+    return reference.statutes(spark)
+
+
+@query(_values(reference.FIELDS, "code", "meaning"))
+def field_reference(spark, d):
+    return reference.fields(spark)
+
+
+@query(_values(reference.REPORTING_YEARS, "item_type", "years"))
+def reporting_limits(spark, d):
+    return reference.reporting_limits(spark)
