@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import SPACE, UPPER, ascii_lower, clean_name, read, shared_dir
 
 MIN_KEY, MIN_DOCUMENTS, BATCHES, FANOUT = 1, 10, 4, 2
+#: Documents for each bucket of a run, up to the session's number of shuffle partitions.
+BUCKET_DOCUMENTS = 10_000
 HASH = ["h1", "h2"]
 
 
@@ -45,11 +47,11 @@ def line_hashes(docs: DataFrame, min_key: int = MIN_KEY, row: str | None = None)
 class LineRuns:
     """How many documents have each line, kept as levelled sorted runs (see the module's text)."""
 
-    def __init__(self, spark: SparkSession, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.limit, self.fanout = spark, min_documents, fanout
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.names: list[str] = []
 
     def _write(self, run: DataFrame, shuffle: bool) -> DataFrame:
@@ -95,7 +97,9 @@ class LineRuns:
 
 def frequent_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
     """Hashes of the keys found in ``min_documents`` rows of ``docs`` or more, counted batch by batch."""
-    runs = LineRuns(docs.sparkSession, min_documents)
+    spark = docs.sparkSession
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_DOCUMENTS)))
+    runs = LineRuns(spark, min_documents, buckets=buckets)
     for i in range(batches):
         runs.add(docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else docs, min_key)
     return runs.frequent()
