@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType
 
 from docketry.llm.common import prepare, read, stored
 from docketry.llm.components import components
+from docketry.llm.jaccard_links import described, text_roots
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 #: Distinct fingerprints of one key that are compared in one task.
@@ -207,10 +208,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each class of near duplicates: that with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without an id count as one document.
+    Not op1's links: texts are linked if the Jaccard similarity of their sets of five-word runs
+    is 0.8 or more (see jaccard_links), and a class is what links reach. Texts without words are
+    one class. Of rows that repeat a doc_id one stays; rows without an id count as one document.
     """
-    found = near_duplicates(docs)
-    keep = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
+    prepare(docs.sparkSession)
+    key = F.xxhash64("doc_id", "text")
+    rows = stored(described(docs, key), "near-rows")
+    roots = text_roots(docs, key, rows)
+    ids = docs.select("doc_id", key.alias("row")).join(rows.select("row", "node").distinct(), "row")
+    found = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    keep = stored(least.select("doc_id").distinct(), "kept-ids")
     # the texts are shuffled once: the join leaves them dealt and sorted by doc_id
     out = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     if keep.where("doc_id IS NULL").limit(1).count():

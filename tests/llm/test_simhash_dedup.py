@@ -103,3 +103,38 @@ def test_drop(docs, odd):
     assert kept.columns == odd.columns
     classes = {r["component_id"] for r in sd.near_duplicates(docs).collect()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(classes)
+
+
+def brute_roots(texts):
+    """The smallest position linked to each text at a five-word Jaccard similarity of 0.8, by trying all pairs."""
+    sets = []
+    for t in texts:
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("small", [1, 16])
+def test_drop_by_similarity(spark, monkeypatch, small):
+    """Near copies go whatever their fingerprints; texts under 0.8 stay; chains of copies are one class."""
+    from docketry.llm import jaccard_links
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(jaccard_links, "SMALL", small)
+    monkeypatch.setattr(jaccard_links, "PART", 3)
+    rows = []
+    for seed in range(6):
+        words = prose(seed + 300, 200).split()
+        for step in range(8):  # each further step drifts from the first
+            rows.append(" ".join(words))
+            words[20 * step + 5 : 20 * step + 5 + 4 * seed] = [f"new{seed}x{step}x{k}" for k in range(4 * seed)]
+    expected = brute_roots(rows)
+    assert 6 < len(set(expected)) < len(rows)
+    kept = sd.drop_near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected))
