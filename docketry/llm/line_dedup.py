@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SPACE, UPPER, ascii_lower, clean_name, read, shared_dir
+from docketry.llm.common import SPACE, UPPER, ascii_lower, clean_name, read, shared_dir, stored
 
 MIN_KEY, MIN_DOCUMENTS, BATCHES, FANOUT = 1, 10, 4, 2
 #: Documents for each bucket of a run, up to the session's number of shuffle partitions.
@@ -119,16 +119,51 @@ def mark_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN
     return out.drop(row, hits), lines, kept
 
 
-def drop_frequent_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
+def _once(docs: DataFrame, hot: DataFrame, min_key: int) -> tuple[DataFrame, str]:
+    """``docs`` with the lines that stay, and that column's name, where shared text stays in one document.
+
+    In a document of which frequent lines make more than half (different lines, by characters)
+    they are its text and no boilerplate. Each line of such documents stays in the one with the
+    smallest doc_id (null last); all other frequent lines go.
+    """
+    row, hits, own, lines, kept = (clean_name(docs, x) for x in ("row", "hits", "own", "lines", "kept"))
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_key))
+    parts = keyed.select(F.col(row).alias("row"), "doc_id", keys.alias("keys"))
+    size = F.aggregate("keys", F.lit(0), lambda s, k: s + F.char_length(k))
+    parts = parts.select("row", "doc_id", size.alias("size"), F.explode(F.transform("keys", lambda k: F.struct(key_hash(k).alias("h"), F.char_length(k).alias("n")))).alias("k"))
+    parts = parts.select("row", "doc_id", "size", "k.h.h1", "k.h.h2", "k.n").join(hot, HASH, "left_semi")
+    found = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.collect_set(F.struct(*HASH, "n")).alias("found"))
+    hit = F.aggregate("found", F.lit(0), lambda s, k: s + k["n"])
+    found = stored(found.select("row", "doc_id", "found", (2 * hit > F.col("size")).alias("mostly")), "frequent-lines")
+    whole = found.where("mostly").select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("id"), F.explode("found").alias("k"))
+    owners = whole.groupBy("k.h1", "k.h2").agg(F.min("id").alias("id"))
+    owned = owners.groupBy(F.col("id.row").alias("row")).agg(F.collect_set(F.struct(*HASH)).alias(own))
+    gone = F.transform("found", lambda k: F.struct(k["h1"].alias("h1"), k["h2"].alias("h2")))
+    gone = F.when(F.col(own).isNull(), gone).otherwise(F.array_except(gone, own))
+    goes = found.join(owned, "row", "left").select(F.col("row").alias(row), gone.alias(hits))
+    out = keyed.join(goes, row, "left").withColumn(lines, lines_of(F.col("text")))
+    stays = lambda x: ~F.array_contains(F.col(hits), key_hash(line_key(x)))
+    out = out.withColumn(kept, F.when(F.col(hits).isNull(), F.col(lines)).otherwise(F.filter(lines, stays)))
+    return out.drop(row, hits, lines), kept
+
+
+def drop_frequent_lines(
+    docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, keep_once: bool = False
+) -> DataFrame:
     """``docs`` without the lines that ``min_documents`` documents or more have; text and n_chars follow.
 
     Lines are compared by key (ASCII white space stripped at both ends, A-Z lower-cased); a line
     found often in one document counts once; a row that repeats a document counts as another.
     Keys under ``min_key`` code points (blank lines) always stay. A null text is one empty line
     and becomes an empty text; a text of which every line goes becomes empty too. An empty table
-    gives an empty one. Other columns pass through; new names avoid theirs.
+    gives an empty one. Other columns pass through; new names avoid theirs. With ``keep_once``
+    the text of documents that are mostly frequent lines stays in one of them (see _once).
     """
-    out, _, kept = mark_lines(docs, min_key, min_documents, batches)
+    if keep_once:
+        out, kept = _once(docs, frequent_lines(docs, min_key, min_documents, batches), min_key)
+    else:
+        out, _, kept = mark_lines(docs, min_key, min_documents, batches)
     text = F.array_join(kept, "\n")
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -46,3 +46,14 @@ def test_runs_compact(spark):
 def test_empty_and_columns(empty, odd):
     assert ld.drop_frequent_lines(empty).collect() == []
     assert ld.drop_frequent_lines(odd).columns == odd.columns
+
+
+def test_stage_keeps_one_copy(spark):
+    """Of twelve copies the stage empties all but the first; a shared line beside own text goes everywhere."""
+    import corpus_pipeline as cp
+
+    text = "\n".join(f"line {i} of the copied text" for i in range(6))
+    rows = [(i, text) for i in range(12)] + [(None, text), (0, text)]
+    rows += [(20 + i, f"shared line\n{'own words ' * 8}{i}\n\nmore of it {i}") for i in range(12)]
+    out = key(cp.lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert out == key([(d, (t if d == 0 else "") if t == text else t.removeprefix("shared line\n")) for d, t in rows])
