@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from docketry.llm.common import prepare, read, stored
+from docketry.llm.common import clean_name, prepare, read, stored
 from docketry.llm.components import components
 from docketry.llm.jaccard_links import described, text_roots
 
@@ -210,21 +210,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Not op1's links: texts are linked if the Jaccard similarity of their sets of five-word runs
     is 0.8 or more (see jaccard_links), and a class is what links reach. Texts without words are
-    one class. Of rows that repeat a doc_id one stays; rows without an id count as one document.
+    one class. Rows are told apart by doc_id and text together, so a class keeps a row of its own
+    also where ids are null (they come last) or repeated; of rows that repeat both one stays.
     """
     prepare(docs.sparkSession)
-    key = F.xxhash64("doc_id", "text")
+    name, key = clean_name(docs, "row"), F.xxhash64("doc_id", "text")
     rows = stored(described(docs, key), "near-rows")
     roots = text_roots(docs, key, rows)
-    ids = docs.select("doc_id", key.alias("row")).join(rows.select("row", "node").distinct(), "row")
-    found = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    keep = stored(least.select("doc_id").distinct(), "kept-ids")
-    # the texts are shuffled once: the join leaves them dealt and sorted by doc_id
-    out = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    if keep.where("doc_id IS NULL").limit(1).count():
-        out = out.union(docs.where("doc_id IS NULL").orderBy(F.xxhash64("text")).limit(1))
-    return out
+    ids = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key.alias("row")).alias("id"))
+    found = ids.join(rows.select("row", "node").distinct(), F.col("id.row") == F.col("row")).join(roots, "node", "left")
+    keep = found.groupBy(F.coalesce("root", "node")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(name))
+    keep = stored(keep, "kept-rows")
+    # the texts are shuffled once: the join leaves them dealt and sorted by row
+    return docs.withColumn(name, key).join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

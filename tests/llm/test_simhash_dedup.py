@@ -138,3 +138,13 @@ def test_drop_by_similarity(spark, monkeypatch, small):
     assert 6 < len(set(expected)) < len(rows)
     kept = sd.drop_near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected))
+
+
+def test_drop_keeps_one_of_each_class(spark):
+    """Null ids and repeated ids: no class loses all its rows, and no class keeps two."""
+    from tests.llm.conftest import prose
+
+    a, b, c, d, e = (prose(400 + i, 60) for i in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, e), (8, d), (None, None), (9, "")]
+    kept = sd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert key(kept.collect()) == key([(1, a), (None, b), (None, c), (7, d), (7, e), (9, "")])
