@@ -37,6 +37,13 @@ STATUS_MAP = (
     ("late", "late"), ("30", "30d_late"), ("60", "60d_late"), ("90", "90d_late"), ("120", "120d_late"),
 )
 INQUIRY_HEADINGS = ("hard inquiries", "credit inquiries", "inquiries in the last")
+BUREAU_LINE_SCORE = r"[^\n]*?([3-8]\d{2})"
+PERSON_NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
+MASKED_NUMBER, MASKED_DASHED_NUMBER = r"[Xx*]+\d{4}", r"[Xx*-]+\d{4}"
+ACCOUNT_NUMBER = r"(?:account\s*(?:#|number|num)|acct)[:\s#]+([X*\d-]{4,20})"
+INQUIRY_SECTION_END = r"(.+?)(?:accounts|public\s+records|\z)"
+INQUIRY_NAME = r"^(.+?)(?:\n|date|\d{1,2}[/-])"
+BLANK_LINES = r"\n{2,}"
 SOFT_INQUIRY = r"soft\s+inquiry|promotional|pre-screen|account\s+review"
 SCORE_RANGE = (300, 850)
 MIN_BLOCK, MIN_INQUIRY = 50, 20
@@ -95,7 +102,7 @@ def credit_score(text: Column) -> Column:
 def score_by_bureau(text: Column) -> Column:
     """A map from bureau (lower case, spaces removed) to its last in-range score on a line that names it."""
     names = "(" + "|".join(p for _, p in BUREAUS) + ")"
-    pattern = F.lit(IGNORE_CASE + names + r"[^\n]*?([3-8]\d{2})")
+    pattern = F.lit(IGNORE_CASE + names + BUREAU_LINE_SCORE)
     found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("score"))
     pairs = F.transform(found, lambda x: F.struct(F.replace(F.lower(x["name"]), F.lit(" ")).alias("k"), _in_range(x["score"]).alias("v")))
     kept = F.filter(pairs, lambda p: p["v"].isNotNull())
@@ -110,11 +117,11 @@ def personal_info(text: Column, ssn_mode: str = "strict") -> Column:
     any case and dashes between masked groups.
     """
     ssn = {
-        "strict": after_label(text, ("ssn", "social"), r"[Xx*]+\d{4}", CASE),
-        "tolerant": after_label(text, ("ssn", "social"), r"[Xx*-]+\d{4}"),
+        "strict": after_label(text, ("ssn", "social"), MASKED_NUMBER, CASE),
+        "tolerant": after_label(text, ("ssn", "social"), MASKED_DASHED_NUMBER),
     }[ssn_mode]
     return F.struct(
-        after_label(text, ("name", "consumer"), r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", CASE).alias("name"),
+        after_label(text, ("name", "consumer"), PERSON_NAME, CASE).alias("name"),
         F.right(ssn, F.lit(4)).alias("ssn_last_four"),
         after_label(text, ("date of birth", "dob", "born"), DAY_DATE).alias("date_of_birth"),
         up_to(text, ("address", "current address"), ("city", "state")).alias("address"),
@@ -158,7 +165,7 @@ def creditor_name(block: Column) -> Column:
 
 
 def account_number(block: Column) -> Column:
-    return stripped(first(block, r"(?:account\s*(?:#|number|num)|acct)[:\s#]+([X*\d-]{4,20})"))
+    return stripped(first(block, ACCOUNT_NUMBER))
 
 
 def account_fields(block: Column) -> dict[str, Column]:
@@ -183,13 +190,13 @@ def account_blocks(text: Column) -> Column:
 
 def inquiry_blocks(text: Column) -> Column:
     """The parts, at blank lines, of the first inquiry section."""
-    section = first(text, any_of(INQUIRY_HEADINGS) + r"(.+?)(?:accounts|public\s+records|\z)", flags="(?iUds)")
-    return F.split(section, r"\n{2,}")
+    section = first(text, any_of(INQUIRY_HEADINGS) + INQUIRY_SECTION_END, flags="(?iUds)")
+    return F.split(section, BLANK_LINES)
 
 
 def inquiry_fields(block: Column) -> dict[str, Column]:
     return {
-        "creditor_name": stripped(first(block, r"^(.+?)(?:\n|date|\d{1,2}[/-])")),
+        "creditor_name": stripped(first(block, INQUIRY_NAME)),
         "inquiry_date": first(block, f"({DAY_DATE}|{WORD_DATE})", flags=CASE),
         "inquiry_type": F.when(block.rlike(IGNORE_CASE + SOFT_INQUIRY), "soft").otherwise("hard"),
     }

@@ -25,15 +25,17 @@ def report_rows(texts: DataFrame, asked: Column | None = None, ssn_mode: str = "
 def account_rows(texts: DataFrame) -> DataFrame:
     """Account blocks with their fields; a text without any gives one row that holds the whole text.
 
-    Blocks of under 50 stripped characters go, and those with neither creditor nor number.
+    Blocks of under 50 stripped characters go, and those with neither creditor nor number; what
+    decides that is extracted once. Blocks stay in their text's row until they are exploded, so
+    nothing is shuffled.
     """
     given = lambda c: F.coalesce(c, F.lit("")) != ""
-    kept = F.filter(
-        patterns.account_blocks(F.col("text")),
-        lambda b: (F.char_length(patterns.stripped(b)) >= patterns.MIN_BLOCK) & (given(patterns.creditor_name(b)) | given(patterns.account_number(b))),
-    )
-    out = texts.select("id", "text", F.posexplode_outer(kept).alias("n", "block"))
-    fields = [c.alias(name) for name, c in patterns.account_fields(F.col("block")).items()]
+    long = F.filter(patterns.account_blocks(F.col("text")), lambda b: F.char_length(patterns.stripped(b)) >= patterns.MIN_BLOCK)
+    named = F.transform(long, lambda b: F.struct(b.alias("block"), patterns.creditor_name(b).alias("creditor_name"), patterns.account_number(b).alias("account_number")))
+    kept = F.filter(named, lambda x: given(x["creditor_name"]) | given(x["account_number"]))
+    out = texts.select("id", "text", F.posexplode_outer(kept).alias("n", "x")).select("id", "n", "text", "x.block", "x.creditor_name", "x.account_number")
+    known = ("creditor_name", "account_number")
+    fields = [F.col(name) if name in known else c.alias(name) for name, c in patterns.account_fields(F.col("block")).items()]
     whole = F.when(F.col("block").isNull(), "full_text_ai_parse").alias("extraction_method")
     out = out.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("block", "text").alias("raw_block"), whole, *fields)
     return out.withColumn("account_status", patterns.status_of(F.col("status_text"))).drop("status_text")
@@ -45,3 +47,18 @@ def inquiry_rows(texts: DataFrame) -> DataFrame:
     out = texts.select("id", F.posexplode(blocks).alias("n", "raw_block"))
     fields = {name: c.alias(name) for name, c in patterns.inquiry_fields(F.col("raw_block")).items()}
     return out.select("id", "n", "raw_block", *fields.values()).where(F.coalesce("creditor_name", F.lit("")) != "")
+
+
+def uploaded(texts: DataFrame, ssn_mode: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """Report rows of uploads (id, text, asked: a bureau or ``auto_detect``) with their accounts and inquiries inside, and the uploads that failed.
+
+    An upload without text could not be read: it gives no report row but one of the second table,
+    with the reason. A report has tens of accounts and inquiries, so its arrays are no unbounded groups.
+    """
+    good = texts.where(F.col("text").isNotNull())
+    out = report_rows(good, F.col("asked"), ssn_mode)
+    for name, rows in (("accounts", account_rows(good)), ("inquiries", inquiry_rows(good))):
+        order = [F.col("n"), *(F.col(c) for c in rows.columns if c not in ("id", "n"))]
+        inside = rows.groupBy(F.col("id").alias("of")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+        out = out.join(inside, F.col("id") == F.col("of"), "left").drop("of")
+    return out, texts.where(F.col("text").isNull()).select("id", F.lit("Could not parse").alias("reason"))

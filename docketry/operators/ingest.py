@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VIOLATION = "struct<violation_type:string,specific_violation:string,description:string,evidence:string,legal_citation:string>"
+ITEM = (
+    "struct<creditor_name:string,account_number:string,is_disputable:boolean,priority_score:int,estimated_score_impact:int,"
+    f"dispute_type:string,primary_strategy:string,violations:array<{VIOLATION}>,dispute_reasons:array<string>,recommended_letter_type:string>"
+)
 ANALYSIS = (
     "summary struct<total_accounts:int,disputable_accounts:int,total_inquiries:int,disputable_inquiries:int,estimated_score_gain:int,"
-    "highest_priority_items:array<string>,overall_strategy:string>, "
-    "disputable_accounts array<struct<creditor_name:string,account_number:string,is_disputable:boolean,priority_score:int,estimated_score_impact:int,"
-    f"dispute_type:string,primary_strategy:string,violations:array<{VIOLATION}>,dispute_reasons:array<string>,recommended_letter_type:string>>, "
+    "highest_priority_items:array<string>,overall_strategy:string>, disputable_accounts array<string>, "
     "disputable_inquiries array<struct<creditor_name:string,inquiry_date:string,is_disputable:boolean,dispute_reason:string>>, "
-    "non_disputable_accounts array<struct<creditor_name:string,reason_not_disputed:string>>, broken string"
+    "non_disputable_accounts array<string>, broken string"
 )
+#: Where an analysis gives no priority at all; a null one stays null.
+DEFAULT_PRIORITY = 5
 #: Characters of JSON, and of raw text where no account was found, that an external analysis is given.
 JSON_LIMIT, TEXT_LIMIT = 30_000, 15_000
+#: Follows a request that was cut (a fixed value).
+TRUNCATED = "\n... [truncated for length]"
 
 
 def unfenced(answer: Column) -> Column:
@@ -25,26 +31,30 @@ def unfenced(answer: Column) -> Column:
 
 
 def parsed(answers: DataFrame) -> DataFrame:
-    """report_id, the JSON text, the analysis, and whether it could not be read (then all lists are empty)."""
-    body = unfenced(F.col("answer"))
-    out = answers.select("report_id", body.alias("json"))
-    analysis = F.from_json("json", ANALYSIS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    out = out.withColumn("analysis", analysis)
+    """report_id, the analysis, and whether it could not be read (then all lists are empty). Accounts are kept as JSON text."""
+    analysis = F.from_json(unfenced(F.col("answer")), ANALYSIS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    out = answers.select("report_id", analysis.alias("analysis"))
     return out.withColumn("failed", F.col("analysis.broken").isNotNull() | F.col("analysis").isNull())
 
 
 def account_rows(analyses: DataFrame) -> DataFrame:
-    """Disputable and other accounts of readable analyses in one table, with whether a strategy was given at all."""
-    good = analyses.where(~F.col("failed"))
-    given = F.transform(F.from_json(F.get_json_object("json", "$.disputable_accounts"), "array<string>"), lambda a: F.array_contains(F.json_object_keys(a), "primary_strategy"))
-    bad = good.select("report_id", F.posexplode(F.arrays_zip(F.col("analysis.disputable_accounts").alias("a"), given.alias("g"))).alias("n", "x")).select(
-        "report_id", "n", F.lit(True).alias("is_disputable"), "x.a.creditor_name", "x.a.account_number", F.coalesce("x.a.priority_score", F.lit(0)).alias("priority_score"),
-        F.coalesce("x.a.estimated_score_impact", F.lit(0)).alias("estimated_score_impact"), "x.a.primary_strategy", F.col("x.g").alias("strategy_given"),
-        F.coalesce("x.a.violations", F.array().cast(f"array<{VIOLATION}>")).alias("metro2_violations"),
+    """Disputable and other accounts of readable analyses in one table, with whether a strategy was given at all.
+
+    An analysis is read once: both lists become one, each account is read after the explode.
+    """
+    tagged = lambda c, bad: F.transform(F.coalesce(f"analysis.{c}", F.array().cast("array<string>")), lambda x, i: F.struct(i.alias("n"), F.lit(bad).alias("bad"), x.alias("json")))
+    rows = analyses.where(~F.col("failed")).select("report_id", F.explode(F.concat(tagged("disputable_accounts", True), tagged("non_disputable_accounts", False))).alias("x"))
+    rows = rows.select("report_id", "x.n", F.col("x.bad").alias("is_disputable"), F.from_json("x.json", ITEM).alias("a"), F.json_object_keys("x.json").alias("keys"))
+    given = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
+    bad = F.col("is_disputable")
+    violations = F.coalesce("a.violations", F.array().cast(f"array<{VIOLATION}>"))
+    return rows.select(
+        "report_id", "n", "is_disputable", "a.creditor_name", F.when(bad, F.col("a.account_number")).alias("account_number"),
+        F.when(bad, F.when(given("priority_score"), F.col("a.priority_score")).otherwise(DEFAULT_PRIORITY)).alias("priority_score"),
+        F.when(bad, F.coalesce("a.estimated_score_impact", F.lit(0))).alias("estimated_score_impact"),
+        F.when(bad, F.col("a.primary_strategy")).alias("primary_strategy"), F.when(bad, given("primary_strategy")).alias("strategy_given"),
+        F.when(bad, violations).alias("metro2_violations"), F.when(bad, of_type(violations, "fcra")).alias("fcra_violations"),
     )
-    bad = bad.withColumn("fcra_violations", of_type(F.col("metro2_violations"), "fcra"))
-    clean = good.select("report_id", F.posexplode("analysis.non_disputable_accounts").alias("n", "a")).select("report_id", "n", F.lit(False).alias("is_disputable"), "a.creditor_name")
-    return bad.unionByName(clean, allowMissingColumns=True)
 
 
 def inquiry_rows(analyses: DataFrame) -> DataFrame:
@@ -75,13 +85,78 @@ def summary(accounts: DataFrame, top: int = 3) -> DataFrame:
     return out.select("report_id", "accounts", "disputable", "gain", F.array_join(F.col("first.creditor_name"), ",").alias("top_creditors"))
 
 
-def analysis_request(reports: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The JSON that an external analysis is given: what was parsed, and the text where no account was found."""
-    a = accounts.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "creditor_name", "account_number", "balance", "account_status"))).alias("accounts_raw"),
-        F.bool_and(F.col("extraction_method").isNotNull()).alias("unparsed"),
-    )
-    out = reports.join(a, "id", "left").withColumn("raw_text", F.when(F.coalesce("unparsed", F.lit(True)), F.left("raw_text", F.lit(TEXT_LIMIT))))
-    body = F.to_json(F.struct("bureau", "credit_score", "report_date", "accounts_raw", "raw_text"), {"ignoreNullFields": "false"})
-    cut = F.when(F.char_length(body) > JSON_LIMIT, F.concat(F.left(body, F.lit(JSON_LIMIT)), F.lit("\n...[truncated]"))).otherwise(body)
-    return out.select("id", cut.alias("request"))
+def gain_shown(summaries: DataFrame) -> DataFrame:
+    """By report: the text that tells how many points are possible, null unless there are any."""
+    return summaries.select("report_id", F.when(F.col("gain") > 0, F.concat(F.lit("+"), F.col("gain").cast("string"), F.lit(" points possible"))).alias("chip"))
+
+
+def json_text(c: Column) -> Column:
+    """A string as JSON with all but printable ASCII escaped, null where it is null."""
+    quoted = c
+    for plain, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        quoted = F.replace(quoted, F.lit(plain), F.lit(said))
+    code = lambda h: F.concat(F.lit("\\u"), h)
+
+    def escaped(x: Column) -> Column:
+        units = F.lower(F.hex(F.encode(x, "UTF-16BE")))
+        both = F.when(F.char_length(units) > 4, F.concat(code(F.left(units, F.lit(4))), code(F.right(units, F.lit(4))))).otherwise(code(units))
+        return F.when((x >= " ") & (x <= "~"), x).otherwise(both)
+
+    out = F.when(quoted.rlike("[^ -~]"), F.array_join(F.transform(F.split(quoted, ""), escaped), "")).otherwise(quoted)
+    return F.when(c.isNotNull(), F.concat(F.lit('"'), out, F.lit('"')))
+
+
+def json_amount(c: Column) -> Column:
+    """An amount with one decimal place at least and no exponent."""
+    return F.regexp_replace(c.cast("decimal(30,2)").cast("string"), "0$", "")
+
+
+def json_lines(entries: list[tuple[str, Column]], depth: int) -> Column:
+    """An object with an entry on each line, two spaces deeper than ``depth``; entries without a value are left out."""
+    pad = "\n" + "  " * (depth + 1)
+    given = F.array_compact(F.array(*(F.concat(F.lit(f'{pad}"{name}": '), value) for name, value in entries)))
+    return F.when(F.size(given) == 0, "{}").otherwise(F.concat(F.lit("{"), F.array_join(given, ","), F.lit("\n" + "  " * depth + "}")))
+
+
+def json_list(items: Column, depth: int) -> Column:
+    """A list of JSON texts, each on a line."""
+    pad = "\n" + "  " * (depth + 1)
+    return F.when(F.coalesce(F.size(items), F.lit(0)) < 1, "[]").otherwise(F.concat(F.lit("[" + pad), F.array_join(items, "," + pad), F.lit("\n" + "  " * depth + "]")))
+
+
+ACCOUNT_KEYS = (
+    "raw_block", "creditor_name", "account_number", "balance", "credit_limit", "account_status", "date_opened", "date_closed", "date_of_first_delinquency", "date_last_reported", "account_type",
+    "extraction_method",
+)
+INQUIRY_KEYS = ("raw_block", "creditor_name", "inquiry_date", "inquiry_type")
+PERSON_KEYS = ("name", "ssn_last_four", "date_of_birth", "address")
+
+
+def _json_rows(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """By report, the JSON list of its rows in order; values that were not found are left out. A report has tens of them."""
+    value = lambda k: json_amount(F.col(k)) if k in ("balance", "credit_limit") else json_text(F.col(k))
+    each = rows.select("id", "n", json_lines([(k, value(k)) for k in keys], 2).alias("json"))
+    return each.groupBy(F.col("id").alias(f"{name}_of")).agg(json_list(F.array_sort(F.collect_list(F.struct("n", "json")))["json"], 1).alias(name))
+
+
+def analysis_request(reports: DataFrame, accounts: DataFrame, inquiries: DataFrame) -> DataFrame:
+    """By report, the indented JSON that an external analysis is given, cut where it is too long: id, request, has_text, truncated.
+
+    It holds what was parsed, and the beginning of the raw text where no account was found.
+    """
+    unparsed = accounts.groupBy(F.col("id").alias("text_of")).agg((F.count_if(F.col("extraction_method").isNull()) == 0).alias("unparsed"))
+    out = reports.join(_json_rows(accounts, ACCOUNT_KEYS, "accounts"), F.col("id") == F.col("accounts_of"), "left")
+    out = out.join(_json_rows(inquiries, INQUIRY_KEYS, "inquiries"), F.col("id") == F.col("inquiries_of"), "left").join(unparsed, F.col("id") == F.col("text_of"), "left")
+    has_text = F.coalesce("unparsed", F.lit(True))
+    null = F.lit("null")
+    body = json_lines(
+        [
+            ("bureau", F.coalesce(json_text(F.col("bureau")), null)), ("credit_score", F.coalesce(F.col("credit_score").cast("string"), null)),
+            ("report_date", F.coalesce(json_text(F.col("report_date")), null)), ("accounts", F.coalesce("accounts", F.lit("[]"))), ("inquiries", F.coalesce("inquiries", F.lit("[]"))),
+            ("personal_info", json_lines([(k, json_text(F.col(f"person.{k}"))) for k in PERSON_KEYS], 1)),
+            ("raw_text", F.when(has_text, json_text(F.left(F.coalesce("raw_text", F.lit("")), F.lit(TEXT_LIMIT))))),
+        ],
+        0,
+    )
+    out = out.select("id", body.alias("request"), has_text.alias("has_text")).withColumn("truncated", F.char_length("request") > JSON_LIMIT)
+    return out.withColumn("request", F.when(F.col("truncated"), F.concat(F.left("request", F.lit(JSON_LIMIT)), F.lit(TRUNCATED))).otherwise(F.col("request")))

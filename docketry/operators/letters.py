@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import dates, steps
+from docketry.operators.lifecycle import letter_subject
 from docketry.operators.reports import DEFAULT_PLACEHOLDERS
 
 
@@ -15,7 +16,7 @@ def bureau_letters(disputes: DataFrame, users: DataFrame, accounts: DataFrame, a
     u = users.select(F.col("id").alias("user_key"), "full_name", "state")
     j = disputes.join(a, F.col("account_id") == F.col("account_key"), "left").join(u, F.col("user_id") == F.col("user_key"), "left")
     name = F.coalesce("full_name", F.lit(DEFAULT_PLACEHOLDERS["full_name"]))
-    subject = F.concat(F.lit("RE: Dispute of Account — "), F.coalesce("creditor_name", F.lit("unknown")))
+    subject = letter_subject(F.col("creditor_name"))
     body = F.concat_ws(
         "\n\n", dates.long_date(as_of), steps.bureau_address(F.col("bureau")), subject,
         F.format_string("I dispute account %s, reported by %s. Round %d.", F.coalesce("account_number", F.lit("unknown")), F.coalesce("creditor_name", F.lit("unknown")), "current_round"),

@@ -1,4 +1,8 @@
-"""Disputes as a fold over an event log: create, approve, submit, respond, each behind its guard."""
+"""Disputes as a fold over an event log: create, approve, submit, respond, each behind its guard.
+
+The events of one dispute are gathered into one row and folded there. They are the steps of one
+case (tens, hundreds at most), never an unbounded group.
+"""
 
 from __future__ import annotations
 
@@ -45,16 +49,54 @@ def step(s: Column, e: Column) -> Column:
     )
 
 
+LOGGED = ("create", "approve", "submit", "respond")
+
+
+def gathered(actions: DataFrame) -> DataFrame:
+    """dispute_id and its events in order of ts and seq; events that change nothing by kind are dropped first."""
+    log = actions.where(F.col("action").isin(*LOGGED))
+    return log.groupBy("dispute_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "action", "response_type"))).alias("events"))
+
+
+def _nothing() -> Column:
+    return _state(**{n: F.lit(None) for n in ("status", "round", "next_action", "updated", "outcome", "strategy", "letter")}, sent=F.lit(0), rejected=F.lit(0))
+
+
 def fold(actions: DataFrame) -> DataFrame:
-    """The state of each dispute after its log (dispute_id, seq, ts, action, response_type), in order of ts and seq.
+    """The state of each dispute after its log (dispute_id, seq, ts, action, response_type); without a create its status is null."""
+    return gathered(actions).select("dispute_id", F.aggregate("events", _nothing(), step).alias("s")).select("dispute_id", "s.*")
 
-    Events that change nothing by kind are dropped first; a dispute without a create has a null status.
-    """
-    log = actions.where(F.col("action").isin("create", "approve", "submit", "respond"))
-    events = F.array_sort(F.collect_list(F.struct("ts", "seq", "action", "response_type")))
-    none = {n: F.lit(None) for n in ("status", "round", "next_action", "updated", "outcome", "strategy", "letter")}
-    out = log.groupBy("dispute_id").agg(events.alias("events"))
-    return out.select("dispute_id", F.aggregate("events", _state(**none, sent=F.lit(0), rejected=F.lit(0)), step).alias("s")).select("dispute_id", "s.*")
+
+def accepted(actions: DataFrame) -> DataFrame:
+    """The events that passed their guard: dispute_id, ts, seq, action, response_type, the round they came in (1 for a create) and the strategy after them."""
+    events = gathered(actions)
+    kind = events.schema["events"].dataType.simpleString()[len("array<struct<") : -2]
+    row = f"struct<{kind},round:int,strategy:string>"
+
+    def add(acc: Column, e: Column) -> Column:
+        after = step(acc["s"], e)
+        new = F.struct(e["ts"], e["seq"], e["action"], e["response_type"], F.coalesce(acc["s"]["round"], F.lit(1)), after["strategy"]).cast(row)
+        return F.struct(after.alias("s"), F.when(after["rejected"] > acc["s"]["rejected"], acc["out"]).otherwise(F.array_append(acc["out"], new)).alias("out"))
+
+    first = F.struct(_nothing().alias("s"), F.array().cast(f"array<{row}>").alias("out"))
+    return events.select("dispute_id", F.inline(F.aggregate("events", first, add, lambda acc: acc["out"])))
+
+
+def round_rows(actions: DataFrame) -> DataFrame:
+    """One row for each submission and one for each response, as they are appended; a response does not change the row of its submission."""
+    sent, answered = F.col("action") == "submit", F.col("action") == "respond"
+    return accepted(actions).where(sent | answered).select(
+        "dispute_id", "seq", F.col("round").alias("round_number"), F.when(sent, F.col("ts")).alias("sent_date"), F.when(answered, F.col("ts")).alias("response_received_date"),
+        F.when(answered, F.col("response_type")).alias("response_type"), F.when(answered, F.col("strategy")).alias("next_strategy"),
+    )
+
+
+def letter_rows(actions: DataFrame) -> DataFrame:
+    """The letter that each accepted create drafts: round 1, what approval and submission made of it, and when it went out."""
+    at = lambda a: F.max(F.when(F.col("action") == a, F.col("ts")))
+    out = accepted(actions).groupBy("dispute_id").agg(at("create").alias("created_at"), at("approve").alias("approved_at"), at("submit").alias("submitted_at"))
+    status = F.when(F.col("submitted_at").isNotNull(), "submitted").when(F.col("approved_at").isNotNull(), "approved").otherwise("draft")
+    return out.where(F.col("created_at").isNotNull()).select("dispute_id", F.lit(1).alias("round_number"), status.alias("status"), "created_at", "submitted_at")
 
 
 def opened(accounts: DataFrame, findings: DataFrame, as_of: Column) -> DataFrame:
@@ -65,29 +107,52 @@ def opened(accounts: DataFrame, findings: DataFrame, as_of: Column) -> DataFrame
     j = accounts.where(F.col("is_disputable")).join(findings, F.col("id") == F.col("account_id"), "left")
     kind = steps.letter_type(F.col("violation_types"), F.col("primary_strategy"), F.coalesce("strategy_given", F.lit(False)), F.lit(1))
     return j.select(
-        F.col("id").alias("account_id"), F.lit("pending_approval").alias("status"), F.lit(1).alias("current_round"), kind.alias("strategy"),
+        F.col("id").alias("account_id"), "bureau", F.lit("pending_approval").alias("status"), F.lit(1).alias("current_round"), kind.alias("strategy"),
         dates.plus_days(as_of, dates.RESPONSE_DAYS).alias("next_action_date"), priority_level(F.col("priority_score")).alias("priority"), as_of.alias("created_at"),
     )
 
 
-def regenerated(letters: DataFrame, disputes: DataFrame, asked: str | None = None) -> DataFrame:
-    """Letters not yet sent, back to draft with the type asked for or that of the current round."""
-    d = disputes.select(F.col("id").alias("dispute_key"), "current_round")
-    kind = F.lit(asked) if asked else steps.letter_type(F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(False), F.col("current_round"))
-    out = letters.where(~F.col("status").isin("submitted", "delivered")).join(d, F.col("dispute_id") == F.col("dispute_key"))
-    return out.withColumn("letter_type", kind).withColumn("status", F.lit("draft")).drop("dispute_key", "current_round")
+def drafts(opened_disputes: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The first letter of each new dispute (account_id, bureau, strategy, created_at), as a draft to the bureau."""
+    a = accounts.select(F.col("id").alias("account_key"), "creditor_name")
+    j = opened_disputes.join(a, F.col("account_id") == F.col("account_key"))
+    return j.select(
+        "account_id", F.lit(1).alias("round_number"), F.col("bureau").alias("recipient"), F.lit("bureau").alias("recipient_type"), F.col("strategy").alias("letter_type"),
+        letter_subject(F.col("creditor_name")).alias("subject"), F.lit("draft").alias("status"), "created_at",
+    )
+
+
+def letter_subject(creditor: Column) -> Column:
+    return F.concat(F.lit("RE: Dispute of Account — "), F.coalesce(creditor, F.lit("unknown")))
+
+
+def regenerated(letters: DataFrame, disputes: DataFrame, findings: DataFrame, asked: str | None = None) -> DataFrame:
+    """Letters not yet sent, back to draft with the type asked for, or that of the round and the account's findings, and with their citations.
+
+    ``findings`` has account_id, violation_types, citations, primary_strategy and strategy_given;
+    an account without a row there has no violations and no strategy. Letters keep their columns;
+    legal_citations is added where it is missing.
+    """
+    d = disputes.select(F.col("id").alias("dispute_key"), "account_id", "current_round")
+    found = findings.select(F.col("account_id").alias("found_key"), "violation_types", "citations", "primary_strategy", "strategy_given")
+    out = letters.where(~F.col("status").isin("submitted", "delivered")).join(d, letters["dispute_id"] == F.col("dispute_key")).join(found, F.col("account_id") == F.col("found_key"), "left")
+    kind = F.lit(asked) if asked else steps.letter_type(F.col("violation_types"), F.col("primary_strategy"), F.coalesce("strategy_given", F.lit(False)), F.col("current_round"))
+    new = {"letter_type": kind, "status": F.lit("draft"), "legal_citations": F.coalesce("citations", F.array().cast("array<string>"))}
+    return out.select(*(c for c in letters.columns if c not in new), *(v.alias(c) for c, v in new.items()))
 
 
 def letters_sent(letters: DataFrame, disputes: DataFrame, sent: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """Letters and disputes after ``sent`` (letter_id, method, tracking): both are submitted, and the next action is due in 35 days."""
+    """Letters and disputes after ``sent`` (letter_id, method, tracking): both are submitted, and the next action is due in 35 days.
+
+    Other letters keep what they had. Columns that letters do not have yet are added at their end.
+    """
     s = sent.select(F.col("letter_id").alias("sent_key"), "method", "tracking")
     marked = letters.join(s, letters["id"] == s["sent_key"], "left")
     hit = F.col("sent_key").isNotNull()
-    new = marked.select(
-        *(F.when(hit, "submitted").otherwise(F.col("status")).alias("status") if c == "status" else letters[c] for c in letters.columns),
-        F.col("method").alias("submission_method"), F.col("tracking").alias("certified_mail_tracking"), F.when(hit, at).alias("submitted_at"),
-    )
-    of = marked.where(hit).select(F.col("dispute_id").alias("dispute_key")).distinct()
+    changes = {"status": F.lit("submitted"), "submission_method": F.col("method"), "certified_mail_tracking": F.col("tracking"), "submitted_at": at}
+    kept = [F.when(hit, changes[c]).otherwise(letters[c]).alias(c) if c in changes else letters[c] for c in letters.columns]
+    new = marked.select(*kept, *(F.when(hit, v).alias(c) for c, v in changes.items() if c not in letters.columns))
+    of = marked.where(hit).select(letters["dispute_id"].alias("dispute_key")).distinct()
     moved = disputes.join(of, disputes["id"] == of["dispute_key"], "left")
     hit = F.col("dispute_key").isNotNull()
     changes = {"status": F.lit("submitted"), "next_action_date": dates.plus_days(at, dates.RESPONSE_DAYS), "updated_at": at}

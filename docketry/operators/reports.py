@@ -87,8 +87,36 @@ def report_summary(reports: DataFrame, accounts: DataFrame, inquiries: DataFrame
     return out.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("accounts", "disputable", "clean", "bad_inquiries")))
 
 
+def empty_dashboard(disputes: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row: whether there is neither a report nor a dispute. Each side looks at one row at most."""
+    some = reports.select(F.lit(1).alias("x")).limit(1).union(disputes.select(F.lit(1).alias("x")).limit(1))
+    return some.agg((F.count("*") == 0).alias("empty"))
+
+
+def lookup(rows: DataFrame, key, name: str = "id") -> DataFrame:
+    """The row with an id; none where there is no such row."""
+    return rows.where(F.col(name) == key)
+
+
+#: What a letter shows, in this order.
+LETTER_FIELDS = (
+    "id", "dispute_id", "round_number", "letter_type", "recipient", "recipient_type", "subject", "body", "status", "submission_method", "submitted_at",
+    "certified_mail_tracking", "legal_citations", "created_at",
+)
+
+
+def letter_detail(letters: DataFrame) -> DataFrame:
+    """All fields of each letter, times as text and null where there is none."""
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return letters.select(*(time(c) if c.endswith("_at") else c for c in LETTER_FIELDS))
+
+
 def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
-    """Parents with an array of their children's fields, in order of the fields; empty where there are none."""
+    """Parents with an array of their children's fields, in order of the fields; empty where there are none.
+
+    Children are the accounts and inquiries of one report, or the letters and rounds of one
+    dispute: tens, hundreds at most, so an array of them is no unbounded group.
+    """
     nested = children.groupBy(F.col(key).alias("parent_key")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     kind = nested.schema[name].dataType
     return parents.join(nested, parents["id"] == nested["parent_key"], "left").withColumn(name, F.coalesce(name, F.array().cast(kind))).drop("parent_key")

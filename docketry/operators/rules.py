@@ -13,10 +13,11 @@ def too_old(accounts: DataFrame, as_of: Column) -> DataFrame:
     return accounts.where(dates.past_limit(F.col("first_delinquency"), as_of)).select("id", dates.removal_time(F.col("first_delinquency")).alias("removal_time"))
 
 
-def re_aged(accounts: DataFrame) -> DataFrame:
-    """The first delinquency moves later from one report of an account to the next."""
-    before = F.lag("first_delinquency").over(Window.partitionBy("user_id", "account_number", "bureau").orderBy("date_opened", "id"))
-    return accounts.withColumn("before", before).where(F.col("before") < F.col("first_delinquency")).select("id", "before", "first_delinquency")
+def re_aged(accounts: DataFrame, reports: DataFrame) -> DataFrame:
+    """The first delinquency moves later from one report of an account to the next, by the reports' times."""
+    r = reports.select(F.col("id").alias("report_key"), F.col("created_at").alias("reported"))
+    before = F.lag("first_delinquency").over(Window.partitionBy("user_id", "account_number", "bureau").orderBy("reported", "id"))
+    return accounts.join(r, F.col("report_id") == F.col("report_key")).withColumn("before", before).where(F.col("before") < F.col("first_delinquency")).select("id", "before", "first_delinquency")
 
 
 def balance_mismatch(accounts: DataFrame) -> DataFrame:
@@ -39,9 +40,10 @@ def open_but_closed(accounts: DataFrame) -> DataFrame:
 
 
 def charged_off_and_collected(accounts: DataFrame) -> DataFrame:
-    """Charged off with a balance, while a collector also reports for the same user."""
-    collectors = accounts.where(F.col("account_status") == "collection").select("user_id")
-    return accounts.where((F.col("account_status") == "charged_off") & (F.col("balance") > 0)).join(collectors, "user_id", "left_semi").select("id", "user_id")
+    """Charged off with a balance, while a collector also reports the same debt: the user's account number."""
+    debt = ["user_id", "account_number"]
+    collectors = accounts.where(F.col("account_status") == "collection").select(*debt)
+    return accounts.where((F.col("account_status") == "charged_off") & (F.col("balance") > 0)).join(collectors, debt, "left_semi").select("id", "user_id")
 
 
 def closed_without_date(accounts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from docketry.functions import bands, dates, patterns, steps
 from docketry.operators import extract, ingest, letters, lifecycle, reports, rules
 from docketry.plans import views as v
 from docketry.plans.oracle import NOW, pick, sql
-from docketry.sources import reference
+from docketry.sources import reference, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,11 +29,6 @@ def query(oracle: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def case(key: str, table: dict, default: str) -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"CASE {key} " + " ".join(f"WHEN {quote(k)} THEN {quote(x)}" for k, x in table.items()) + f" ELSE {default} END"
-
-
 # ---- lists, counts, dashboards ------------------------------------------------------------
 
 _SILENT = f"(status = 'submitted' AND updated_at <= {NOW} - INTERVAL 35 DAYS)"
@@ -171,14 +166,36 @@ def letter_context(spark, d):
     return out.select("id", "letter_type", "bureau", "current_round", "creditor_name", "account_number")
 
 
+@query(sql("SELECT (SELECT count(*) FROM disputes) = 0 AND (SELECT count(*) FROM reports) = 0 AS empty", "disputes", "reports"))
+def dashboard_empty(spark, d):
+    return reports.empty_dashboard(v.disputes(spark, d), v.reports(spark, d))
+
+
+@query(sql("SELECT id, user_id, bureau, credit_score FROM reports WHERE id = 301", "reports"))
+def report_lookup(spark, d):
+    return reports.lookup(v.reports(spark, d), 301).select("id", "user_id", "bureau", "credit_score")
+
+
+@query(sql("SELECT id, full_name, email, state FROM users WHERE id = 7", "users"))
+def user_lookup(spark, d):
+    return reports.lookup(v.users(spark, d), 7).select("id", "full_name", "email", "state")
+
+
+@query(sql("""SELECT id, dispute_id, round_number, letter_type, recipient, recipient_type, subject, body, status, submission_method, strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS submitted_at,
+    certified_mail_tracking, array_to_string(legal_citations, ';') AS legal_citations, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM letters""", "letters"))
+def letter_detail(spark, d):
+    return reports.letter_detail(v.letters(spark, d)).withColumn("legal_citations", F.array_join("legal_citations", ";"))
+
+
 # ---- steps ----------------------------------------------------------------------------------
 
 
-_NEXT = f"CASE WHEN response_type = 'verified' THEN {case('round_number', steps.VERIFIED_STRATEGY, chr(39) + 'legal_escalation' + chr(39))} ELSE {case('response_type', steps.STRATEGY_AFTER, chr(39) + 'review_required' + chr(39))} END"
+_NEXT = """CASE response_type WHEN 'verified' THEN CASE round_number WHEN 1 THEN 'section_609_method_of_verification' WHEN 2 THEN 'furnisher_direct_dispute' ELSE 'legal_escalation' END
+    WHEN 'removed' THEN 'monitor' WHEN 'no_response' THEN 'deletion_demand' WHEN 'updated' THEN 'verify_update_and_escalate_if_incomplete' WHEN 'denied' THEN 'new_angle_attack' ELSE 'review_required' END"""
+_AFTER = """CASE response_type WHEN 'removed' THEN 'resolved' WHEN 'no_response' THEN 'escalated' WHEN 'frivolous' THEN 'frivolous_flagged' ELSE 'response_received' END"""
 
 
-@query(sql(f"""SELECT id, {case("response_type", steps.STATUS_AFTER, "'response_received'")} AS status,
-    CAST(CASE WHEN response_type IN ('removed', 'frivolous') THEN round_number ELSE round_number + 1 END AS INTEGER) AS round,
+@query(sql(f"""SELECT id, {_AFTER} AS status, CAST(CASE WHEN response_type IN ('removed', 'frivolous') THEN round_number ELSE round_number + 1 END AS INTEGER) AS round,
     CASE WHEN response_type IN ('removed', 'verified', 'denied') THEN response_type END AS outcome FROM rounds""", "rounds"))
 def response_transition(spark, d):
     r, n = F.col("response_type"), F.col("round_number")
@@ -203,8 +220,8 @@ def letter_type(spark, d):
     return out.select("id", "current_round", steps.letter_type(F.col("types"), primary, key != 0, F.col("current_round")).alias("letter_type"))
 
 
-_FOLD = """, log AS (SELECT dispute_id, row_number() OVER (PARTITION BY dispute_id ORDER BY ts, seq) AS i, ts, action, response_type FROM actions WHERE action <> 'noop'),
-f AS (SELECT dispute_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INTEGER) AS round, CAST(NULL AS TIMESTAMP) AS next_action, CAST(NULL AS VARCHAR) AS strategy, 0 AS sent, 0 AS rejected
+_FOLD = """, log AS (SELECT dispute_id, row_number() OVER (PARTITION BY dispute_id ORDER BY ts, seq) AS i, ts, seq, action, response_type FROM actions WHERE action <> 'noop'),
+f AS (SELECT dispute_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INTEGER) AS round, CAST(NULL AS TIMESTAMP) AS next_action, CAST(NULL AS VARCHAR) AS strategy, 0 AS sent, 0 AS rejected, CAST(NULL AS TIMESTAMP) AS updated
   FROM (SELECT DISTINCT dispute_id FROM log)
   UNION ALL SELECT l.dispute_id, l.i,
   CASE WHEN action = 'create' AND status IS NULL THEN 'pending_approval' WHEN action = 'approve' AND status = 'pending_approval' THEN 'approved' WHEN action = 'submit' AND status = 'approved' THEN 'submitted'
@@ -213,48 +230,93 @@ f AS (SELECT dispute_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS status
   CASE WHEN action = 'create' AND status IS NULL THEN ts + INTERVAL 35 DAYS WHEN action = 'respond' AND status IS NOT NULL THEN CASE WHEN response_type <> 'removed' THEN ts + INTERVAL 40 DAYS END ELSE next_action END,
   CASE WHEN action = 'create' AND status IS NULL THEN NULL WHEN action = 'respond' AND status IS NOT NULL THEN {strategy} ELSE strategy END,
   sent + CAST(action = 'submit' AND coalesce(status = 'approved', false) AS INTEGER),
-  rejected + CAST(NOT coalesce((action = 'create' AND status IS NULL) OR (action = 'approve' AND status = 'pending_approval') OR (action = 'submit' AND status = 'approved') OR (action = 'respond' AND status IS NOT NULL), false) AS INTEGER)
-  FROM f JOIN log l ON l.dispute_id = f.dispute_id AND l.i = f.i + 1)
-SELECT dispute_id, status, round, next_action, strategy, sent, rejected FROM f QUALIFY row_number() OVER (PARTITION BY dispute_id ORDER BY i DESC) = 1"""
+  rejected + CAST(NOT coalesce((action = 'create' AND status IS NULL) OR (action = 'approve' AND status = 'pending_approval') OR (action = 'submit' AND status = 'approved') OR (action = 'respond' AND status IS NOT NULL), false) AS INTEGER),
+  CASE WHEN (action = 'create' AND status IS NULL) OR (action = 'approve' AND status = 'pending_approval') OR (action = 'submit' AND status = 'approved') OR (action = 'respond' AND status IS NOT NULL) THEN ts ELSE updated END
+  FROM f JOIN log l ON l.dispute_id = f.dispute_id AND l.i = f.i + 1)"""
+_FOLDED = sql("", "actions").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + _FOLD.format(status=_AFTER, strategy=_NEXT.replace("round_number", "round"))
 
 
-@query(sql("", "actions").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + _FOLD.format(status=case("response_type", steps.STATUS_AFTER, "'response_received'"), strategy=_NEXT.replace("round_number", "round")))
+@query(_FOLDED + "\nSELECT dispute_id, status, round, next_action, strategy, sent, rejected, updated FROM f QUALIFY row_number() OVER (PARTITION BY dispute_id ORDER BY i DESC) = 1")
 def dispute_fold(spark, d):
-    return lifecycle.fold(v.actions(spark, d)).select("dispute_id", "status", "round", "next_action", "strategy", "sent", "rejected")
+    return lifecycle.fold(v.actions(spark, d)).select("dispute_id", "status", "round", "next_action", "strategy", "sent", "rejected", "updated")
 
 
 @query(sql(f"""SELECT a.id AS account_id, 'pending_approval' AS status, 1 AS current_round, CASE WHEN m THEN 'metro2_compliance' WHEN f THEN 'fcra_violation' ELSE 'factual_dispute' END AS strategy,
     {NOW} + INTERVAL 35 DAYS AS next_action_date, priority_score AS priority FROM accounts a LEFT JOIN (SELECT account_id AS k, bool_or(violation_type = 'metro2') AS m, bool_or(violation_type = 'fcra') AS f
     FROM violations GROUP BY 1) ON k = a.id WHERE is_disputable""", "accounts", "violations"))
 def disputes_opened(spark, d):
-    found = v.violations(spark, d).groupBy("account_id").agg(F.collect_set("violation_type").alias("violation_types"))
-    found = found.select("account_id", "violation_types", F.lit(None).cast("string").alias("primary_strategy"), F.lit(False).alias("strategy_given"))
-    return lifecycle.opened(v.accounts(spark, d), found, v.as_of()).drop("created_at")
+    return lifecycle.opened(v.accounts(spark, d), _no_strategy(spark, d), v.as_of()).drop("created_at", "bureau")
+
+
+def _no_strategy(spark, d):
+    return _findings(spark, d).withColumns({"primary_strategy": F.lit(None).cast("string"), "strategy_given": F.lit(False)})
+
+
+_ROWS = """, f AS (SELECT * FROM folded), ev AS (SELECT l.dispute_id, l.i, l.ts, l.seq, action, response_type, b.round AS round_before, a.strategy
+  FROM log l JOIN f b ON b.dispute_id = l.dispute_id AND b.i = l.i - 1 JOIN f a ON a.dispute_id = l.dispute_id AND a.i = l.i WHERE a.rejected = b.rejected)"""
+_EVENTS = _FOLDED.replace("f AS (SELECT dispute_id, CAST(0", "folded AS (SELECT dispute_id, CAST(0").replace("FROM f JOIN log l ON l.dispute_id = f.dispute_id AND l.i = f.i + 1)", "FROM folded f JOIN log l ON l.dispute_id = f.dispute_id AND l.i = f.i + 1)") + _ROWS
 
 
-@query(sql("""SELECT l.id, 'draft' AS status, CASE current_round WHEN 1 THEN 'factual_dispute' WHEN 2 THEN 'section_609' ELSE 'fcra_violation' END AS letter_type
-    FROM letters l JOIN disputes d ON d.id = dispute_id WHERE l.status <> 'submitted'""", "letters", "disputes"))
+@query(_EVENTS + """
+SELECT dispute_id, seq, coalesce(round_before, 1) AS round_number, CASE action WHEN 'submit' THEN ts END AS sent_date, CASE action WHEN 'respond' THEN ts END AS response_received_date,
+  CASE action WHEN 'respond' THEN response_type END AS response_type, CASE action WHEN 'respond' THEN strategy END AS next_strategy FROM ev WHERE action IN ('submit', 'respond')""")
+def round_log(spark, d):
+    return lifecycle.round_rows(v.actions(spark, d))
+
+
+@query(_EVENTS + """
+SELECT dispute_id, 1 AS round_number, CASE WHEN max(ts) FILTER (action = 'submit') IS NOT NULL THEN 'submitted' WHEN max(ts) FILTER (action = 'approve') IS NOT NULL THEN 'approved' ELSE 'draft' END AS status,
+  max(ts) FILTER (action = 'create') AS created_at, max(ts) FILTER (action = 'submit') AS submitted_at FROM ev GROUP BY dispute_id HAVING max(ts) FILTER (action = 'create') IS NOT NULL""")
+def letter_log(spark, d):
+    return lifecycle.letter_rows(v.actions(spark, d))
+
+
+def _findings(spark, d):
+    """Violations of each account; every fifth account's analysis names no strategy, others one or an empty one."""
+    found = v.violations(spark, d).groupBy("account_id").agg(F.collect_set("violation_type").alias("violation_types"), F.array_sort(F.collect_set("legal_citation")).alias("citations"))
+    key = F.col("account_id") % 5
+    return found.select("*", F.when(key == 1, "section_609").when(key > 2, "factual_dispute").alias("primary_strategy"), (key != 0).alias("strategy_given"))
+
+
+_FOUND = """(SELECT account_id, bool_or(violation_type = 'metro2') AS m, bool_or(violation_type = 'fcra') AS f, string_agg(DISTINCT legal_citation, ';' ORDER BY legal_citation) AS c,
+    CASE account_id % 5 WHEN 0 THEN 'factual_dispute' WHEN 1 THEN 'section_609' WHEN 2 THEN '' ELSE 'factual_dispute' END AS s FROM violations GROUP BY account_id)"""
+
+
+@query(sql(f"""SELECT l.id, l.dispute_id, l.round_number, l.recipient, l.body, 'draft' AS status, coalesce(c, '') AS citations,
+    CASE WHEN current_round = 1 THEN CASE WHEN coalesce(m, false) THEN 'metro2_compliance' WHEN coalesce(f, false) THEN 'fcra_violation' WHEN s = '' THEN 'section_609' ELSE coalesce(s, 'factual_dispute') END
+    WHEN current_round = 2 THEN CASE coalesce(s, 'factual_dispute') WHEN 'factual_dispute' THEN 'section_609' WHEN 'section_609' THEN 'section_611' ELSE 'fcra_violation' END ELSE 'fcra_violation' END AS letter_type
+    FROM letters l JOIN disputes d ON d.id = l.dispute_id LEFT JOIN {_FOUND} x ON x.account_id = d.account_id WHERE l.status NOT IN ('submitted', 'delivered')""", "letters", "disputes", "violations"))
 def letters_regenerated(spark, d):
-    return lifecycle.regenerated(v.letters(spark, d), v.disputes(spark, d)).select("id", "status", "letter_type")
+    out = lifecycle.regenerated(v.letters(spark, d), v.disputes(spark, d), _findings(spark, d))
+    return out.select("id", "dispute_id", "round_number", "recipient", "body", "status", "letter_type", F.array_join("legal_citations", ";").alias("citations"))
 
 
-@query(sql("SELECT id, CASE WHEN id % 4 = 0 THEN 'submitted' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN 'certified_mail' END AS submission_method FROM letters", "letters"))
+@query(sql(f"""SELECT id, dispute_id, letter_type, body, created_at, CASE WHEN id % 4 = 0 THEN 'submitted' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN 'certified_mail' ELSE submission_method END AS submission_method,
+    CASE WHEN id % 4 = 0 THEN {NOW} ELSE submitted_at END AS submitted_at, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN concat('C', id) END ELSE certified_mail_tracking END AS certified_mail_tracking FROM letters""", "letters"))
 def letters_submitted(spark, d):
-    return _sent(spark, d)[0].select("id", "status", "submission_method")
+    return _sent(spark, d)[0].select("id", "dispute_id", "letter_type", "body", "created_at", "status", "submission_method", "submitted_at", "certified_mail_tracking")
 
 
-@query(sql(f"""SELECT id, CASE WHEN s THEN 'submitted' ELSE status END AS status, CASE WHEN s THEN {NOW} + INTERVAL 35 DAYS ELSE next_action_date END AS next_action_date
+@query(sql(f"""SELECT id, CASE WHEN s THEN 'submitted' ELSE status END AS status, CASE WHEN s THEN {NOW} + INTERVAL 35 DAYS ELSE next_action_date END AS next_action_date, CASE WHEN s THEN {NOW} ELSE updated_at END AS updated_at
     FROM (SELECT *, id IN (SELECT dispute_id FROM letters WHERE id % 4 = 0) AS s FROM disputes)""", "letters", "disputes"))
 def disputes_submitted(spark, d):
-    return _sent(spark, d)[1].select("id", "status", "next_action_date")
+    return _sent(spark, d)[1].select("id", "status", "next_action_date", "updated_at")
 
 
 def _sent(spark, d):
     letters_now = v.letters(spark, d)
-    sent = letters_now.where("id % 4 = 0").select(F.col("id").alias("letter_id"), F.lit("certified_mail").alias("method"), F.lit(None).cast("string").alias("tracking"))
+    tracking = F.when(F.col("id") % 8 == 0, F.concat(F.lit("C"), "id"))
+    sent = letters_now.where("id % 4 = 0").select(F.col("id").alias("letter_id"), F.lit("certified_mail").alias("method"), tracking.alias("tracking"))
     return lifecycle.letters_sent(letters_now, v.disputes(spark, d), sent, v.as_of())
 
 
+@query(sql(f"""SELECT a.id AS account_id, a.bureau AS recipient, CASE WHEN m THEN 'metro2_compliance' WHEN f THEN 'fcra_violation' ELSE 'factual_dispute' END AS letter_type, concat('RE: Dispute of Account — ', creditor_name) AS subject,
+    1 AS round_number, 'draft' AS status, {NOW} AS created_at FROM accounts a LEFT JOIN {_FOUND} x ON x.account_id = a.id WHERE is_disputable""", "accounts", "violations"))
+def letters_drafted(spark, d):
+    out = lifecycle.drafts(lifecycle.opened(v.accounts(spark, d), _no_strategy(spark, d), v.as_of()), v.accounts(spark, d))
+    return out.select("account_id", "recipient", "letter_type", "subject", "round_number", "status", "created_at")
+
+
 # ---- extraction -----------------------------------------------------------------------------
 
 
@@ -266,7 +328,13 @@ def bureau_detect(spark, d):
     return v.report_texts(spark, d).select("id", patterns.bureau(F.col("text")).alias("bureau"))
 
 
-_SCORES = ", ".join(f"TRY_CAST(regexp_extract(text, '(?i){p}', 1) AS INTEGER) AS p{i}" for i, p in enumerate(patterns.SCORE_PATTERNS))
+# ---- fixed values: the patterns of the extraction in the other engine's dialect, up to the end mark ----
+_SCORES = ", ".join(
+    f"TRY_CAST(regexp_extract(text, '(?i){p}', 1) AS INTEGER) AS p{i}"
+    for i, p in enumerate((
+        "(?:credit\\s+score|fico\\s+score|vantage\\s+score)[:\\s]+(\\d{3})", "(\\d{3})\\s+(?:credit\\s+score|fico)", "score[:\\s]+(\\d{3})\\b", "\\b([3-8]\\d{2})\\b.*(?:score|rating)",
+    ))
+)
 
 
 @query(sql(f"SELECT id, coalesce({', '.join(f'CASE WHEN p{i} BETWEEN 300 AND 850 THEN p{i} END' for i in range(4))}) AS credit_score FROM (SELECT id, {_SCORES} FROM report_texts)", "report_texts"))
@@ -294,22 +362,35 @@ def personal_info(spark, d):
     return v.report_texts(spark, d).select("id", patterns.personal_info(F.col("text")).alias("p")).select("id", "p.*")
 
 
-@query(sql(f"""SELECT id, r AS report_date, CAST(strptime(r, '%B %d, %Y') AS DATE) AS day FROM (SELECT id, {_rx("(?:report\\s+date|date\\s+of\\s+report|generated|as\\s+of)[:\\s]+(\\w+\\s+\\d{1,2},?\\s+\\d{4})")} AS r FROM report_texts)""", "report_texts"))
+_DATES = f"""SELECT id, coalesce({_rx("(?:report\\s+date|date\\s+of\\s+report|generated|as\\s+of)[:\\s]+(\\w+\\s+\\d{1,2},?\\s+\\d{4})")},
+    {_rx("(?:report\\s+date|date\\s+of\\s+report)[:\\s]+(\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4})")}) AS report_date, text"""
+_DAY = "CAST(coalesce(try_strptime(report_date, '%B %d, %Y'), try_strptime(report_date, '%m/%d/%Y')) AS DATE)"
+
+
+@query(sql(f"SELECT id, report_date, {_DAY} AS day FROM ({_DATES} FROM report_texts)", "report_texts"))
 def report_date(spark, d):
     out = v.report_texts(spark, d).select("id", patterns.report_date(F.col("text")).alias("report_date"))
     return out.withColumn("day", dates.loose_date(F.col("report_date")))
 
 
-_BLOCKS = """(SELECT id, n - 1 AS n, b FROM (SELECT id, unnest(l) AS b, generate_subscripts(l, 1) AS n FROM (SELECT id, string_split(regexp_replace(text,
-    '(?i)((?:Account\\s+#|Account\\s+Number|Creditor|Credit\\s+Card|Mortgage|Auto\\s+Loan|Student\\s+Loan|Collection)\\s*:)', chr(30) || '\\1', 'g'), chr(30)) AS l FROM report_texts)) WHERE length(trim(b, E' \\n')) >= 50)"""
 _CREDITOR = _rx("(?:creditor|company|lender|collection\\s+agency)[:\\s]+(.+?)(?:\\n|account)", text="b")
 _NUMBER = _rx("(?:account\\s*(?:#|number|num)|acct)[:\\s#]+([X*\\d-]{4,20})", text="b")
-_KEPT = f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k FROM (SELECT *, {_CREDITOR} AS creditor_name, {_NUMBER} AS account_number FROM {_BLOCKS}) WHERE creditor_name IS NOT NULL OR account_number IS NOT NULL)"
 
 
-@query(sql(f"SELECT id, k AS n, sha256(b) AS block FROM {_KEPT}".replace("k AS n", "CAST(k AS INTEGER) AS n"), "report_texts"))
+def _kept(view: str) -> str:
+    """Account blocks of a view of texts in order (k), and for texts without any one row that has no block."""
+    blocks = f"""(SELECT id, n - 1 AS n, b FROM (SELECT id, unnest(l) AS b, generate_subscripts(l, 1) AS n FROM (SELECT id, string_split(regexp_replace(text,
+    '(?i)((?:Account\\s+#|Account\\s+Number|Creditor|Credit\\s+Card|Mortgage|Auto\\s+Loan|Student\\s+Loan|Collection)\\s*:)', chr(30) || '\\1', 'g'), chr(30)) AS l FROM {view})) WHERE length(trim(b, E' \\n\\f')) >= 50)"""
+    found = f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS k FROM (SELECT *, {_CREDITOR} AS creditor_name, {_NUMBER} AS account_number FROM {blocks}) WHERE creditor_name IS NOT NULL OR account_number IS NOT NULL)"
+    return f"(SELECT t.id, CAST(coalesce(k, 0) AS INTEGER) AS n, b, coalesce(b, text) AS raw, trim(creditor_name) AS creditor_name, account_number FROM {view} t LEFT JOIN {found} x ON x.id = t.id WHERE text IS NOT NULL)"
+
+
+_KEPT = _kept("report_texts")
+
+
+@query(sql(f"SELECT id, n, sha256(raw) AS block, CASE WHEN b IS NULL THEN 'full_text_ai_parse' END AS extraction_method FROM {_KEPT}", "report_texts"))
 def account_blocks(spark, d):
-    return extract.account_rows(v.report_texts(spark, d)).select("id", "n", F.sha2("raw_block", 256).alias("block"))
+    return extract.account_rows(v.report_texts(spark, d)).select("id", "n", F.sha2("raw_block", 256).alias("block"), "extraction_method")
 
 
 def _money(labels: str) -> str:
@@ -330,25 +411,85 @@ def account_fields(spark, d):
 _SAID = _rx("(?:account\\s+status|status|payment\\s+status)[:\\s]+(.+?)(?:\\n|date|balance)", text="b")
 
 
-@query(sql(f"SELECT id, CASE {' '.join(f'WHEN contains(s, {chr(39)}{w}{chr(39)}) THEN {chr(39)}{x}{chr(39)}' for w, x in patterns.STATUS_MAP)} END AS account_status FROM (SELECT id, lower({_SAID}) AS s FROM {_KEPT})", "report_texts"))
+_STATUS = " ".join(
+    f"WHEN contains(s, '{w}') THEN '{x}'"
+    for w, x in (
+        ("charge off", "charged_off"), ("charged off", "charged_off"), ("collection", "collection"), ("in collections", "collection"), ("closed", "closed"), ("open", "open"), ("current", "current"),
+        ("pays as agreed", "current"), ("derogatory", "derogatory"), ("late", "late"), ("30", "30d_late"), ("60", "60d_late"), ("90", "90d_late"), ("120", "120d_late"),
+    )
+)
+
+
+@query(sql(f"SELECT id, CASE {_STATUS} END AS account_status FROM (SELECT id, lower({_SAID}) AS s FROM {_KEPT})", "report_texts"))
 def account_status(spark, d):
     return extract.account_rows(v.report_texts(spark, d)).select("id", "account_status")
 
 
-@query(sql(f"""SELECT id, trim({_rx("^(.+?)(?:\\n|date|\\d{1,2}[/-])", text="b")}) AS creditor_name, {_rx("(\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}|\\w+\\s+\\d{1,2},?\\s+\\d{4})", flags="", text="b")} AS inquiry_date,
+_INQUIRIES = f"""SELECT id, trim({_rx("^(.+?)(?:\\n|date|\\d{1,2}[/-])", text="b")}) AS creditor_name, {_rx("(\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}|\\w+\\s+\\d{1,2},?\\s+\\d{4})", flags="", text="b")} AS inquiry_date,
     CASE WHEN regexp_matches(b, '(?i)soft\\s+inquiry|promotional|pre-screen|account\\s+review') THEN 'soft' ELSE 'hard' END AS inquiry_type
-    FROM (SELECT id, unnest(regexp_split_to_array(regexp_extract(text, '(?is)(?:hard\\s+inquiries|credit\\s+inquiries|inquiries\\s+in\\s+the\\s+last)(.+?)(?:accounts|public\\s+records|\\z)', 1), '\\n{{2,}}')) AS b FROM report_texts)
-    WHERE length(trim(b, E' \\n')) >= 20""", "report_texts"))
+    FROM (SELECT id, unnest(regexp_split_to_array(regexp_extract(text, '(?is)(?:hard\\s+inquiries|credit\\s+inquiries|inquiries\\s+in\\s+the\\s+last)(.+?)(?:accounts|public\\s+records|\\z)', 1), '\\n{{2,}}')) AS b FROM VIEW)
+    WHERE length(trim(b, E' \\n')) >= 20"""
+# ---- end of fixed values ----
+
+
+@query(sql(_INQUIRIES.replace("VIEW", "report_texts"), "report_texts"))
 def inquiry_blocks(spark, d):
     return extract.inquiry_rows(v.report_texts(spark, d)).select("id", "creditor_name", "inquiry_date", "inquiry_type")
 
 
-@query(sql(f"""SELECT id, date_diff('day', CAST(strptime('01/' || f, '%d/%m/%Y') AS DATE), DATE '2024-01-01') / 365.25 > 7 AS too_old FROM (SELECT id, {_rx("dofd" + _MONTH)} AS f FROM report_texts)""", "report_texts"))
+@query(sql(f"""SELECT id, coalesce(date_diff('day', CAST(strptime('01/' || f, '%d/%m/%Y') AS DATE), DATE '2024-01-01') / 365.25 > 7, false) AS too_old FROM (SELECT id, {_rx("dofd" + _MONTH)} AS f FROM report_texts)""", "report_texts"))
 def seven_year(spark, d):
     first = patterns.after_label(F.col("text"), ("dofd",), patterns.MONTH_DATE)
     return v.report_texts(spark, d).select("id", dates.past_seven_years(first, F.lit("01/2024"), v.as_of()).alias("too_old"))
 
 
+# ---- uploads --------------------------------------------------------------------------------
+
+
+@query(sql("""SELECT id, CASE WHEN NOT (coalesce(content_type IN ('application/pdf', 'application/octet-stream'), false) OR ends_with(name, '.pdf')) THEN 'not a PDF'
+    WHEN length > 52428800 THEN 'too large' END AS reason FROM uploads""", "uploads"))
+def upload_gate(spark, d):
+    return v.uploads(spark, d).select("id", tables.refusal(F.col("name"), F.col("content_type"), F.col("length")).alias("reason"))
+
+
+_BUREAU = "CASE WHEN e + x + t >= 2 THEN 'tri_merge' WHEN e = 1 THEN 'equifax' WHEN x = 1 THEN 'experian' WHEN t = 1 THEN 'transunion' ELSE 'unknown' END"
+
+
+@query(sql(f"""SELECT u.id, CASE WHEN asked = 'auto_detect' THEN {_BUREAU} ELSE asked END AS bureau, coalesce({', '.join(f'CASE WHEN p{i} BETWEEN 300 AND 850 THEN p{i} END' for i in range(4))}) AS credit_score,
+    {_DAY} AS report_day, length(raw_text) AS kept, sha256(raw_text) AS raw_text, pages, coalesce(a.n, 0) AS accounts, coalesce(q.n, 0) AS inquiries, a.fallback, address
+    FROM (SELECT id, asked, text, left(text, 50000) AS raw_text, CAST(len(string_split(text, chr(12))) AS INTEGER) AS pages, {_BUREAUS}, {_SCORES} FROM uploads WHERE text IS NOT NULL) u
+    JOIN (SELECT id, report_date FROM ({_DATES} FROM uploads)) r ON r.id = u.id
+    JOIN (SELECT id, trim({_rx("(?:address|current address)[:\\s]+(.+?)(?:\\n|city|state)")}) AS address FROM uploads) p ON p.id = u.id
+    LEFT JOIN (SELECT id, count(*) AS n, bool_and(b IS NULL) AS fallback FROM {_kept("uploads")} GROUP BY id) a ON a.id = u.id
+    LEFT JOIN (SELECT id, count(*) AS n FROM ({_INQUIRIES.replace("VIEW", "uploads")}) WHERE creditor_name <> '' GROUP BY id) q ON q.id = u.id""", "uploads"))
+def uploads_parsed(spark, d):
+    out = extract.uploaded(v.uploads(spark, d))[0]
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long").alias(c)
+    fallback = F.forall("accounts", lambda x: x["extraction_method"].isNotNull()).alias("fallback")
+    kept = F.char_length("raw_text").cast("long").alias("kept")
+    return out.select("id", "bureau", "credit_score", "report_day", kept, F.sha2("raw_text", 256).alias("raw_text"), "pages", size("accounts"), size("inquiries"), fallback, F.col("person.address").alias("address"))
+
+
+@query(sql("SELECT id, 'Could not parse' AS reason FROM uploads WHERE text IS NULL", "uploads"))
+def uploads_failed(spark, d):
+    return extract.uploaded(v.uploads(spark, d))[1]
+
+
+@query(sql(f"""SELECT u.id, json_extract_string(head, '$.bureau') AS bureau, NOT parsed AS has_text, coalesce(q.n, 0) AS inquiries, coalesce(a.n, 0) AS accounts, first_number, tail
+    FROM (SELECT id, json_object('bureau', {_BUREAU}) AS head, CASE WHEN length(text) > 15000 THEN 'cut' END AS tail FROM (SELECT id, text, {_BUREAUS} FROM report_texts)) u
+    LEFT JOIN (SELECT id, count(*) AS n, bool_or(b IS NOT NULL) AS parsed, max(account_number) FILTER (n = 0) AS first_number FROM {_KEPT} GROUP BY id) a ON a.id = u.id
+    LEFT JOIN (SELECT id, count(*) AS n FROM ({_INQUIRIES.replace("VIEW", "report_texts")}) GROUP BY id) q ON q.id = u.id""", "report_texts"))
+def analysis_request(spark, d):
+    texts = v.report_texts(spark, d)
+    out = ingest.analysis_request(extract.report_rows(texts), extract.account_rows(texts), extract.inquiry_rows(texts))
+    read = lambda path: F.get_json_object("request", path)
+    size = lambda path: F.coalesce(F.json_array_length(read(path)), F.lit(0)).cast("long")
+    return out.select(
+        "id", read("$.bureau").alias("bureau"), read("$.raw_text").isNotNull().alias("has_text"), size("$.inquiries").alias("inquiries"), size("$.accounts").alias("accounts"),
+        read("$.accounts[0].account_number").alias("first_number"), F.when(F.col("truncated"), "cut").alias("tail"),
+    )
+
+
 # ---- dates ----------------------------------------------------------------------------------
 
 
@@ -369,7 +510,11 @@ def deadline_passed(spark, d):
     return v.disputes(spark, d).select("id", dates.deadline_passed(F.col("created_at"), v.as_of(), F.col("id") % 2 == 0).alias("passed"))
 
 
-@query(sql("SELECT id, replace('" + dates.WARNING.replace("'", "''") + "', '%s', strftime(created_at + INTERVAL 30 DAYS, '%B %d, %Y')) AS warning FROM disputes", "disputes"))
+# ---- fixed value: the text of the warning ----
+@query(sql("""SELECT id, concat('Pursuant to 15 U.S.C. § 1681i(a)(1), you are required to complete your reinvestigation within 30 days of receipt of this dispute, no later than ',
+    strftime(created_at + INTERVAL 30 DAYS, '%B %d, %Y'), '. Failure to do so within the statutory timeframe may constitute a willful violation of the FCRA, subjecting you to statutory damages of $100 to $1,000 per violation pursuant to 15 U.S.C. § 1681n.') AS warning
+    FROM disputes""", "disputes"))
+# ---- end of fixed value ----
 def warning_text(spark, d):
     return v.disputes(spark, d).select("id", dates.deadline_warning(F.col("created_at")).alias("warning"))
 
@@ -386,7 +531,7 @@ def damages(spark, d):
 _GOOD = "id % 50 <> 0"
 
 
-@query(sql(f"""SELECT id AS report_id, 0 AS n, true AS is_disputable, creditor_name, account_number, priority_score, CAST(id % 40 AS INTEGER) AS estimated_score_impact,
+@query(sql(f"""SELECT id AS report_id, 0 AS n, true AS is_disputable, creditor_name, account_number, CASE id % 9 WHEN 0 THEN 5 WHEN 1 THEN NULL ELSE priority_score END AS priority_score, CAST(id % 40 AS INTEGER) AS estimated_score_impact,
     CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'section_609' WHEN 2 THEN NULL ELSE 'factual_dispute' END AS primary_strategy, id % 5 <> 0 AS strategy_given FROM accounts WHERE {_GOOD}
     UNION ALL SELECT id, 0, false, concat('Clean ', id % 7), NULL, NULL, NULL, NULL, NULL FROM accounts WHERE {_GOOD}""", "accounts"))
 def analysis_ingest(spark, d):
@@ -423,6 +568,11 @@ def analysis_summary(spark, d):
     return ingest.summary(ingest.account_rows(ingest.parsed(v.analyses(spark, d))))
 
 
+@query(sql(f"SELECT id AS report_id, CASE WHEN id % 40 > 0 THEN concat('+', id % 40, ' points possible') END AS chip FROM accounts WHERE {_GOOD}", "accounts"))
+def gain_chip(spark, d):
+    return ingest.gain_shown(ingest.summary(ingest.account_rows(ingest.parsed(v.analyses(spark, d)))))
+
+
 # ---- users, labels --------------------------------------------------------------------------
 
 
@@ -448,17 +598,24 @@ def user_placeholder(spark, d):
     return reports.letter_user(v.disputes(spark, d).select(asked.alias("user_id")), v.users(spark, d))
 
 
-@query(sql(f"SELECT id, {case('bureau', steps.BUREAU_ADDRESSES, 'bureau')} AS address FROM (SELECT id, CASE WHEN bureau = 'tri_merge' THEN 'Tri_merge Credit Bureau' ELSE bureau END AS bureau FROM reports)", "reports"))
+# ---- fixed values: addresses, descriptions, labels and colours ----
+@query(sql("""SELECT id, CASE bureau WHEN 'equifax' THEN concat('Equifax Information Services LLC', chr(10), 'P.O. Box 740256', chr(10), 'Atlanta, GA 30374-0256')
+    WHEN 'experian' THEN concat('Experian', chr(10), 'P.O. Box 4500', chr(10), 'Allen, TX 75013') WHEN 'transunion' THEN concat('TransUnion LLC', chr(10), 'Consumer Dispute Center', chr(10), 'P.O. Box 2000', chr(10), 'Chester, PA 19016')
+    ELSE 'Tri_merge Credit Bureau' END AS address FROM reports""", "reports"))
 def bureau_address(spark, d):
     return v.reports(spark, d).select("id", steps.bureau_address(F.col("bureau")).alias("address"))
 
 
-@query(sql(f"SELECT id, {case('letter_type', steps.LETTER_DESCRIPTIONS, 'NULL')} AS description FROM letters", "letters"))
+@query(sql("""SELECT id, CASE letter_type WHEN 'metro2_compliance' THEN 'Metro 2 Format Compliance Dispute — cites specific CDIA Metro 2 field violations'
+    WHEN 'section_609' THEN 'Section 609 Method of Verification Request — demands original documentation' WHEN 'section_611' THEN 'Section 611 Reinvestigation Demand — demands re-investigation after failed verification'
+    WHEN 'fcra_violation' THEN 'FCRA Violation Notice — cites specific statutory violations with damages warning' END AS description FROM letters""", "letters"))
 def letter_descriptions(spark, d):
     return v.letters(spark, d).select("id", steps.letter_description(F.col("letter_type")).alias("description"))
 
 
-@query(sql(f"SELECT id, {case('status', bands.DASHBOARD_LABELS, 'status')} AS dashboard, {case('status', bands.LIST_LABELS, 'status')} AS list, replace(status, '_', ' ') AS plain FROM disputes", "disputes"))
+@query(sql("""SELECT id, CASE status WHEN 'pending_approval' THEN 'Needs Approval' WHEN 'approved' THEN 'Approved' WHEN 'submitted' THEN 'Submitted' WHEN 'response_received' THEN 'Response In' WHEN 'resolved' THEN 'Resolved'
+    WHEN 'escalated' THEN 'Escalated' WHEN 'frivolous_flagged' THEN 'Flagged' END AS dashboard, CASE status WHEN 'pending_approval' THEN 'Pending Approval' WHEN 'approved' THEN 'Approved' WHEN 'submitted' THEN 'Submitted'
+    WHEN 'response_received' THEN 'Response Received' WHEN 'resolved' THEN 'Resolved ✓' WHEN 'escalated' THEN 'Escalated' WHEN 'frivolous_flagged' THEN 'Flagged Frivolous' END AS list, replace(status, '_', ' ') AS plain FROM disputes""", "disputes"))
 def status_labels(spark, d):
     s = F.col("status")
     return v.disputes(spark, d).select("id", bands.status_label(s, bands.DASHBOARD_LABELS).alias("dashboard"), bands.status_label(s, bands.LIST_LABELS).alias("list"), bands.plain_words(s).alias("plain"))
@@ -470,14 +627,25 @@ def priority_dots(spark, d):
     return v.disputes(spark, d).select("id", bands.priority_band(p).alias("band"), bands.priority_dots(p).alias("dots"))
 
 
-@query(sql("SELECT id, CASE account_status WHEN 'open' THEN '#10b981' ELSE '#ef4444' END AS colour FROM accounts", "accounts"))
+@query(sql("""SELECT id, CASE id % 8 WHEN 0 THEN '#10b981' WHEN 1 THEN '#10b981' WHEN 2 THEN '#f59e0b' WHEN 3 THEN '#f59e0b' WHEN 4 THEN '#ef4444' WHEN 5 THEN '#ef4444' WHEN 6 THEN '#94a3b8' ELSE '#64748b' END AS colour FROM accounts""", "accounts"))
 def account_colour(spark, d):
-    return v.accounts(spark, d).select("id", bands.status_colour(F.col("account_status")).alias("colour"))
+    said = F.get(F.array(*map(F.lit, ("Current", "open", "30d_late", "PAST due", "charged_off", "in collection", "closed", ""))), (F.col("id") % 8).cast("int"))
+    return v.accounts(spark, d).select("id", bands.status_colour(said).alias("colour"))
+
 
+# ---- end of fixed values ----
 
-@query(sql(f"""SELECT d.id AS dispute_id, d.bureau AS recipient, 'draft' AS status, concat('RE: Dispute of Account — ', coalesce(creditor_name, 'unknown')) AS subject FROM disputes d LEFT JOIN accounts a ON a.id = d.account_id""", "disputes", "accounts"))
+
+_TWO_LINES = "concat(chr(10), chr(10))"
+
+
+@query(sql(f"""SELECT d.id AS dispute_id, d.bureau AS recipient, 'bureau' AS recipient_type, 'draft' AS status, concat('RE: Dispute of Account — ', coalesce(creditor_name, 'unknown')) AS subject,
+    concat('August 02, 1998', {_TWO_LINES}, CASE d.bureau WHEN 'equifax' THEN concat('Equifax Information Services LLC', chr(10), 'P.O. Box 740256', chr(10), 'Atlanta, GA 30374-0256') ELSE concat('Experian', chr(10), 'P.O. Box 4500', chr(10), 'Allen, TX 75013') END,
+      {_TWO_LINES}, 'RE: Dispute of Account — ', coalesce(creditor_name, 'unknown'), {_TWO_LINES}, 'I dispute account ', account_number, ', reported by ', creditor_name, '. Round ', current_round, '.', {_TWO_LINES},
+      'Pursuant to 15 U.S.C. § 1681i(a)(1), you are required to complete your reinvestigation within 30 days of receipt of this dispute, no later than September 01, 1998. Failure to do so within the statutory timeframe may constitute a willful violation of the FCRA, subjecting you to statutory damages of $100 to $1,000 per violation pursuant to 15 U.S.C. § 1681n.',
+      {_TWO_LINES}, full_name) AS body FROM disputes d LEFT JOIN accounts a ON a.id = d.account_id LEFT JOIN users u ON u.id = d.user_id""", "disputes", "accounts", "users"))
 def bureau_letters(spark, d):
-    return letters.bureau_letters(v.disputes(spark, d), v.users(spark, d), v.accounts(spark, d), v.as_of()).select("dispute_id", "recipient", "status", "subject")
+    return letters.bureau_letters(v.disputes(spark, d), v.users(spark, d), v.accounts(spark, d), v.as_of())
 
 
 @query(sql("SELECT d.id AS dispute_id, current_round AS round_number, creditor_name AS recipient, 'furnisher_direct' AS letter_type FROM disputes d JOIN accounts a ON a.id = d.account_id", "disputes", "accounts"))
@@ -493,10 +661,10 @@ def rule_too_old(spark, d):
     return rules.too_old(v.accounts(spark, d), v.as_of("2003-08-02 00:00:00"))
 
 
-@query(sql("""SELECT id, before, first_delinquency FROM (SELECT id, first_delinquency, lag(first_delinquency) OVER (PARTITION BY user_id, account_number, bureau ORDER BY date_opened, id) AS before FROM accounts)
-    WHERE before < first_delinquency""", "accounts"))
+@query(sql("""SELECT id, before, first_delinquency FROM (SELECT a.id, first_delinquency, lag(first_delinquency) OVER (PARTITION BY a.user_id, account_number, a.bureau ORDER BY r.created_at, a.id) AS before
+    FROM accounts a JOIN reports r ON r.id = a.report_id) WHERE before < first_delinquency""", "accounts", "reports"))
 def rule_re_aged(spark, d):
-    return rules.re_aged(v.accounts(spark, d))
+    return rules.re_aged(v.accounts(spark, d), v.reports(spark, d))
 
 
 @query(sql("""SELECT a.id AS id_a, b.id AS id_b, a.bureau AS bureau_a, b.bureau AS bureau_b FROM accounts a JOIN accounts b USING (user_id, creditor_name, account_number)
@@ -510,7 +678,7 @@ def rule_open_but_closed(spark, d):
     return rules.open_but_closed(v.accounts(spark, d))
 
 
-@query(sql("SELECT id, user_id FROM accounts a WHERE account_status = 'charged_off' AND balance > 0 AND EXISTS (SELECT 1 FROM accounts c WHERE c.account_status = 'collection' AND c.user_id = a.user_id)", "accounts"))
+@query(sql("SELECT id, user_id FROM accounts a WHERE account_status = 'charged_off' AND balance > 0 AND EXISTS (SELECT 1 FROM accounts c WHERE c.account_status = 'collection' AND c.user_id = a.user_id AND c.account_number = a.account_number)", "accounts"))
 def rule_charged_off_and_collected(spark, d):
     return rules.charged_off_and_collected(v.accounts(spark, d))
 
@@ -520,9 +688,9 @@ def rule_closed_without_date(spark, d):
     return rules.closed_without_date(v.accounts(spark, d))
 
 
-@query(sql("SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY user_id, creditor_name, account_number) AS n FROM accounts) WHERE n > 1", "accounts"))
+@query(sql("SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY report_id, creditor_name, account_number) AS n FROM accounts) WHERE n > 1", "accounts"))
 def rule_duplicates(spark, d):
-    return rules.duplicates(v.accounts(spark, d).drop("report_id").withColumnRenamed("user_id", "report_id"))
+    return rules.duplicates(v.accounts(spark, d))
 
 
 @query(sql("SELECT DISTINCT user_id, creditor_name FROM inquiries i WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.user_id = i.user_id AND a.creditor_name = i.creditor_name)", "inquiries", "accounts"))
@@ -535,21 +703,25 @@ def highest_priority(spark, d):
     return rules.highest_priority(v.accounts(spark, d))
 
 
-def _values(table: dict, key: str, value: str) -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join(f'({quote(k)}, {quote(x)})' for k, x in table.items())}) t({key}, {value})"
-
-
-@query(_values(reference.STATUTES, "name", "citation"))
+# ---- fixed values: the reference lists ----
+@query("""SELECT * FROM (VALUES ('reinvestigation', '15 U.S.C. § 1681i'), ('accuracy', '15 U.S.C. § 1681e(b)'), ('obsolete_info', '15 U.S.C. § 1681c'), ('furnisher_accuracy', '15 U.S.C. § 1681s-2'),
+    ('willful_noncompliance', '15 U.S.C. § 1681n'), ('negligent_noncompliance', '15 U.S.C. § 1681o'), ('permissible_purpose', '15 U.S.C. § 1681b'), ('disclosure', '15 U.S.C. § 1681g'),
+    ('notification', '15 U.S.C. § 1681m')) t(name, citation)""")
 def statute_reference(spark, d):
     return reference.statutes(spark)
 
 
-@query(_values(reference.FIELDS, "code", "meaning"))
+@query("""SELECT * FROM (VALUES ('17A', 'Account Status Code — must accurately reflect current status'), ('17B', 'Payment Rating — must reflect actual payment performance'),
+    ('18', 'Payment History Profile — 24-month history must be accurate'), ('20', 'Scheduled Monthly Payment Amount'), ('23', 'Amount Past Due — must be exact'),
+    ('26', 'Date of First Delinquency (DOFD) — most critical field; controls 7-year clock'), ('27', 'Date Closed — required when account is closed'),
+    ('35', 'Compliance Condition Code — required for specific account conditions'), ('36', 'Original Charge-Off Amount'), ('K4', 'Balloon Payment Amount')) t(code, meaning)""")
 def field_reference(spark, d):
     return reference.fields(spark)
 
 
-@query(_values(reference.REPORTING_YEARS, "item_type", "years"))
+@query("SELECT * FROM (VALUES ('negative_items', 7), ('chapter_7_bankruptcy', 10), ('chapter_13_bankruptcy', 7), ('unpaid_tax_liens', 7), ('civil_judgments', 7)) t(item_type, years)")
 def reporting_limits(spark, d):
     return reference.reporting_limits(spark)
+
+
+# ---- end of fixed values ----

@@ -55,7 +55,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         priority = priority.when(F.col("o_orderpriority") == name, value)
     status = F.when(F.col("o_orderstatus") == "F", "charged_off").when(F.col("o_orderstatus") == "O", "open").otherwise("collection")
     return o.select(
-        key.alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") * 3 + key % 3).alias("report_id"),
+        key.alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") * 3 + F.shiftright(key, 5) % 3).alias("report_id"),
         _pick(key % 3, ("equifax", "experian", "transunion")).alias("bureau"), F.concat(F.lit("Creditor "), key % 97).alias("creditor_name"),
         F.concat(F.lit("XXXX-"), key % 5).alias("account_number"), status.alias("account_status"), F.col("o_totalprice").alias("balance"),
         F.col("o_orderdate").alias("date_opened"),
@@ -90,11 +90,17 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rounds(spark, sf_dir)
-    kind = _pick(F.col("id") % 5, ("metro2_compliance", "section_609", "section_611", "fcra_violation", "factual_dispute"))
+    """Letters with all their fields; those that went out have a time, some a way and a tracking number."""
+    r, key = rounds(spark, sf_dir), F.col("id")
+    kind = _pick(key % 5, ("metro2_compliance", "section_609", "section_611", "fcra_violation", "factual_dispute"))
+    sent = key % 3 == 2
     return r.select(
-        "id", "dispute_id", "round_number", kind.alias("letter_type"), F.col("sent_date").alias("created_at"),
-        _pick(F.col("id") % 3, ("draft", "approved", "submitted")).alias("status"),
+        "id", "dispute_id", "round_number", _pick(key % 4, ("equifax", "experian", "transunion", "First Bank")).alias("recipient"),
+        F.when(key % 4 == 3, "furnisher").otherwise("bureau").alias("recipient_type"), kind.alias("letter_type"),
+        F.concat(F.lit("RE: Letter "), key).alias("subject"), F.concat(F.lit("Body of "), key, F.lit("\nEnd")).alias("body"),
+        _pick(key % 3, ("draft", "approved", "submitted")).alias("status"), F.when(sent & (key % 2 == 0), "online").alias("submission_method"),
+        F.when(sent, F.col("sent_date") + F.expr("INTERVAL 1 DAYS")).alias("submitted_at"), F.when(sent & (key % 7 == 0), F.concat(F.lit("T"), key)).alias("certified_mail_tracking"),
+        F.when(key % 2 == 0, F.array(F.lit("15 U.S.C. § 1681i"))).alias("legal_citations"), F.col("sent_date").alias("created_at"),
     )
 
 
@@ -102,14 +108,14 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "metro2").when(F.col("l_returnflag") == "A", "fcra").otherwise("factual")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("account_id"), F.col("l_linenumber").alias("n"), kind.alias("violation_type"),
-        F.concat(F.lit("field "), F.col("l_partkey") % 40).alias("specific_violation"),
+        F.concat(F.lit("field "), F.col("l_partkey") % 40).alias("specific_violation"), F.when(kind == "fcra", F.concat(F.lit("section "), F.col("l_partkey") % 3)).alias("legal_citation"),
     )
 
 
 def inquiries(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_suppkey") * 7 + F.col("l_partkey")
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "l_orderkey", "l_linenumber", F.col("o_custkey").alias("user_id"), (F.col("o_custkey") * 3 + F.col("l_orderkey") % 3).alias("report_id"),
+        "l_orderkey", "l_linenumber", F.col("o_custkey").alias("user_id"), (F.col("o_custkey") * 3 + F.shiftright("l_orderkey", 5) % 3).alias("report_id"),
         F.concat(F.lit("Creditor "), key % 97).alias("creditor_name"), F.when(F.col("l_linenumber") % 3 != 0, True).otherwise(False).alias("is_disputable"),
     )
 
@@ -127,16 +133,21 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rendered report for each order: header, scores, personal data, one account block, one inquiry section."""
+    """A rendered report for each order: header, scores, personal data, account blocks, one inquiry section.
+
+    Some have no account block, some several, a short one, one that names nobody, or page breaks;
+    dates have two shapes, numbers are masked or dashed.
+    """
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key, text = F.col("o_orderkey"), lambda s: F.lit(s)
     month = lambda n: F.lpad((1 + key % n % 12).cast("string"), 2, "0")
-    return o.select(
-        key.alias("id"),
-        F.concat_ws(
+    only = lambda test, *lines: [F.when(test, x) for x in lines]
+    report = F.concat_ws(
             "\n",
             F.concat(_pick(key % 4, ("EQUIFAX", "Experian and Equifax", "Trans Union", "Some")), text(" Credit Report")),
-            F.concat(text("Report Date: "), _pick(key % 3, ("January", "May", "October")), text(" "), (1 + key % 28).cast("string"), text(", 2024")),
+            F.when(key % 8 == 5, F.concat(text("Report Date: "), month(11), text("/"), F.lpad((1 + key % 28).cast("string"), 2, "0"), text("/2024"))).otherwise(
+                F.concat(text("Report Date: "), _pick(key % 3, ("January", "May", "October")), text(" "), (1 + key % 28).cast("string"), text(", 2024"))
+            ),
             F.concat(text("consumer: "), _pick(key % 3, ("John Smith", "Mary Ann Jones", "john smith"))),
             F.concat(text("ssn: XXX"), F.lpad((key % 10000).cast("string"), 4, "0")),
             F.concat(text("DOB: "), month(17), text("/15/1985")),
@@ -144,6 +155,8 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(text("Credit Score: "), (250 + key % 700).cast("string")),
             F.concat(text("Equifax score "), (300 + key % 600).cast("string")),
             text("ACCOUNTS"),
+            *only(key % 8 == 2, text("Mortgage: none")),
+            *only(key % 8 == 4, text("Auto Loan: there was one but nobody knows any more who gave it or when")),
             F.concat(text("Creditor: Bank "), (key % 97).cast("string")),
             F.concat(text("Acct: XXXX-"), F.lpad((key % 10000).cast("string"), 4, "0")),
             F.concat(text("Account Type: "), _pick(key % 2, ("Revolving", "Installment"))),
@@ -152,14 +165,35 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(text("Credit Limit: "), (key % 9000).cast("string")),
             F.concat(text("Date Opened: "), month(13), text("/2019")),
             F.concat(text("DOFD: "), month(7), text("/"), (2012 + key % 9).cast("string")),
-            F.concat(text("Last Reported: December 2023")),
+            text("Last Reported: December 2023"),
+            *only(key % 8 == 1, F.concat(text("\fAccount Number: 12-34-"), 1000 + key % 9000), text("Account Status: 90 days past due"), text("Balance: $1,200.5"), text("Date Closed: 11-2020")),
+            *only(key % 16 == 1, text("Student Loan: see"), F.concat(text("Lender: Loan House "), key % 5), text("Credit Limit: ,"), text("Account Status: Closed, in collections")),
             text("Hard Inquiries"),
             text(""),
             F.concat(text("Chase Bank of Town "), _pick(key % 2, ("date", "promotional date")), text(": 03/15/2023")),
             text(""),
             F.concat(text("Other Lender Incorporated 06/"), F.lpad((1 + key % 28).cast("string"), 2, "0"), text("/2022")),
-        ).alias("text"),
     )
+    return o.select(key.alias("id"), F.when(key % 16 == 3, F.concat(text("A page that is no report, number "), key)).otherwise(report).alias("text"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users send: the reports of some orders, with a name, a type, a length and the bureau asked for.
+
+    Some could not be read (no text), some are longer than what is kept of them.
+    """
+    key, t = F.col("id"), report_texts(spark, sf_dir).where(F.col("id") % 32 < 6)
+    long = F.when(key % 64 == 33, F.concat(F.col("text"), F.repeat(F.lit("\nmore é text"), 5000))).otherwise(F.col("text"))
+    return t.select(
+        "id", F.when(key % 64 != 36, long).alias("text"), _pick(key % 3, ("auto_detect", "experian", "auto_detect")).alias("asked"),
+        F.concat(F.lit("r"), key, _pick(key % 4, (".pdf", ".PDF", ".txt", ".pdf"))).alias("name"),
+        _pick(key % 5, ("application/pdf", "text/plain", "application/octet-stream", "text/plain")).alias("content_type"),
+        _pick_number(key % 3, (52_428_800, 52_428_801, 1)).alias("length"),
+    )
+
+
+def _pick_number(number, values: tuple[int, ...]):
+    return F.get(F.array(*(F.lit(v).cast("long") for v in values)), number.cast("int"))
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +203,9 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("id")
     vs = F.transform(F.coalesce("v", F.array()), lambda x: F.concat(F.lit('{"violation_type":"'), x["violation_type"], F.lit('","specific_violation":"'), x["specific_violation"], F.lit('"}')))
     strategy = F.when(key % 5 == 0, "").when(key % 5 == 1, ',"primary_strategy":"section_609"').when(key % 5 == 2, ',"primary_strategy":null').otherwise(',"primary_strategy":"factual_dispute"')
+    priority = F.when(key % 9 == 0, "").when(key % 9 == 1, ',"priority_score":null').otherwise(F.concat(F.lit(',"priority_score":'), F.col("priority_score")))
     item = F.concat(
-        F.lit('{"creditor_name":"'), F.col("creditor_name"), F.lit('","account_number":"'), F.col("account_number"), F.lit('","is_disputable":true,"priority_score":'), F.col("priority_score"),
+        F.lit('{"creditor_name":"'), F.col("creditor_name"), F.lit('","account_number":"'), F.col("account_number"), F.lit('","is_disputable":true'), priority,
         F.lit(',"estimated_score_impact":'), key % 40, strategy, F.lit(',"violations":['), F.array_join(vs, ","), F.lit("]}"),
     )
     clean = F.concat(F.lit('[{"creditor_name":"Clean '), key % 7, F.lit('","reason_not_disputed":"accurate"}]'))

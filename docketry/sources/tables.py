@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An upload of this many bytes still passes.
 MAX_BYTES = 50 * 1024 * 1024
+#: Content types that pass whatever the name; others need a name with this ending (fixed values).
+CONTENT_TYPES, ENDING = ("application/pdf", "application/octet-stream"), ".pdf"
 
 SCHEMAS = {
     "users": "id string, email string, full_name string, address string, city string, state string, zip_code string, ssn_last_four string, date_of_birth string, phone string, autonomy_level string, created_at timestamp, updated_at timestamp",
@@ -26,10 +28,16 @@ def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
     return [f"{database}.{name}" for name in SCHEMAS]
 
 
+def refusal(name: Column, content_type: Column, length: Column) -> Column:
+    """Why an upload is refused, null if it passes. A null content type is none of those that pass."""
+    kind = F.coalesce(content_type.isin(*CONTENT_TYPES), F.lit(False)) | F.coalesce(F.endswith(name, F.lit(ENDING)), F.lit(False))
+    return F.when(~kind, "not a PDF").when(length > MAX_BYTES, "too large")
+
+
 def uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Files of ``path`` that pass the gate (name and size), and those that do not with the reason."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    reason = F.when(~F.lower("path").endswith(".pdf"), "not a PDF").when(F.col("length") > MAX_BYTES, "too large")
+    reason = refusal(F.col("path"), F.lit(None).cast("string"), F.col("length"))
     return files.where(reason.isNull()), files.select("path", "length", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 

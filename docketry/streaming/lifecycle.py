@@ -1,4 +1,9 @@
-"""The dispute fold over a stream of events."""
+"""The dispute fold over a stream of events.
+
+A subset of the batch fold's state: status, round, submissions and rejections. What follows from
+these and the last event (next action, outcome, strategy, letter) is a column function of
+``functions.steps`` over its output, or the batch fold's.
+"""
 
 from __future__ import annotations
 

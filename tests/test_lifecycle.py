@@ -31,6 +31,77 @@ def test_fold(spark):
     assert (d["status"], d["round"], d["strategy"], d["rejected"], d["next_action"]) == ("escalated", 2, "deletion_demand", 2, T + timedelta(days=44))
 
 
+def test_rows_of_the_log(spark):
+    """A submission and a response each append a row; a rejected event appends none; the letter follows its events."""
+    table = spark.createDataFrame(LOG[::-1], ACTIONS)
+    rows = sorted((r["dispute_id"], r["seq"], r["round_number"], r["sent_date"], r["response_received_date"], r["response_type"], r["next_strategy"]) for r in lifecycle.round_rows(table).collect())
+    day = lambda n: T + timedelta(days=n)
+    assert rows == [
+        (1, 2, 1, day(2), None, None, None), (1, 3, 1, None, day(3), "verified", "section_609_method_of_verification"), (1, 4, 2, None, day(4), "verified", "furnisher_direct_dispute"),
+        (1, 5, 3, None, day(5), "removed", "monitor"), (4, 3, 1, day(3), None, None, None), (4, 4, 1, None, day(4), "no_response", "deletion_demand"),
+    ]
+    assert sorted(tuple(r) for r in lifecycle.letter_rows(table).collect()) == [(1, 1, "submitted", day(0), day(2)), (2, 1, "approved", day(1), None), (4, 1, "submitted", day(0), day(3))]
+    assert lifecycle.round_rows(table.limit(0)).collect() == []
+
+
+def test_letters_on_their_whole_schema(spark):
+    """Sending and regenerating change fields in place: none comes twice, and letters that are not meant keep theirs."""
+    letters_now = spark.createDataFrame([(str(i), str(i), 1, "b", "bureau", "x", "s", "t", status, way, T if way else None, None, ["c"], T) for i, (status, way) in enumerate([("approved", None), ("submitted", "online"), ("draft", None), ("delivered", None)])], tables.SCHEMAS["letters"])
+    disputes = spark.createDataFrame([(str(i), str(i), 1 + i % 2, "approved", T, T) for i in range(4)], "id string, account_id string, current_round int, status string, next_action_date timestamp, updated_at timestamp")
+    sent = spark.createDataFrame([("0", "certified_mail", "T1")], "letter_id string, method string, tracking string")
+    out, moved = lifecycle.letters_sent(letters_now, disputes, sent, F.lit(T + timedelta(days=1)))
+    assert out.columns == letters_now.columns
+    rows = {r["id"]: (r["status"], r["submission_method"], r["certified_mail_tracking"], r["submitted_at"]) for r in out.collect()}
+    assert rows["0"] == ("submitted", "certified_mail", "T1", T + timedelta(days=1)) and rows["1"] == ("submitted", "online", None, T) and rows["2"] == ("draft", None, None, None)
+    assert [r["id"] for r in moved.where("status = 'submitted'").collect()] == ["0"]
+    findings = spark.createDataFrame([("0", ["metro2", "fcra"], ["c1", "c2"], "factual_dispute", True)], "account_id string, violation_types array<string>, citations array<string>, primary_strategy string, strategy_given boolean")
+    again = lifecycle.regenerated(letters_now, disputes, findings)
+    assert sorted(again.columns) == sorted(letters_now.columns)
+    assert {r["id"]: (r["letter_type"], r["status"], r["legal_citations"]) for r in again.collect()} == {"0": ("metro2_compliance", "draft", ["c1", "c2"]), "2": ("factual_dispute", "draft", [])}
+    assert {r["letter_type"] for r in lifecycle.regenerated(letters_now, disputes, findings, "section_611").collect()} == {"section_611"}
+
+
+def test_upload_gate(spark):
+    rows = [("a.pdf", None, 50 << 20), ("a.PDF", "text/plain", 1), ("b", "application/pdf", (50 << 20) + 1), ("c", "application/octet-stream", 1), (None, None, 1), ("d.pdf", "x", 0)]
+    found = spark.createDataFrame(rows, "name string, type string, length long").select(tables.refusal(F.col("name"), F.col("type"), F.col("length"))).collect()
+    assert [r[0] for r in found] == [None, "not a PDF", "too large", None, "not a PDF", None]
+
+
+def test_analysis_request(spark):
+    """The request is what a JSON writer with an indent of two makes of the parsed report."""
+    import json
+
+    from docketry.operators import extract
+
+    long = "é \U0001f600 \x1b\x7f\"\\\t" + "w" * 20000
+    texts = spark.createDataFrame([(1, "EQUIFAX\nname: Ann Lee\nReport Date: May 1, 2024\nCreditor: Bänk One of the Town\nAcct: XXXX-1234\nBalance: $10,000,000.50\nCredit Limit: 300\nStatus: Open\nHard Inquiries\n\nChase Bank of Town date: 03/15/2023\n"), (2, long), (3, "Creditor: B\nAcct: 12345 " + "x" * 31000)], "id long, text string")
+    reports_, accounts, inquiries = extract.report_rows(texts), extract.account_rows(texts), extract.inquiry_rows(texts)
+    found = {r["id"]: r for r in ingest.analysis_request(reports_, accounts, inquiries).collect()}
+
+    def said(rows, keys):
+        return [{k: v for k in keys if (v := r[k]) is not None} for r in rows]
+
+    for r in reports_.collect():
+        mine = lambda t: sorted((x for x in t.collect() if x["id"] == r["id"]), key=lambda x: x["n"])  # noqa: B023, E731
+        a = said(mine(accounts), ingest.ACCOUNT_KEYS)
+        body = {"bureau": r["bureau"], "credit_score": r["credit_score"], "report_date": r["report_date"], "accounts": a, "inquiries": said(mine(inquiries), ingest.INQUIRY_KEYS)}
+        body["personal_info"] = {k: v for k in ingest.PERSON_KEYS if (v := r["person"][k]) is not None}
+        if len(a) == 1 and a[0].get("extraction_method"):
+            body["raw_text"] = r["raw_text"][:15000]
+        whole = json.dumps(body, indent=2)
+        assert found[r["id"]]["request"] == (whole if len(whole) <= 30000 else whole[:30000] + "\n... [truncated for length]")
+    assert [found[i]["truncated"] for i in (1, 2, 3)] == [False, True, True] and [found[i]["has_text"] for i in (1, 2, 3)] == [False, True, False]
+
+
+def test_uploads_that_cannot_be_read(spark):
+    from docketry.operators import extract
+
+    rows = spark.createDataFrame([(1, "Equifax\fpage", "auto_detect"), (2, None, "experian"), (3, "", "experian")], "id long, text string, asked string")
+    good, bad = extract.uploaded(rows)
+    assert {r["id"]: (r["bureau"], r["pages"], len(r["accounts"]), r["inquiries"]) for r in good.collect()} == {1: ("equifax", 2, 1, None), 3: ("experian", 1, 1, None)}
+    assert [tuple(r) for r in bad.collect()] == [(2, "Could not parse")]
+
+
 def test_stream_agrees(spark, tmp_path):
     table = spark.createDataFrame(LOG, ACTIONS)
     for i, part in enumerate((table.where("seq < 3"), table.where("seq >= 3"))):
@@ -60,7 +131,7 @@ def test_ingest(spark):
     parsed = ingest.parsed(rows)
     assert {r["report_id"] for r in parsed.where("failed").collect()} == {3, 4, 5}
     accounts = ingest.account_rows(parsed).orderBy("n").collect()
-    assert [(r["creditor_name"], r["strategy_given"], r["priority_score"], len(r["fcra_violations"])) for r in accounts] == [("A", True, 0, 1), ("B", False, 0, 0)]
+    assert [(r["creditor_name"], r["strategy_given"], r["priority_score"], len(r["fcra_violations"])) for r in accounts] == [("A", True, 5, 1), ("B", False, 5, 0)]
     assert [tuple(r)[1:4] for r in ingest.upload_counters(parsed).orderBy("report_id").collect()] == [(2, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
 
 
