@@ -369,14 +369,18 @@ def unescape(text: str) -> str:
 MARK = "␛"
 BOT, EOT, OPEN, CLOSE, HEAD, TAIL = "<s>", "</s>", "[INST]", "[/INST]", "<|", "|>"
 CONTROL = (OPEN, CLOSE, EOT, BOT, HEAD, TAIL)
-#: One template renders a turn, so a conversation of any length is rendered turn by turn.
+#: One turn; a conversation of any length is rendered turn by turn.
 TURN = (
     "{% if turn.role == 'user' %}[INST] {{ turn.text | escape }} [/INST]"
     "{% elif turn.role == 'assistant' %}<|assistant|>{% generation %}{{ turn.text | escape }}{% endgeneration %}</s>"
     "{% else %}<|{{ turn.role | escape }}|>{{ turn.text | escape }}<s>{% endif %}"
 )
-#: Reads one turn; escaped texts hold none of the strings between which they stand.
-_TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<\|assistant\|>(?P<assistant>.*?)</s>|<\|(?P<role>.*?)\|>(?P<other>.*?)<s>", re.S)
+#: A conversation whose turns are at hand at once; it puts out what its turns put out one after the other.
+CONVERSATION = "{% for turn in turns %}" + TURN + "{% endfor %}"
+#: One turn at the beginning of a text; escaped texts hold none of the strings between which they stand.
+_TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<\|assistant\|>(?P<assistant>.*?)</s>|<\|(?!assistant\|>)(?P<role>.*?)\|>(?P<other>.*?)<s>", re.S)
+#: Code points of formatted text from which a part of a conversation is closed.
+PART = 1 << 20
 EXTRA = (("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]"))
 
 
@@ -405,41 +409,86 @@ def render_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").mapInArrow(render, "conv_id long, turn long, role string, formatted string, spans array<int>")
 
 
-class _Reader:
-    """Reads the formatted turns of one conversation back, one after the other."""
+def conversation_texts(rendered: DataFrame, part: int = PART) -> DataFrame:
+    """The training text of each conversation: conv_id, part, text, spans (of generated text, counted from the part's start).
+
+    Turns stand one after the other with nothing between. Texts of ``part`` code points or more
+    continue in further parts, numbered from 0 and cut between turns.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["conv_id", "part", "text", "spans"], None
+
+        def closed() -> pa.RecordBatch:
+            columns = [pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int32()), pa.array(["".join(held[2])], pa.string()), pa.array([held[3]], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            done = []
+            for conv_id, text, spans in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "spans")), strict=True):
+                if held is None or conv_id != held[0] or held[4] >= part:
+                    if held:
+                        done.append(closed())
+                    held = [conv_id, held[1] + 1 if held and conv_id == held[0] else 0, [], [], 0]
+                held[2].append(text)
+                held[3] += [x + held[4] for x in spans]
+                held[4] += len(text)
+            yield from (b for b in pa.Table.from_batches(done).combine_chunks().to_batches()) if done else ()
+        if held:
+            yield closed()
+
+    dealt = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    return dealt.select("conv_id", "formatted", "spans").mapInArrow(join, "conv_id long, part int, text string, spans array<int>")
+
+
+class TurnReader:
+    """Reads a conversation's text back as it comes, in pieces cut anywhere: turns are found by the template's marks.
+
+    Only an unfinished turn is held. Spans are counted from the start of the conversation, and
+    come with the piece that they start in or later.
+    """
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.n, self.turns, self.loss, self.loss_chars, self.chars = conv_id, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+        self.rest, self.start, self.spans = "", 0, []
 
-    def add(self, text: str, spans: list[int]) -> None:
-        m = _TURN.fullmatch(text)
-        role = m["role"] if m["role"] is not None else "user" if m["user"] is not None else "assistant"
-        said = next(m[k] for k in ("user", "assistant", "other") if m[k] is not None)
-        self.turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
-        for a, b in zip(spans[::2], spans[1::2], strict=True):
-            part = unescape(text[a:b])
-            self.loss.update(part.encode())
-            self.loss_chars += len(part)
-        self.n += 1
+    def add(self, text: str, spans: list[tuple[int, int]]) -> None:
         self.chars += len(text)
+        self.spans += spans
+        text, at = self.rest + text, 0
+        while m := _TURN.match(text, at):
+            role = m["role"] if m["role"] is not None else "user" if m["user"] is not None else "assistant"
+            said = next(m[k] for k in ("user", "assistant", "other") if m[k] is not None)
+            self.turns.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
+            self.n += 1
+            end = self.start + m.end()
+            while self.spans and self.spans[0][1] <= end:
+                a, b = self.spans.pop(0)
+                part = unescape(text[a - self.start : b - self.start])
+                self.loss.update(part.encode())
+                self.loss_chars += len(part)
+            at = m.end()
+        self.rest, self.start = text[at:], self.start + at
 
     def row(self) -> tuple:
+        if self.rest:
+            raise ValueError(f"text after the last turn: {self.rest[:40]!r}")
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
-    """One row for each conversation, from its formatted turns in order.
+def read_back(texts: DataFrame) -> DataFrame:
+    """One row for each conversation, from its formatted text (conv_id, part, text, spans).
 
-    A digest over a whole conversation needs its turns one after the other. They are sorted by
-    Spark and streamed; a task holds one batch and one conversation's running digests, however
-    many turns there are.
+    A digest over a whole conversation needs its parts one after the other. They are sorted by
+    Spark in conversation_texts, so that each task meets a conversation's parts in order; a task holds one part and one
+    conversation's running digests, however many turns there are.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader: _Reader | None = None
+        reader: TurnReader | None = None
         names = [x.split()[0] for x in READ_BACK.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -447,18 +496,18 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv_id, text, spans in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "spans")), strict=True):
+            for conv_id, text, spans in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "spans")), strict=True):
                 if reader is None or conv_id != reader.conv_id:
                     if reader:
                         done.append(reader.row())
-                    reader = _Reader(conv_id)
-                reader.add(text, spans)
+                    reader = TurnReader(conv_id)
+                at = reader.chars
+                reader.add(text, [(a + at, b + at) for a, b in zip(spans[::2], spans[1::2], strict=True)])
             yield batch_of(done)
         if reader:
             yield batch_of([reader.row()])
 
-    dealt = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return dealt.select("conv_id", "formatted", "spans").mapInArrow(digest, READ_BACK)
+    return texts.select("conv_id", "text", "spans").mapInArrow(digest, READ_BACK)
 
 
 _KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -470,9 +519,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     Rows of a conversation are taken by turn; rows that share a turn by role, then by text. A null
     text is an empty one, a null role an empty one; rows without conv_id are one conversation
     (null). Repeated rows are turns of their own. An empty table gives no rows; other columns are
-    not read. The concatenation of a conversation's formatted turns is its training text.
+    not read. A very long turn must fit a task; a conversation of very many turns is sorted by
+    Spark and streamed through one task, in parts.
     """
-    return read_back(render_turns(conversations))
+    return read_back(conversation_texts(render_turns(conversations)))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
