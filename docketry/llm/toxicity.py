@@ -4,6 +4,11 @@ The categories of the label table are predicted one after the other. Each model
 of telling terms (words and word beginnings) and the log odds of the categories before it. In
 training those log odds are out-of-fold: the documents of a fold are predicted by a model fitted
 to the other folds, so that a later model learns how far earlier ones can be trusted on new text.
+Folds are dealt by hash of the text, so copies of a text never stand on both sides.
+
+The given labels have one toxicity column, so a chain of two links is what they allow: the negated
+quality label, which is no toxicity category but tells of one, and then toxic. A label table with
+more columns gets a longer chain by naming them in ``categories``.
 """
 
 from __future__ import annotations
@@ -100,13 +105,17 @@ class Chain:
 
 
 def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, terms: list[str], categories: tuple[str, ...]) -> Chain:
-    """``labels``: rows by categories; the links are trained with out-of-fold log odds."""
+    """``labels``: rows by categories; the links are trained with out-of-fold log odds.
+
+    If all rows are of one fold, there is nothing else to fit to, and its own log odds serve.
+    """
     models, odds = [], np.zeros((len(x), 0))
     for k in range(len(categories)):
         z, y = np.concatenate([x, odds], axis=1), labels[:, k].astype(np.float64)
         new = np.zeros(len(x))
         for f in np.unique(folds):
-            new[folds == f] = fit_logistic(z[folds != f], y[folds != f]).log_odds(z[folds == f])
+            others = folds != f if (folds != f).any() else folds == f
+            new[folds == f] = fit_logistic(z[others], y[others]).log_odds(z[folds == f])
         model = fit_logistic(z, y)
         model.cut = best_cut(1 / (1 + np.exp(-new)), y)
         models.append(model)
@@ -141,7 +150,9 @@ def telling_terms(sample: DataFrame, categories: tuple[str, ...], most: int = MA
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, most: int = MAX_DOCUMENTS) -> Chain | None:
     """A chain fitted to at most ``most`` labelled documents outside the held-out part, taken by hash of their ids.
 
-    None if a category does not have both values there.
+    None if a category does not have both values there. Null labels, labels without an id and ids
+    without a document are not used; an id with several labels counts once. Ties between terms are
+    broken by name. Texts are whole; a very long one costs its different terms.
     """
     prepare(docs.sparkSession)
     known = labels.where(~held_out(F.col("doc_id"))).na.drop(subset=[c for c in categories if c in labels.columns])
@@ -157,20 +168,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = chain.inputs([terms_of(t.as_py()) for t in batch.column("text")]).astype(np.float32)
-            columns = [batch.column("doc_id"), *(batch.column(c) for c in categories), pa.array([r.tobytes() for r in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *categories, "x"])
+            columns = [batch.column("doc_id"), batch.column("fold"), *(batch.column(c) for c in categories), pa.array([r.tobytes() for r in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fold", *categories, "x"])
 
-    rows = sample.mapInArrow(inputs, "doc_id long, " + ", ".join(f"{c} int" for c in categories) + ", x binary").orderBy("doc_id", "x").limit(2 * most).collect()
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = sample.select("doc_id", fold, *categories, "text").mapInArrow(inputs, "doc_id long, fold int, " + ", ".join(f"{c} int" for c in categories) + ", x binary")
+    rows = rows.orderBy("doc_id", "x").limit(2 * most).collect()
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
     y = np.array([[r[c] for c in categories] for r in rows])
-    return fit_chain(x, y, np.arange(len(rows)) % FOLDS, chain.terms, categories)
+    return fit_chain(x, y, np.array([r["fold"] for r in rows]), chain.terms, categories)
 
 
 def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """doc_id, and for each category its probability (p_<category>) and whether it is predicted (<category>).
 
-    Without a chain all probabilities are 0. Whole texts are scored; a null or empty text has no
-    terms. Every row is returned, repeated ones alike.
+    Without a chain all probabilities are 0. Whole texts are scored, very long ones too; a null or
+    empty text has no terms. A probability at the cut is predicted. Every row is returned, repeated
+    ones alike; an empty table gives an empty one; other columns are not read, whatever their names.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
