@@ -22,8 +22,9 @@ RULES = (
 )
 #: The verdict on a URL that no rule fits.
 DEFAULT = "allow"
-#: Rules (about 100 bytes each) that are broadcast; a longer list is joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Rules (about 100 bytes each) that are broadcast; a longer list is joined by a shuffle, in which an expression is dealt to
+#: SALTS tasks by URL: some (a top-level domain) are those of most URLs.
+MOST_BROADCAST, SALTS = 200_000, 32
 
 
 def host_of(url: Column) -> Column:
@@ -68,9 +69,14 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     ).dropDuplicates(["rule", "of_host", "verdict"])
     rules = rules.withColumn("rule_digest", _digest(F.col("rule"))).withColumn("rule_short", _short(F.col("rule_digest")))
     found = rules.agg(F.count("*"), F.collect_set("of_path")).first()  # as many lengths as paths have, not as many as rules
-    rules = F.broadcast(rules) if found[0] <= MOST_BROADCAST else rules
     each = expressions(urls, sorted(found[1]))
-    hits = each.join(rules, each["short"] == rules["rule_short"]).where(F.col("digest") == F.col("rule_digest"))
+    if found[0] <= MOST_BROADCAST:
+        hits = each.join(F.broadcast(rules), F.col("short") == F.col("rule_short"))
+    else:
+        each = each.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        rules = rules.withColumn("rule_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = each.join(rules, (F.col("short") == F.col("rule_short")) & (F.col("salt") == F.col("rule_salt")))
+    hits = hits.where(F.col("digest") == F.col("rule_digest"))
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.char_length("rule"), "of_host", "verdict"))
     return hits.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.verdict")
 
@@ -81,8 +87,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     The host runs from the first ``://`` to the next ``/ ? #`` or the end, A-Z lower-cased; the
     path from there to ``? #`` or the end. A null URL or one without ``://`` has neither, and no
     rule. A rule fits its host and all subdomains if the path starts with the rule's. Each
-    different URL is judged once, however many rows repeat it; every row is returned. An empty
-    table, or an empty rule list, works alike.
+    different URL is judged once, however many rows repeat it; every row is returned. Of a very
+    long URL the expressions are host labels times the lengths of rule paths, and each is hashed to
+    a digest before rows are shuffled. Of rules that tie in length the one with the longer host
+    wins, then the one that blocks. An empty table, or an empty rule list, works alike.
     """
     key = clean_name(pages, "url")
     judged = match_rules(
