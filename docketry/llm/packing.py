@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import prepare, read, stored
 
 CAPACITY, END = 1024, 0
-#: Different chunks of text whose ids a task keeps (about 200 bytes each).
-MOST_CHUNKS = 200_000
+#: Chunks of text whose ids a task keeps: code points of one at most, what a chunk takes besides its ids, and bytes of all.
+LONGEST_KEPT, CHUNK_COST, MOST_KEPT = 64, 200, 48 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -44,6 +44,8 @@ class ChunkedEncoder:
     other white space is encoded chunk by chunk, each with the space before it. Other texts, and
     texts with a special token's string, are encoded whole. ``ranks``, a file with the same
     vocabulary as ranks, encodes chunks not seen before several times as fast, to the same ids.
+    Long chunks (a text without spaces is one) are not kept, and all are let go when those kept
+    reach MOST_KEPT bytes, so memory has a bound whatever the texts.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -53,6 +55,7 @@ class ChunkedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.fast = None
         if ranks:
             with open(ranks, "rb") as f:
@@ -70,14 +73,20 @@ class ChunkedEncoder:
         found = list(map(self.known.get, chunks))
         if None in found:
             new = list({c for c, f in zip(chunks, found, strict=True) if f is None})
-            if len(self.known) + len(new) > MOST_CHUNKS:
-                self.known.clear()
-                new = list(set(chunks))
-            ids = [array("I", self.fast(c)).tobytes() for c in new] if self.fast else self._encode(new)
-            self.known.update(zip(new, ids, strict=True))
-            found = list(map(self.known.__getitem__, chunks))
+            ids = dict(zip(new, [array("I", self.fast(c)).tobytes() for c in new] if self.fast else self._encode(new), strict=True))
+            found = [ids[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+            self._keep(ids)
         return b"".join(found)
 
+    def _keep(self, ids: dict[str, bytes]) -> None:
+        short = {c: x for c, x in ids.items() if len(c) <= LONGEST_KEPT}
+        self.held += sum(map(len, short.values())) + CHUNK_COST * len(short)
+        if self.held > MOST_KEPT:
+            self.known.clear()
+            self.held = 0
+            return
+        self.known.update(short)
+
 
 @cache
 def _encoder(path: str) -> ChunkedEncoder:
@@ -190,23 +199,24 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     The pieces of a sequence follow each other from offset 0 and hold ``capacity`` ids at most. A
     null or empty text is one piece with the end id alone; repeated rows are packed each for
-    itself; an empty table gives an empty one; other columns are not read.
+    itself; an empty table gives an empty one; other columns are not read. With ``with_ids`` each
+    piece also carries its ids, and a sequence's ids are those of its pieces in order of offset.
 
-    Ranks are counted by length and salt and then added up, so that a length that many pieces
-    share is spread over tasks. Only the count of each length (``capacity`` numbers) reaches the
-    driver.
+    Every stored piece has a number of its own. Ranks are counted by length and a salt of that
+    number and then added up, so that a length that many pieces share, equal ones included, is
+    spread over tasks. Only the count of each length (``capacity`` numbers) reaches the driver.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    cut = stored(pieces(docs, tokenizer, capacity, with_ids).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)))
     counts = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
     plan = plan_windows({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     bases = counts.select("length", "salt", before.alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece"))
     ranked = salted.withColumn("own", own).join(bases, ["length", "salt"])
-    names = [f.name for f in cut.schema]
+    names = [f.name for f in cut.schema if f.name != "piece"]
     ranked = ranked.select(*names, (F.col("base") + F.col("own") - 1).alias("rank"))
     return ranked.mapInArrow(_placer(plan), PIECES + ", ids binary" * with_ids + ", sequence_id long, offset long")
 

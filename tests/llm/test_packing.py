@@ -45,6 +45,40 @@ def test_packing(docs, odd):
         assert sorted(expected, key=repr) == sorted((k for k, v in by_piece.items() for _ in v), key=repr)
 
 
+def test_ids_of_sequences(docs):
+    """With ids, a piece's ids have its length and checksum, and a document's pieces decode to its text."""
+    whole = Tokenizer.from_file(PATH)
+    by_doc = {}
+    for r in p.pack(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), with_ids=True).collect():
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], ids.tolist()))
+    for r in docs.collect():
+        if r["doc_id"] is not None:
+            ids = [i for _, part in sorted(by_doc[r["doc_id"]]) for i in part]
+            assert ids[-1] == p.END and whole.decode(ids[:-1], skip_special_tokens=False) == (r["text"] or "")
+
+
+def test_memory_of_chunks(monkeypatch):
+    """Texts without a space are encoded and not kept; what is kept stays under its bound."""
+    monkeypatch.setattr(p, "MOST_KEPT", 20_000)
+    whole, encode = Tokenizer.from_file(PATH), p.ChunkedEncoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(1)
+    for text in ["日本語" * 3000, "QUJD" * 5000, *("".join(rng.choice("abcdef ") for _ in range(2000)) for _ in range(20))]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert encode.held <= p.MOST_KEPT and all(len(c) <= p.LONGEST_KEPT for c in encode.known)
+        assert sum(len(v) + p.CHUNK_COST for v in encode.known.values()) <= p.MOST_KEPT
+
+
+def test_equal_rows_are_spread(spark):
+    """Many equal texts without ids get different ranks, and no salt holds most of them."""
+    from pyspark.sql import functions as F
+
+    table = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    rows = p.pack(table).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 2000 and {r["length"] for r in rows} == {1}
+
+
 def test_windows_are_closest_to_capacity():
     """Each window against trying all multisets."""
     rng = random.Random(4)
