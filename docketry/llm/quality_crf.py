@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from docketry.llm.common import clean_name, prepare, read
+from docketry.llm.common import clean_name, prepare, read, stored
 
-#: Labelled documents of each class that are trained on, and lines of each of them: the bounds of what the driver sees.
-MAX_DOCUMENTS, MAX_LINES = 1500, 100
+#: Labelled documents of each class that are trained on at most, and lines of all of them together: the bounds of what the
+#: driver sees. Texts are whole: a document that would go beyond the lines is left out.
+MAX_DOCUMENTS, MAX_LINES = 1500, 200_000
 THRESHOLD, FOLDS = 0.3, 5
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 
@@ -125,25 +126,41 @@ def _marginals(u: np.ndarray, moves: np.ndarray, on: np.ndarray) -> tuple[np.nda
     return good, (pairs * on.T[1:, :, None, None]).sum(axis=0)
 
 
+def _groups(lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of like lengths together: their numbers, the numbers of their lines (padded), and which of these are lines."""
+    starts = np.cumsum(lengths) - lengths
+    size = np.ceil(np.log2(np.maximum(lengths, 1)) / 2)  # a group's longest has four times the lines of its shortest at most
+    out = []
+    for k in np.unique(size):
+        docs = np.flatnonzero(size == k)
+        on = np.arange(lengths[docs].max()) < lengths[docs, None]
+        out.append((docs, np.where(on, starts[docs, None] + np.arange(on.shape[1]), 0), on))
+    return out
+
+
 def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float) -> Crf:
-    """A chain trained on documents (features, sizes) with labels 0 and 1; ``prior``: the share of label 1 outside the sample."""
+    """A chain trained on documents (features, sizes) with labels 0 and 1; ``prior``: the share of label 1 outside the sample.
+
+    The lines of all documents are one table, so a long document costs its own lines and no padding of others.
+    """
     lengths = np.array([len(x) for x, _ in documents])
-    n, most, dims = len(documents), lengths.max(), documents[0][0].shape[1]
-    x = np.zeros((n, most, dims))
-    for i, (features, _) in enumerate(documents):
-        x[i, : len(features)] = features
-    on = np.arange(most) < lengths[:, None]
+    n, dims = len(documents), documents[0][0].shape[1]
+    x = np.concatenate([features for features, _ in documents])
     y = labels.astype(np.float64)
     share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
     each = share / lengths  # each document counts alike, and both classes do
     same = np.zeros((n, 2, 2))
     same[np.arange(n), labels, labels] = lengths - 1
+    groups = _groups(lengths)
     theta = np.zeros(dims + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        good, pairs = _marginals(x @ theta[:dims], theta[dims:].reshape(2, 2), on)
-        off = np.where(on, good - y[:, None], 0) * each[:, None]
-        slope = np.concatenate([np.einsum("nl,nld->d", off, x), ((pairs - same) * each[:, None, None]).sum(axis=0).ravel()]) + RIDGE * theta
+        u, off, moved = x @ theta[:dims], np.zeros(len(x)), np.zeros((2, 2))
+        for docs, lines, on in groups:
+            good, pairs = _marginals(u[lines], theta[dims:].reshape(2, 2), on)
+            off[lines[on]] = ((good - y[docs, None]) * each[docs, None])[on]
+            moved += ((pairs - same[docs]) * each[docs, None, None]).sum(axis=0)
+        slope = np.concatenate([off @ x, moved.ravel()]) + RIDGE * theta
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     crf = Crf(theta[:dims], theta[dims:].reshape(2, 2))
@@ -181,6 +198,25 @@ def training_ids(labels: DataFrame, column: str, most: int = MAX_DOCUMENTS) -> t
     return parts[0].union(parts[1]).dropDuplicates(["doc_id"]), counts[1] / (counts[0] + counts[1])
 
 
+def training_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, y and text of the labelled documents that are trained on, stored: whole texts, MAX_LINES lines in all.
+
+    Rows that share an id give one text, chosen by hash. Documents are taken in order of the hash
+    of their ids; only ids and counts of lines (2 MAX_DOCUMENTS at most) reach the driver.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))
+    found = stored(found.groupBy("doc_id", "y").agg(one["text"].alias("text")), "training-texts")
+    lines = 1 + F.char_length("text") - F.char_length(F.replace("text", F.lit("\n")))
+    rows = found.select("doc_id", lines.alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * MAX_DOCUMENTS).collect()
+    room, taken = MAX_LINES, []
+    for r in rows:
+        if r["lines"] <= room:
+            room -= r["lines"]
+            taken.append(r["doc_id"])
+    return found.where(F.col("doc_id").isin(taken)) if len(taken) < len(rows) else found
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Crf | None:
     """A chain for ``column`` of ``labels``; None where there is nothing to learn from."""
     prepare(docs.sparkSession)
@@ -190,17 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Crf |
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), batch.column("text"), strict=True):
+            for i, text in enumerate(batch.column("text")):
                 x, sizes = line_features(text.as_py())
-                start = doc_id % (len(x) - MAX_LINES + 1) if len(x) > MAX_LINES else 0
-                part = slice(start, start + MAX_LINES)
-                rows.append((doc_id, y, x[part].astype(np.float32).tobytes(), sizes[part].astype(np.float32).tobytes()))
-            if rows:
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "y", "x", "sizes"])
-
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0]), "doc_id").select("doc_id", "y", "text")
+                parts = [pa.array([v.astype(np.float32).tobytes()], pa.binary()) for v in (x, sizes)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("y").slice(i, 1), *parts], names=["doc_id", "y", "x", "sizes"])
+
+    sample = training_texts(docs, ids[0]).select("doc_id", "y", "text")
     rows = sample.mapInArrow(features, "doc_id long, y int, x binary, sizes binary").orderBy("doc_id").limit(2 * MAX_DOCUMENTS).collect()
     if len({r["y"] for r in rows}) < 2:
         return None
@@ -226,7 +257,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only the text is an input of the score; a null or empty text is one empty line and scored as
     such. Labels of held-out documents, null labels and labels without a document are not used;
     a repeated label counts once. Without labels of both classes every score is 1. Repeated rows
-    are scored alike; an empty table gives an empty one; other columns are not read.
+    are scored alike; a score at the threshold counts as good; an empty table gives an empty one;
+    other columns are not read. A very long text is scored whole, line by line: a task holds its
+    features (about 400 bytes a line) and nothing of other documents.
     """
     docs = docs.select("doc_id", "text")
     out, p = score(docs, train(docs, labels))

@@ -24,6 +24,58 @@ def test_marginals_against_all_labellings():
         assert np.allclose(q._marginals(u, crf.moves, on)[0][0, :n], good / total)
 
 
+def test_fit_against_plain_gradient(monkeypatch):
+    """The fit over groups of like lengths takes the steps of a plain one that sums over all labellings of each document."""
+    monkeypatch.setattr(q, "STEPS", 3)
+    rng = np.random.default_rng(3)
+    documents = [(rng.normal(size=(n, 3)), np.ones(n)) for n in (1, 2, 7, 3, 5, 1, 4)]
+    labels = np.array([0, 1, 1, 0, 1, 1, 0])
+    crf = q.fit(documents, labels, 0.5)
+    theta, first, second = np.zeros(7), np.zeros(7), np.zeros(7)
+    for step in range(1, 4):
+        slope = q.RIDGE * theta
+        for (x, _), y in zip(documents, labels, strict=True):
+            n, expected, total = len(x), np.zeros(7), 0.0
+            for states in itertools.product((0, 1), repeat=n):
+                f = np.zeros(7)
+                f[:3] = np.array(states) @ x
+                for a, b in itertools.pairwise(states):
+                    f[3 + 2 * a + b] += 1
+                w = math.exp(f @ theta)
+                total, expected = total + w, expected + w * f
+            own = np.zeros(7)
+            own[:3], own[3 + 3 * y] = y * x.sum(axis=0), n - 1
+            slope = slope + (expected / total - own) * 0.5 / (labels == y).sum() / n
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        theta = theta - q.RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(crf.weights, theta[:3]) and np.allclose(crf.moves.ravel(), theta[3:])
+
+
+def test_document_score_against_the_formula():
+    """The score is the curve of the log odds of the length-weighted mean marginal."""
+    rng = np.random.default_rng(1)
+    crf = q.Crf(rng.normal(size=3 * q.N_OWN), rng.normal(size=(2, 2)), 0.7, -0.2)
+    text = "One line here.\n\nTwo ## lines || there\nthe end"
+    x, _ = q.line_features(text)
+    sizes = [max(len(line.encode()), 1) for line in text.split("\n")]
+    good, total = np.zeros(4), 0.0
+    for states in itertools.product((0, 1), repeat=4):
+        w = math.exp(sum(s * u for s, u in zip(states, x @ crf.weights, strict=True)) + sum(crf.moves[a, b] for a, b in itertools.pairwise(states)))
+        total, good = total + w, good + w * np.array(states)
+    mean = float((good / total) @ sizes / sum(sizes))
+    assert abs(crf.score(text) - 1 / (1 + math.exp(-(0.7 * math.log(mean / (1 - mean)) - 0.2)))) < 1e-9
+
+
+def test_training_texts_are_whole(spark, monkeypatch):
+    """A long document is trained on whole or not at all; an id of several rows gives one text."""
+    monkeypatch.setattr(q, "MAX_LINES", 1000)
+    rows = [(i, "a line\n" * (899 if i == 3 else 20)) for i in range(30)] + [(5, "another"), (6, None)]
+    ids = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int")
+    taken = q.training_texts(spark.createDataFrame(rows, "doc_id long, text string"), ids).collect()
+    assert len({r["doc_id"] for r in taken}) == len(taken) and sum(r["text"].count("\n") + 1 for r in taken) <= 1000
+    assert all((r["doc_id"], r["text"]) in rows or r["text"] == "" for r in taken) and len(taken) > 4
+
+
 def test_features():
     x, sizes = q.line_features("The end.\n\nX!! X!!\nThe end.")
     assert x.shape == (4, 3 * q.N_OWN) and sizes.tolist() == [8, 1, 7, 8]
