@@ -7,6 +7,7 @@ its words and names the items that hold the window.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import clean_name, prepare, read
+from docketry.llm.common import clean_name, prepare, read, stored
 
 WINDOW = 10
-#: Words of items that one automaton holds (about 0.5 kB each); more items are taken in further blocks.
+#: Words of items that one automaton holds on average (about 0.5 kB each); more items are taken in further blocks.
 BLOCK_WORDS = 200_000
+#: Bytes of stored automata (about an eighth of what they take in memory) that documents pass before marks are written.
+PASS_BYTES = 32 << 20
 #: A document with a greater share of marked words goes whole when contaminated spans are removed.
 MAX_COVERAGE = 0.5
 
@@ -142,19 +145,36 @@ class ItemAutomaton:
         return spans, found
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items with their words, in blocks of bounded size; one partition of items is with the driver at a time."""
-    block: list[tuple[object, list[bytes]]] = []
-    size = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if words and size + len(words) > block_words and block:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((row["item_id"], words))
-            size += len(words)
-    yield block
+def item_automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Automata of all items, built in tasks and stored: one row for each block, with the pickled automaton.
+
+    Different items (id and text) are dealt to blocks by hash. An item of more than a block's words
+    is cut into parts that overlap by a window less one word, so it has the same windows; a part
+    keeps the item's id.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, parts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                for start in range(0, max(len(words) - window + 1, 1) if words else 0, max(block_words - window + 1, 1)):
+                    names.append(name)
+                    parts.append(b" ".join(words[start : start + max(block_words, window)]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], names=["name", "words"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for items in batch.column("items"):
+                automaton = ItemAutomaton([(x["name"], x["words"].split()) for x in items.as_py()], window)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(automaton)], pa.binary())], names=["automaton"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").where(F.col("text").isNotNull()).distinct()
+    items = stored(items.mapInArrow(cut, "name string, words binary"), "benchmark-items")
+    n_words = items.agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).first()[0] or 0
+    block = F.pmod(F.xxhash64("name", "words"), F.lit(-(-n_words // block_words) or 1))
+    blocks = items.groupBy(block.alias("block")).agg(F.collect_list(F.struct("name", "words")).alias("items"))
+    return stored(blocks.select("items").mapInArrow(build, "automaton binary"), "benchmark-automata")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -167,21 +187,23 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(automata: list, counted: str, known: str, items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the spans and items that one automaton finds to those of the blocks before."""
+def _scanner(pickled: object, counted: str, known: str, items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the spans and items that some automata find to those found before; ``pickled`` is a broadcast list of them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = automata[0].value
+        automata = [pickle.loads(x) for x in pickled.value]
         for batch in batches:
             texts, n_words, spans, names = batch.column("text"), [], [], []
-            for text, before, had in zip(texts, batch.column(known), batch.column(items), strict=True):
+            for text, before, had in zip(texts, batch.column(known).to_pylist(), batch.column(items).to_pylist(), strict=True):
                 words = words_of(text.as_py())
-                new, found = automaton.scan(words)
-                old = before.as_py()
-                merged = merge_spans([*zip(old[::2], old[1::2], strict=True), *new]) if old else new
+                marked = list(zip(before[::2], before[1::2], strict=True))
+                for automaton in automata:
+                    new, found = automaton.scan(words)
+                    marked = merge_spans([*marked, *new]) if marked else new
+                    had += [automaton.names[k] for k in found]
                 n_words.append(len(words))
-                spans.append([x for s in merged for x in s])
-                names.append([*had.as_py(), *(None if automaton.names[k] is None else str(automaton.names[k]) for k in found)])
+                spans.append([x for s in marked for x in s])
+                names.append(list(dict.fromkeys(had)))
             new_columns = {counted: pa.array(n_words, pa.int64()), known: pa.array(spans, pa.list_(pa.int32())), items: pa.array(names, pa.list_(pa.string()))}
             columns = [new_columns.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
@@ -194,19 +216,30 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     (a flat array of word numbers: from, to, from, to ...) and the items found (their ids as strings).
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window; one
-    without words has none. Items are held in automata of at most ``block_words`` words; documents
-    pass through all of them without a shuffle. Null texts have no words. Repeated documents are
-    scanned alike; repeated items are found together; a null item_id is never named but marks. An
-    empty table gives an empty one, an empty benchmark no marks. New names avoid those of ``docs``.
+    without words has none. Items are held in automata of about ``block_words`` words. Documents
+    pass some of them at a time without a shuffle: PASS_BYTES bound what a task and the driver
+    hold, and marks are written before the next pass, so neither grows with the benchmark; the
+    number of passes does. Null texts have no words. Repeated documents are scanned alike; repeated
+    items are found together; a null item_id is never named but marks. A very long text is scanned
+    as a stream of its words. An empty table gives an empty one, an empty benchmark no marks. New
+    names avoid those of ``docs``.
     """
     spark = docs.sparkSession
     prepare(spark)
     names = n_words, spans, items = tuple(clean_name(docs, x) for x in ("n_words", "spans", "items"))
     out = docs.select("*", F.lit(0).cast("long").alias(n_words), F.array().cast("array<int>").alias(spans), F.array().cast("array<string>").alias(items))
-    for block in item_blocks(benchmark, block_words):
-        automaton = spark.sparkContext.broadcast(ItemAutomaton(block, window))
-        out = out.mapInArrow(_scanner([automaton], *names), out.schema)
-    return out, *names
+    automata = item_automata(benchmark, window, block_words)
+    group: list[bytes] = []
+    for row in automata.toLocalIterator():
+        if group and sum(map(len, group)) + len(row[0]) > PASS_BYTES:
+            out = stored(_passed(out, group, names), "marks")
+            group = []
+        group.append(bytes(row[0]))
+    return _passed(out, group, names), *names
+
+
+def _passed(docs: DataFrame, automata: list[bytes], names: tuple[str, str, str]) -> DataFrame:
+    return docs.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(automata), *names), docs.schema)
 
 
 def marked_words(spans: str) -> Column:

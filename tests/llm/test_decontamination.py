@@ -70,6 +70,26 @@ def test_documents_against_brute_force(spark, docs, bench, block):
     assert marked >= 2
 
 
+def test_many_blocks_in_bounded_passes(spark, docs, monkeypatch):
+    """Fifty blocks, a few at a time: marks are those of one automaton, and what a pass holds stays under the bound."""
+    import pickle
+
+    items = [(i, prose(500 + i, 60)) for i in range(100)]
+    rows = spark.createDataFrame([(i, " ".join([prose(900 + i, 15), *(prose(500 + (7 * i + k) % 110, 60) for k in range(3))]), "en", "s", 1) for i in range(12)], docs.schema)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {r["doc_id"]: r for r in dc.mark_contamination(rows, bench)[0].collect()}
+    sizes = []
+    real = dc._passed
+    monkeypatch.setattr(dc, "_passed", lambda d, automata, names: sizes.append((len(automata), sum(map(len, automata)))) or real(d, automata, names))
+    one = len(pickle.dumps(dc.ItemAutomaton([(1, dc.words_of(items[0][1]))])))
+    monkeypatch.setattr(dc, "PASS_BYTES", 40 * one)
+    blocks = dc.item_automata(bench, block_words=120).count()
+    found = {r["doc_id"]: r for r in dc.mark_contamination(rows, bench, block_words=120)[0].collect()}
+    assert blocks > 40 and len(sizes) > 1 and sum(n for n, _ in sizes) == blocks and max(b for _, b in sizes) <= 40 * one
+    for d, r in whole.items():
+        assert (found[d]["__n_words"], found[d]["__spans"], set(found[d]["__items"])) == (r["__n_words"], r["__spans"], set(r["__items"])) and r["__items"]
+
+
 def test_removal(spark, docs, bench):
     text = "Before it all. " + prose(77, 40) + "!\nAfter it, " + prose(90, 60)
     rows = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, prose(77, 40), "en", "s", 1), (3, None, "en", "s", None), (4, "clean  text \n", "en", "s", 13)], docs.schema)
