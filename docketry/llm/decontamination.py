@@ -20,8 +20,9 @@ from docketry.llm.common import clean_name, prepare, read, stored
 WINDOW = 10
 #: Words of items that one automaton holds on average (about 0.5 kB each); more items are taken in further blocks.
 BLOCK_WORDS = 200_000
-#: Bytes of stored automata (about an eighth of what they take in memory) that documents pass before marks are written.
-PASS_BYTES = 32 << 20
+#: Bytes of stored automata that documents pass before marks are written. In memory they take about 15 times as much, so a
+#: Python worker holds about 240 MB of them (a block of 200,000 words: 7 MB stored, 103 MB in memory).
+PASS_BYTES = 16 << 20
 #: A document with a greater share of marked words goes whole when contaminated spans are removed.
 MAX_COVERAGE = 0.5
 
