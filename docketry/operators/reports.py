@@ -87,6 +87,11 @@ def report_summary(reports: DataFrame, accounts: DataFrame, inquiries: DataFrame
     return out.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("accounts", "disputable", "clean", "bad_inquiries")))
 
 
+def report_list(reports: DataFrame) -> DataFrame:
+    """All reports, newest first."""
+    return reports.orderBy(F.desc("created_at"), "id").select("id", "bureau", "created_at", "credit_score", "source", F.date_format("pull_date", "yyyy-MM-dd").alias("pull_date"))
+
+
 def empty_dashboard(disputes: DataFrame, reports: DataFrame) -> DataFrame:
     """One row: whether there is neither a report nor a dispute. Each side looks at one row at most."""
     some = reports.select(F.lit(1).alias("x")).limit(1).union(disputes.select(F.lit(1).alias("x")).limit(1))

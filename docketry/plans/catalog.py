@@ -81,9 +81,9 @@ def report_summary(spark, d):
     return reports.report_summary(v.reports(spark, d), v.accounts(spark, d), v.inquiries(spark, d))
 
 
-@query(sql("SELECT id, bureau, created_at, credit_score FROM reports", "reports"))
+@query(sql("SELECT id, bureau, created_at, credit_score, source, strftime(pull_date, '%Y-%m-%d') AS pull_date FROM reports", "reports"))
 def report_list(spark, d):
-    return v.reports(spark, d).orderBy(F.desc("created_at"), "id").select("id", "bureau", "created_at", "credit_score")
+    return reports.report_list(v.reports(spark, d))
 
 
 @query(sql("""SELECT r.id, coalesce(a.l, '') AS accounts, coalesce(i.l, '') AS inquiries FROM reports r

@@ -19,7 +19,9 @@ VIEWS = {
     "reports": f"""SELECT c_custkey * 3 + i AS id, c_custkey AS user_id,
         CASE WHEN i = 0 AND c_custkey % 7 = 0 THEN 'tri_merge' ELSE {pick("i", BUREAUS)} END AS bureau,
         TIMESTAMP '1995-01-01' + to_days(CAST((c_custkey * 13 + i * 29) % 1500 AS INTEGER)) AS created_at,
-        CASE WHEN c_custkey % 11 <> 0 THEN CAST(300 + (c_custkey * 37 + i * 101) % 551 AS INTEGER) END AS credit_score
+        CASE WHEN c_custkey % 11 <> 0 THEN CAST(300 + (c_custkey * 37 + i * 101) % 551 AS INTEGER) END AS credit_score,
+        CASE WHEN i = 2 THEN 'api_pull' ELSE 'manual_upload' END AS source,
+        CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '1994-12-01' + to_days(CAST((c_custkey * 13 + i * 29) % 1500 AS INTEGER)) END AS pull_date
         FROM customer, (SELECT unnest([0, 1, 2]) AS i)""",
     "accounts": f"""SELECT o_orderkey AS id, o_custkey AS user_id, o_custkey * 3 + (o_orderkey >> 5) % 3 AS report_id, {pick("o_orderkey % 3", BUREAUS)} AS bureau,
         concat('Creditor ', o_orderkey % 97) AS creditor_name, concat('XXXX-', o_orderkey % 5) AS account_number,

@@ -44,7 +44,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key * 3 + F.col("i")).alias("id"), key.alias("user_id"),
         F.when((F.col("i") == 0) & (key % 7 == 0), "tri_merge").otherwise(_pick(F.col("i"), ("equifax", "experian", "transunion"))).alias("bureau"),
         (F.lit("1995-01-01").cast("timestamp_ntz") + F.make_dt_interval(((key * 13 + F.col("i") * 29) % 1500).cast("int"))).alias("created_at"),
-        F.when(key % 11 != 0, (300 + (key * 37 + F.col("i") * 101) % 551).cast("int")).alias("credit_score"),
+        F.when(key % 11 != 0, (300 + (key * 37 + F.col("i") * 101) % 551).cast("int")).alias("credit_score"), F.when(F.col("i") == 2, "api_pull").otherwise("manual_upload").alias("source"),
+        F.when(key % 5 != 0, F.lit("1994-12-01").cast("timestamp_ntz") + F.make_dt_interval(((key * 13 + F.col("i") * 29) % 1500).cast("int"))).alias("pull_date"),
     )
 
 

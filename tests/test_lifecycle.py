@@ -172,3 +172,19 @@ def test_uploads_and_tables(spark, tmp_path):
     assert spark.table("default.disputes").count() == 0
     for name in tables.SCHEMAS:
         spark.sql(f"DROP TABLE default.{name}")
+
+
+def test_pdf_files_need_a_library(spark, monkeypatch):
+    """Without a library an error names them; with one, broken files have no text."""
+    import pytest
+
+    from docketry.sources import pdf
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"no pdf"))], "path string, content binary")
+    try:
+        pdf.reader()
+    except ImportError:
+        with pytest.raises(ImportError):
+            pdf.pdf_texts(files)
+        monkeypatch.setattr(pdf, "LIBRARIES", ("json",))
+    assert [tuple(r) for r in pdf.pdf_texts(files).collect()] == [("a.pdf", None)]
