@@ -2,7 +2,10 @@
 
 Base rules reject short texts and texts made of repeated windows. Of the rest, the histogram of
 character classes and that of common words are compared with those of the document's language by
-Jensen-Shannon distance. The references are sums over all documents.
+Jensen-Shannon distance. The references are sums over all documents, one for every language.
+
+What a text alone tells (counts and classes) is measured once and stored as a narrow table; the
+references come from it and from the words; then only common words are looked up in the texts.
 """
 
 from __future__ import annotations
@@ -10,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SPACE, clean_name, read, stored
+from docketry.llm.common import SPACE, read, stored
 
 MIN_WORDS = 50
 #: A word is common if it makes at least this share of its language's words, so a language has 250 at most.
 COMMON_SHARE = 0.004
-#: Languages with a smaller share of all words have no reference, so there are 1,000 references at most.
-LANGUAGE_SHARE = 0.001
+#: Languages (250 words each at most) that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1000
 #: Greatest distances (0 to 1) that are kept.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.26, 0.40
 #: Shorter documents are not tested: the distance of a short sample is mostly noise.
@@ -24,8 +27,9 @@ MIN_CLASS_CHARS, MIN_COMMON_TEST_WORDS = 200, 100
 
 #: Removed one after the other; what each removes is a class, what is left at the end is the last one.
 CLASSES = ("[a-z]+", "[ \\t\\n\\x0B\\f\\r]+", "[A-Z]+", "[0-9]+", "[.,;:'\"!?()-]+", "[\\x00-\\x7F]+")
-SPACE_CLASS = 1
+SPACE_CLASS, N_CLASSES = 1, len(CLASSES) + 1
 SYMBOLS = "[#*$%&|<>]+"
+KEY = ["k1", "k2"]
 
 
 def words_of(text: Column) -> Column:
@@ -53,108 +57,117 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, 0).when(F.size(F.array_distinct(keys)) == n - 2, 0).otherwise(slow)
 
 
-def _distance(p: str, q: str) -> Column:
-    """The Jensen-Shannon distance of two columns that hold arrays of shares of one length."""
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    parts = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.sqrt(F.greatest(_sum(parts) / 2, F.lit(0.0)))
+def _divergence(p: Column, q: Column) -> Column:
+    """What one bin with the shares p and q adds to twice the squared Jensen-Shannon distance."""
+    part = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
+    return part(p) + part(q)
 
 
 def _sum(a: Column | str) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def _shares(counts: Column, whole: Column) -> Column:
+def _distance(double_square: Column) -> Column:
+    return F.sqrt(F.greatest(double_square / 2, F.lit(0.0)))
+
+
+def _shares(counts: Column | str, whole: Column) -> Column:
     return F.transform(counts, lambda x: x / whole)
 
 
-def class_counts(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with an array of character counts by class, and the array's name."""
-    name, left = clean_name(docs, "classes"), [clean_name(docs, f"left{i}") for i in range(len(CLASSES) + 1)]
-    out = docs.withColumn(left[0], F.coalesce("text", F.lit("")))
+def measured(docs: DataFrame) -> DataFrame:
+    """What each text alone tells, stored: k1 and k2 (the row's hashes), doc_id, lang, classes (characters by class) and the base columns."""
+    left = [f"left{i}" for i in range(N_CLASSES)]
+    out = keyed(docs).withColumn(left[0], F.col("text"))
     for i, pattern in enumerate(CLASSES):
         out = out.withColumn(left[i + 1], F.regexp_replace(left[i], pattern, ""))
     size = [F.char_length(x) for x in left]
-    return out.withColumn(name, F.array(*(a - b for a, b in zip(size, size[1:], strict=False)), size[-1]).cast("array<double>")).drop(*left), name
-
-
-def base_columns(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with words and counts under new names; the names by what they are."""
-    out, classes = class_counts(docs)
-    names = {k: clean_name(out, k) for k in ("words", "n_symbols", "n_dup_lines", "n_repeat_words", "word_chars", "n_words", "base_failed")}
-    text = F.coalesce(docs["text"], F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    words = F.col(names["words"])
-    out = out.withColumn(names["words"], words_of(text)).withColumns(
-        {
-            names["word_chars"]: (F.char_length(text) - F.get(classes, F.lit(SPACE_CLASS))).cast("long"),
-            names["n_symbols"]: (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-            names["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            names["n_words"]: F.size(words).cast("long"),
-            names["n_repeat_words"]: repeated_words(words).cast("long"),
-        }
-    )
-    failed = (F.col(names["n_words"]) < MIN_WORDS) | (100 * F.col(names["n_repeat_words"]) > 50 * F.col(names["n_words"]))
-    return out.withColumn(names["base_failed"], failed), names | {"classes": classes}
-
-
-def language_references(docs: DataFrame) -> DataFrame:
-    """By language, over all documents: summed character classes, common words with counts, and the count of all words.
-
-    All sums are taken before rows are shuffled. LANGUAGE_SHARE and COMMON_SHARE bound the number
-    of rows and of words a row, whatever the input; rows without a language are one language.
+    classes = F.array(*(a - b for a, b in zip(size, size[1:], strict=False)), size[-1]).cast("array<double>")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+    # symbols are all in the last class but one, so they are counted in what is left of the text there
+    symbols = F.char_length(left[-2]) - F.char_length(F.regexp_replace(left[-2], SYMBOLS, ""))
+    out = out.select(*KEY, "doc_id", "lang", classes.alias("classes"), symbols.cast("long").alias("n_symbols"), lines.alias("lines"), words_of(F.col("text")).alias("words"))
+    word_chars = _sum("classes") - F.get("classes", F.lit(SPACE_CLASS))
+    out = out.select(
+        *KEY, "doc_id", "lang", "classes", F.size("words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), "n_symbols",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+    )
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stored(out.withColumn("base_failed", failed), "measured")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and text (null: empty) with 128 bits that rows share only if they are equal."""
+    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("*", F.xxhash64("doc_id", "lang", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "lang", "text").alias("k2"))
+
+
+def language_references(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every language's shares of character classes and of common words, stored: ref_lang, ref_classes, ref_words, ref_shares, ref_other.
+
+    ``rows`` are those of ``measured``. All sums are taken before rows are shuffled. COMMON_SHARE
+    bounds the words of a language; languages are as many as the documents name, and rows without
+    one are a language of their own. A language without words has no reference.
+    """
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
+    totals = stored(rows.groupBy(F.col("lang").alias("ref_lang")).agg(F.sum("n_words").alias("total"), *sums).where("total > 0"), "language-totals")
+    near = F.broadcast if totals.count() <= MOST_BROADCAST else lambda x: x
+    words = docs.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word"))
+    counts = words.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
+    common = counts.join(near(totals.select("ref_lang", "total")), "ref_lang").where(F.col("n") >= F.lit(COMMON_SHARE) * F.col("total"))
+    common = common.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))).alias("common"))
+    refs = totals.join(common, "ref_lang", "left").withColumn("common", F.coalesce("common", F.array().cast(common.schema["common"].dataType)))
+    return stored(
+        refs.select(
+            "ref_lang", _shares(F.array(*(f"c{i}" for i in range(N_CLASSES))), sum(F.col(f"c{i}") for i in range(N_CLASSES))).alias("ref_classes"),
+            F.col("common.word").alias("ref_words"), F.col("common.share").alias("ref_shares"), F.greatest(1 - _sum("common.share"), F.lit(0.0)).alias("ref_other"),
+        ),
+        "language-references",
+    )
+
+
+def word_distances(docs: DataFrame, references: DataFrame) -> DataFrame:
+    """k1, k2 and the distance of common words, for each different row of MIN_COMMON_TEST_WORDS words or more whose language has common words.
+
+    Only common words that the text holds are counted; each other one adds its share in the reference.
     """
-    docs = docs.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.coalesce("text", F.lit("")).alias("text"))
-    numbers = range(len(CLASSES) + 1)
-    out, n = class_counts(docs)
-    sums = [F.sum(F.get(n, F.lit(i))).alias(f"c{i}") for i in numbers]
-    totals = stored(out.groupBy("ref_lang").agg(F.sum(F.size(words_of(F.col("text")))).alias("ref_total"), *sums), "language-totals")
-    whole = totals.agg(F.sum("ref_total")).first()[0] or 0
-    totals = F.broadcast(totals.where((F.col("ref_total") > 0) & (F.col("ref_total") >= LANGUAGE_SHARE * whole)))
-    counts = docs.select("ref_lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
-    common = counts.join(totals, "ref_lang").where(F.col("n") >= F.lit(COMMON_SHARE) * F.col("ref_total")).select("ref_lang", "word", "n")
-    common = common.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("common"))
-    refs = stored(common.join(totals, "ref_lang"), "language-references")
-    return refs.select(
-        "ref_lang",
-        _shares(F.array(*(f"c{i}" for i in numbers)), sum(F.col(f"c{i}") for i in numbers)).alias("ref_classes"),
-        F.col("common.word").alias("ref_words"),
-        F.concat(
-            _shares(F.col("common.n").cast("array<double>"), F.col("ref_total").cast("double")),
-            F.array(1 - _sum(F.col("common.n").cast("array<double>")) / F.col("ref_total")),
-        ).alias("ref_shares"),
-    )
-
-
-def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    out = keyed(docs).select(*KEY, "lang", words_of(F.col("text")).alias("words")).where(F.size("words") >= MIN_COMMON_TEST_WORDS)
+    out = out.join(references.where(F.size("ref_words") > 0), F.col("lang") == F.col("ref_lang"))
+    out = out.withColumn("hit", F.array_intersect("ref_words", "words")).withColumn("n", F.size("words").cast("double"))
+    count = lambda c: F.size("words") - F.size(F.array_remove("words", c))
+    share = lambda c: F.get("ref_shares", F.array_position("ref_words", c).cast("int") - 1)
+    out = out.withColumn("found", F.transform("hit", lambda c: F.struct((count(c) / F.col("n")).alias("p"), share(c).alias("q"))))
+    of_hits = _sum(F.transform("found", lambda x: _divergence(x["p"], x["q"]) - x["q"]))
+    other = F.greatest(1 - _sum("found.p"), F.lit(0.0))
+    distance = _distance(of_hits + _sum("ref_shares") + _divergence(other, F.col("ref_other")))
+    return out.select(*KEY, distance.alias("word_distance")).dropDuplicates(KEY)
+
+
+def judge(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` judged: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance, kept.
 
     ``kept`` is false if the base rules fail or a distance is over its limit. A distance is null,
-    and does not reject, where the text is under the minimum length, the language has no
-    reference or the reference has nothing to compare. A null or empty text has no words and so
-    fails the base rules. Repeated rows are judged alike, each once; an empty table gives an
-    empty one; other columns are ignored whatever their names. ``references`` default to those
-    of ``docs`` itself.
+    and does not reject, where the text is under the minimum length, the base rules fail or the
+    reference has nothing to compare. Every language with a word has a reference: a language of
+    one document is compared with itself, so both distances are 0. A null or empty text has no
+    words and so fails the base rules. Repeated rows are judged alike, each once; an empty table
+    gives an empty one; other columns are ignored whatever their names. A very long text is one
+    row, of which only counts are stored and hashes shuffled.
     """
     docs = docs.select("doc_id", "text", "lang")
-    references = language_references(docs) if references is None else references
-    out, n = base_columns(docs)
-    out = out.join(F.broadcast(references), F.coalesce(out["lang"], F.lit("")) == F.col("ref_lang"), "left")
-    names = [clean_name(out, k) for k in ("tested", "hits", "word_shares", "class_shares")]
-    tested, hits, word_shares, class_shares = names
-    out = out.withColumn(tested, F.filter(n["words"], lambda w: F.array_contains(F.col("ref_words"), w)))
-    out = out.withColumn(hits, F.transform("ref_words", lambda c: (F.size(tested) - F.size(F.array_remove(tested, c))).cast("double")))
-    out = out.withColumn(word_shares, _shares(F.concat(hits, F.array(F.col(n["n_words"]) - _sum(hits))), F.col(n["n_words"]).cast("double")))
-    out = out.withColumn(class_shares, _shares(F.col(n["classes"]), F.char_length("text").cast("double")))
-    fit = ~F.col(n["base_failed"]) & F.col("ref_lang").isNotNull()
-    out = out.withColumn("class_distance", F.when(fit & (F.col(n["word_chars"]) >= MIN_CLASS_CHARS), _distance(class_shares, "ref_classes")))
-    out = out.withColumn(
-        "word_distance", F.when(fit & (F.col(n["n_words"]) >= MIN_COMMON_TEST_WORDS) & (F.size("ref_words") > 0), _distance(word_shares, "ref_shares"))
-    )
+    rows = measured(docs)
+    references = language_references(docs, rows)
+    near = F.broadcast if references.count() <= MOST_BROADCAST else lambda x: x
+    out = rows.join(near(references.select("ref_lang", "ref_classes")), F.col("lang") == F.col("ref_lang"), "left")
+    classes = _sum(F.zip_with(_shares("classes", _sum("classes")), "ref_classes", _divergence))
+    out = out.join(word_distances(docs, near(references)), KEY, "left")
+    fit = ~F.col("base_failed") & F.col("ref_lang").isNotNull()
+    out = out.withColumn("class_distance", F.when(fit & (F.col("word_chars") >= MIN_CLASS_CHARS), _distance(classes)))
+    out = out.withColumn("word_distance", F.when(fit, F.col("word_distance")))
     over = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return out.select("doc_id", *(F.col(n[k]).alias(k) for k in counts), "class_distance", "word_distance", (~F.col(n["base_failed"]) & ~over).alias("kept"))
+    return out.select("doc_id", *counts, "class_distance", "word_distance", (~F.col("base_failed") & ~over).alias("kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +190,7 @@ f AS (SELECT b.r, doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, n - c1 AS
   coalesce(n_repeat_words, 0) AS n_repeat_words, n, [c0, c1, c2, c3, c4, ascii - c0 - c1 - c2 - c3 - c4, n - ascii] AS c FROM b LEFT JOIN rep ON rep.r = b.r),
 base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 lt AS (SELECT lang, sum(n_words) AS total, list_transform(range(1, 8), lambda i: 0.0) AS z FROM base GROUP BY lang),
-langs AS (SELECT lang, total FROM lt WHERE total > 0 AND total >= {LANGUAGE_SHARE} * (SELECT sum(total) FROM lt)),
+langs AS (SELECT lang, total FROM lt WHERE total > 0),
 ru AS (SELECT lang, i, sum(x) AS x FROM (SELECT lang, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM base) GROUP BY ALL),
 rq AS (SELECT lang, i, x / sum(x) OVER (PARTITION BY lang) AS q FROM ru),
 cd AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS v

@@ -47,5 +47,43 @@ def test_divergence(spark, docs):
     assert abs(found[900]["class_distance"] - math.sqrt(js)) < 1e-9
 
 
+def test_word_distance_is_that_of_the_formula(spark):
+    """Against plain Python, for two languages, one of them with a single document, and rows without a language."""
+    import random
+
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n, skew: " ".join(rng.choice(vocabulary[: int(1 + 399 * rng.random() ** skew)]) for _ in range(n))
+    rows = [(i, text(150, 3), "aa") for i in range(30)] + [(50, text(200, 1), "aa"), (60, text(300, 2), "bb"), (70, text(120, 2), None), (71, text(180, 4), None), (72, text(99, 2), None)]
+    table = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in q.judge(table).collect()}
+    assert q.judge(table).count() == len(rows) + 2
+    for lang in ("aa", "bb", None):
+        own = [r for r in rows + rows[:2] if r[2] == lang]
+        total = Counter(w for r in own for w in WORD.findall(r[1]))
+        size = sum(total.values())
+        common = [w for w, n in total.items() if n >= q.COMMON_SHARE * size]
+        b = [total[w] / size for w in common]
+        b.append(1 - sum(b))
+        for doc, said, _ in own:
+            words = WORD.findall(said)
+            n = Counter(words)
+            a = [n[w] / len(words) for w in common]
+            a.append(1 - sum(a))
+            js = sum((x * math.log2(2 * x / (x + y)) if x > 1e-15 else 0) + (y * math.log2(2 * y / (x + y)) if y > 1e-15 else 0) for x, y in zip(a, b, strict=True)) / 2
+            if len(words) < 100 or found[doc]["base_failed"]:
+                assert found[doc]["word_distance"] is None
+            else:
+                assert abs(found[doc]["word_distance"] - math.sqrt(max(js, 0))) < 1e-6
+    assert found[60]["word_distance"] < 1e-6 and found[60]["class_distance"] < 1e-6 and found[60]["kept"]
+
+
+def test_many_languages(spark, docs, monkeypatch):
+    """Beyond the bound of the broadcast the same verdicts come by a shuffle."""
+    few = {r["doc_id"]: tuple(r) for r in q.judge(docs).collect()}
+    monkeypatch.setattr(q, "MOST_BROADCAST", 0)
+    assert {r["doc_id"]: tuple(r) for r in q.judge(docs).collect()} == few
+
+
 def test_empty(empty):
     assert q.judge(empty).collect() == []
