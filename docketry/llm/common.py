@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _stored: list[str] = []
+_tables: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,25 +28,48 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set (tests, one machine)."""
+    """The folder that driver and executors share, from the session's ``spark.checkpoint.dir``.
+
+    Where it is not set, one machine (a ``local`` master) takes a temporary folder of its own; a
+    cluster has no folder that every executor sees, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; a master of {master!r} needs a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, and survives lost executors."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` will delete."""
+    _stored.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _stored[-1]
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (in folders by a column, if named) and read it again: cuts lineage, and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str]) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted by the columns ``by``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this process has stored; for when no result that reads them is needed any more."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     jvm = spark._jvm
     while _stored:
         path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
