@@ -1,21 +1,20 @@
 """Lines that many documents share, dropped with the help of levelled sorted runs of line hashes.
 
-A run is a table of line hashes and document counts, bucketed and sorted by hash, so that runs
-merge and join without another shuffle. A new batch of documents anti-joins the settled runs
-(hashes that have reached the limit need no more counting) and adds the rest as a run of level
-zero. Whenever a level holds FANOUT runs they are merged into one of the next level; merged
-hashes at the limit move to a settled run. Only DataFrame functions are used.
+The line hashes of all documents are stored once, in folders by batch. A run is a table of hashes
+and document counts, bucketed and sorted by hash. A new batch is counted, anti-joins the settled
+runs (hashes that have reached the limit need no more counting) and is added as a run of level
+zero. Whenever a level holds two runs, they are merged bucket by bucket into one of the next level,
+without a shuffle; merged hashes at the limit move to a settled run. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SPACE, UPPER, ascii_lower, clean_name, read, shared_dir, stored
+from docketry.llm.common import SPACE, UPPER, ascii_lower, bucketed, clean_name, read, stored
 
 MIN_KEY, MIN_DOCUMENTS, BATCHES, FANOUT = 1, 10, 4, 2
 #: Documents for each bucket of a run, up to the session's number of shuffle partitions.
@@ -37,102 +36,105 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_hashes(docs: DataFrame, min_key: int = MIN_KEY, row: str | None = None) -> DataFrame:
-    """Hashes h1, h2 of the different keys of each document, with the column ``row`` if one is named."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(docs["text"]), line_key), lambda k: F.char_length(k) >= min_key))
-    also = [row] if row else []
-    return docs.select(*also, F.explode(F.transform(keys, key_hash)).alias("h")).select(*also, "h.h1", "h.h2")
+def row_hash() -> Column:
+    """Of a document; equal rows share it. Rows that share it by chance do no harm: a line goes only where its own key is frequent."""
+    return F.xxhash64("doc_id", "text")
+
+
+def line_hashes(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
+    """Every different key of every document, stored: row, batch, doc_id, size (code points of all keys), n (of this one), h1, h2."""
+    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_key))
+    out = docs.select(row_hash().alias("row"), "doc_id", keys.alias("keys"))
+    size = F.aggregate("keys", F.lit(0), lambda s, k: s + F.char_length(k))
+    each = F.explode(F.transform("keys", lambda k: F.struct(key_hash(k).alias("h"), F.char_length(k).alias("n"))))
+    out = out.select("row", "doc_id", size.alias("size"), each.alias("k"))
+    out = out.select("row", "doc_id", "size", "k.n", "k.h.h1", "k.h.h2", F.pmod("row", F.lit(batches)).cast("int").alias("batch"))
+    return stored(out, "line-hashes", "batch")
 
 
 class LineRuns:
     """How many documents have each line, kept as levelled sorted runs (see the module's text)."""
 
-    def __init__(self, spark: SparkSession, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.limit, self.fanout = spark, min_documents, fanout
+    def __init__(self, spark: SparkSession, min_documents: int = MIN_DOCUMENTS, buckets: int | None = None):
+        self.limit = min_documents
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.names: list[str] = []
-
-    def _write(self, run: DataFrame, shuffle: bool) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        run = run.repartition(self.buckets, "h1") if shuffle else run
-        path = f"{shared_dir(self.spark)}/{name}"
-        run.write.format("parquet").bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", path).saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
-
-    def add(self, batch: DataFrame, min_key: int = MIN_KEY) -> None:
-        """Count a batch of documents (column ``text``; each row is a document)."""
-        new = line_hashes(batch, min_key)
-        counts = new.groupBy(*HASH).agg(F.count("*").alias("n"))
+
+    def add(self, batch: DataFrame) -> None:
+        """Count a batch of line hashes (h1, h2), one row for each document and line."""
+        counts = batch.groupBy(*HASH).agg(F.count("*").alias("n"))
         for run in self.settled:
             counts = counts.join(run, HASH, "left_anti")
-        self.levels[0].append(self._write(counts, shuffle=True))
+        self.levels[0].append(bucketed(counts.repartition(self.buckets, *HASH), "line-run", self.buckets, HASH))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while len(self.levels[level]) >= FANOUT:
             self._compact(level)
             level += 1
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("n").alias("n"))
-
     def _compact(self, level: int) -> None:
-        merged = self._merged(self.levels[level])
+        """Merge a level's two runs. Both are bucketed by hash, so the join and what is written of it need no shuffle."""
+        first, second = self.levels[level]
+        merged = first.join(second.withColumnRenamed("n", "more"), HASH, "full_outer")
+        whole = merged.select(*HASH, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        whole = bucketed(whole, "line-run", self.buckets, HASH)
         self.levels[level] = []
         if level + 1 == len(self.levels):
             self.levels.append([])
-        whole = self._write(merged, shuffle=True)
-        self.settled.append(self._write(whole.where(F.col("n") >= self.limit), shuffle=False))
+        self.settled.append(bucketed(whole.where(F.col("n") >= self.limit), "line-run", self.buckets, HASH))
         self.levels[level + 1].append(whole.where(F.col("n") < self.limit))
 
     def frequent(self) -> DataFrame:
         """Hashes found in ``min_documents`` documents or more."""
-        live = [run for level in self.levels for run in level]
         parts = [run.select(*HASH) for run in self.settled]
-        if live:
-            parts.append(self._merged(live).where(F.col("n") >= self.limit).select(*HASH))
+        if live := [run for level in self.levels for run in level]:
+            counts = reduce(DataFrame.unionByName, live).groupBy(*HASH).agg(F.sum("n").alias("n"))
+            parts.append(counts.where(F.col("n") >= self.limit).select(*HASH))
         return reduce(DataFrame.unionByName, parts)
 
 
-def frequent_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
-    """Hashes of the keys found in ``min_documents`` rows of ``docs`` or more, counted batch by batch."""
+def frequent_lines(docs: DataFrame, hashes: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
+    """Hashes of the keys found in ``min_documents`` rows of ``docs`` or more; ``hashes`` are those of ``line_hashes``, counted batch by batch."""
     spark = docs.sparkSession
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_DOCUMENTS)))
-    runs = LineRuns(spark, min_documents, buckets=buckets)
+    runs = LineRuns(spark, min_documents, buckets)
     for i in range(batches):
-        runs.add(docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else docs, min_key)
+        runs.add(hashes.where(F.col("batch") == i))
     return runs.frequent()
 
 
-def mark_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> tuple[DataFrame, str, str]:
-    """``docs`` with two more columns, whose names are returned too: the lines of the text, and those that stay."""
-    spark = docs.sparkSession
-    hot = frequent_lines(docs, min_key, min_documents, batches)
-    row, hits, lines, kept = (clean_name(docs, x) for x in ("row", "hits", "lines", "kept"))
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    found = line_hashes(keyed, min_key, row).join(hot, HASH, "left_semi")
-    found = found.groupBy(row).agg(F.collect_set(F.struct(*HASH)).alias(hits))
+def _without(docs: DataFrame, gone: DataFrame, row: str, hits: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, whose names are returned too: the lines of the text, and those of which no key is in ``hits`` of the row."""
+    lines, kept = (clean_name(docs, x) for x in ("lines", "kept"))
+    out = docs.withColumn(row, row_hash()).join(gone, row, "left").withColumn(lines, lines_of(F.col("text")))
     stays = lambda x: ~F.array_contains(F.col(hits), key_hash(line_key(x)))
-    out = keyed.join(found, row, "left").withColumn(lines, lines_of(F.col("text")))
     out = out.withColumn(kept, F.when(F.col(hits).isNull(), F.col(lines)).otherwise(F.filter(lines, stays)))
     return out.drop(row, hits), lines, kept
 
 
-def _once(docs: DataFrame, hot: DataFrame, min_key: int) -> tuple[DataFrame, str]:
-    """``docs`` with the lines that stay, and that column's name, where shared text stays in one document.
+def mark_lines(docs: DataFrame, min_key: int = MIN_KEY, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, whose names are returned too: the lines of the text, and those that stay.
+
+    A null or empty text is one empty line, which stays; an empty table gives an empty one;
+    repeated rows are marked alike and each counts; the new names avoid those of ``docs``. A long
+    text is one row: its lines are cut within the row, and only their hashes are shuffled.
+    """
+    hashes = line_hashes(docs, min_key, batches)
+    row, hits = (clean_name(docs, x) for x in ("row", "hits"))
+    found = hashes.join(frequent_lines(docs, hashes, min_documents, batches), HASH, "left_semi")
+    return _without(docs, found.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct(*HASH)).alias(hits)), row, hits)
+
+
+def _once(docs: DataFrame, min_key: int, min_documents: int, batches: int) -> tuple[DataFrame, str, str]:
+    """Like mark_lines, where shared text stays in one document.
 
     In a document of which frequent lines make more than half (different lines, by characters)
     they are its text and no boilerplate. Each line of such documents stays in the one with the
     smallest doc_id (null last); all other frequent lines go.
     """
-    row, hits, own, lines, kept = (clean_name(docs, x) for x in ("row", "hits", "own", "lines", "kept"))
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_key))
-    parts = keyed.select(F.col(row).alias("row"), "doc_id", keys.alias("keys"))
-    size = F.aggregate("keys", F.lit(0), lambda s, k: s + F.char_length(k))
-    parts = parts.select("row", "doc_id", size.alias("size"), F.explode(F.transform("keys", lambda k: F.struct(key_hash(k).alias("h"), F.char_length(k).alias("n")))).alias("k"))
-    parts = parts.select("row", "doc_id", "size", "k.h.h1", "k.h.h2", "k.n").join(hot, HASH, "left_semi")
+    hashes = line_hashes(docs, min_key, batches)
+    row, hits, own = (clean_name(docs, x) for x in ("row", "hits", "own"))
+    parts = hashes.join(frequent_lines(docs, hashes, min_documents, batches), HASH, "left_semi")
     found = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.collect_set(F.struct(*HASH, "n")).alias("found"))
     hit = F.aggregate("found", F.lit(0), lambda s, k: s + k["n"])
     found = stored(found.select("row", "doc_id", "found", (2 * hit > F.col("size")).alias("mostly")), "frequent-lines")
@@ -141,11 +143,7 @@ def _once(docs: DataFrame, hot: DataFrame, min_key: int) -> tuple[DataFrame, str
     owned = owners.groupBy(F.col("id.row").alias("row")).agg(F.collect_set(F.struct(*HASH)).alias(own))
     gone = F.transform("found", lambda k: F.struct(k["h1"].alias("h1"), k["h2"].alias("h2")))
     gone = F.when(F.col(own).isNull(), gone).otherwise(F.array_except(gone, own))
-    goes = found.join(owned, "row", "left").select(F.col("row").alias(row), gone.alias(hits))
-    out = keyed.join(goes, row, "left").withColumn(lines, lines_of(F.col("text")))
-    stays = lambda x: ~F.array_contains(F.col(hits), key_hash(line_key(x)))
-    out = out.withColumn(kept, F.when(F.col(hits).isNull(), F.col(lines)).otherwise(F.filter(lines, stays)))
-    return out.drop(row, hits, lines), kept
+    return _without(docs, found.join(owned, "row", "left").select(F.col("row").alias(row), gone.alias(hits)), row, hits)
 
 
 def drop_frequent_lines(
@@ -160,12 +158,8 @@ def drop_frequent_lines(
     gives an empty one. Other columns pass through; new names avoid theirs. With ``keep_once``
     the text of documents that are mostly frequent lines stays in one of them (see _once).
     """
-    if keep_once:
-        out, kept = _once(docs, frequent_lines(docs, min_key, min_documents, batches), min_key)
-    else:
-        out, _, kept = mark_lines(docs, min_key, min_documents, batches)
-    text = F.array_join(kept, "\n")
-    out = out.withColumn("text", text)
+    out, _, kept = (_once if keep_once else mark_lines)(docs, min_key, min_documents, batches)
+    out = out.withColumn("text", F.array_join(kept, "\n"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

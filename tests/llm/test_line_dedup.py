@@ -36,11 +36,26 @@ def test_ties_at_the_limit(spark):
 
 
 def test_runs_compact(spark):
+    """Levels fill and merge; a merge of two runs is a join of buckets, without a shuffle."""
     runs = ld.LineRuns(spark, min_documents=3)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, f"common\nown {i}\npair {i // 2}")], "doc_id long, text string"))
+        runs.add(ld.line_hashes(spark.createDataFrame([(i, f"common\nown {i}\npair {i // 2}")], "doc_id long, text string"), batches=1))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.frequent().count() == 1
+    level = runs.levels[2][0]
+    plan = level.join(level.withColumnRenamed("n", "more"), ld.HASH, "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_documents_are_read_twice(spark, docs, tmp_path):
+    """Once to store line hashes and once to drop lines, however many batches are counted."""
+    from docketry.llm import common
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"file://{tmp_path}/docs")
+    out, _, _ = ld.mark_lines(table, batches=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == docs.count() and plan.count("line-hashes") <= 1 and common._tables
 
 
 def test_empty_and_columns(empty, odd):
