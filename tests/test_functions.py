@@ -123,6 +123,14 @@ def test_account_rows(spark):
     assert rows[2]["extraction_method"] == "full_text_ai_parse" and rows[2]["raw_block"] == "nothing here"
 
 
+def test_texts_that_are_not_ascii(spark):
+    """Unicode white space and letters count as such, in texts that hold any; the rest is found alike."""
+    texts = spark.createDataFrame([(1, "Cr\u00e9dit\u2003report\nCREDITOR:\u00a0\u00c9pargne du Nord\nAcct:\u2003XXXX-1234\nBalance:\u00a0$12.50\nOpened: mai\u00a02019 " + "x" * 30), (2, "Creditor: Epargne du Nord\nAcct: XXXX-1234\nBalance: $12.50\nOpened: mai 2019 " + "x" * 30)], "id long, text string")
+    a, b = extract.account_rows(texts).orderBy("id").collect()
+    assert (a["creditor_name"], b["creditor_name"]) == ("\u00c9pargne du Nord", "Epargne du Nord")
+    assert all((r["account_number"], r["balance"]) == ("XXXX-1234", 12.5) for r in (a, b)) and (a["date_opened"], b["date_opened"]) == ("mai\u00a02019", "mai 2019")
+
+
 def test_inquiry_rows(spark):
     texts = spark.createDataFrame([(1, SAMPLE), (2, "none"), (3, "Credit Inquiries\n\nSome Bank promotional offer\nx 01/02/2023\n\nshort\n\nOther Bank of Somewhere 3/4/23 Accounts")], "id long, text string")
     rows = [(r["id"], r["creditor_name"], r["inquiry_date"], r["inquiry_type"]) for r in extract.inquiry_rows(texts).orderBy("id", "n").collect()]
