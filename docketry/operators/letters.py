@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import dates, steps
+from docketry.operators import lifecycle, reports
 from docketry.operators.lifecycle import letter_subject
-from docketry.operators.reports import DEFAULT_PLACEHOLDERS
 
 
-def bureau_letters(disputes: DataFrame, users: DataFrame, accounts: DataFrame, as_of) -> DataFrame:
-    """One letter for each dispute: recipient, subject and body, with the deadline sentence."""
-    a = accounts.select(F.col("id").alias("account_key"), "creditor_name", "account_number")
-    u = users.select(F.col("id").alias("user_key"), "full_name", "state")
-    j = disputes.join(a, F.col("account_id") == F.col("account_key"), "left").join(u, F.col("user_id") == F.col("user_key"), "left")
-    name = F.coalesce("full_name", F.lit(DEFAULT_PLACEHOLDERS["full_name"]))
-    subject = letter_subject(F.col("creditor_name"))
-    body = F.concat_ws(
-        "\n\n", dates.long_date(as_of), steps.bureau_address(F.col("bureau")), subject,
-        F.format_string("I dispute account %s, reported by %s. Round %d.", F.coalesce("account_number", F.lit("unknown")), F.coalesce("creditor_name", F.lit("unknown")), "current_round"),
+def letter_body(as_of: Column, name: Column) -> Column:
+    """The text of a letter to a bureau, from the columns bureau, creditor_name, account_number and current_round."""
+    unknown = F.lit("unknown")
+    return F.concat_ws(
+        "\n\n", dates.long_date(as_of), steps.bureau_address(F.col("bureau")), letter_subject(F.col("creditor_name")),
+        F.format_string("I dispute account %s, reported by %s. Round %d.", F.coalesce("account_number", unknown), F.coalesce("creditor_name", unknown), "current_round"),
         dates.deadline_warning(as_of), name,
     )
-    return j.select(F.col("id").alias("dispute_id"), F.col("bureau").alias("recipient"), F.lit("bureau").alias("recipient_type"), subject.alias("subject"), body.alias("body"), F.lit("draft").alias("status"))
+
+
+def bureau_letters(disputes: DataFrame, users: DataFrame, accounts: DataFrame, as_of: Column) -> DataFrame:
+    """One letter for each dispute: recipient, subject and body, with the deadline sentence."""
+    u = users.select(F.col("id").alias("user_key"), "full_name")
+    j = reports.with_account(disputes, accounts).join(u, F.col("user_id") == F.col("user_key"), "left")
+    body = letter_body(as_of, F.coalesce("full_name", F.lit(reports.DEFAULT_PLACEHOLDERS["full_name"])))
+    return j.select(
+        F.col("id").alias("dispute_id"), F.col("bureau").alias("recipient"), F.lit("bureau").alias("recipient_type"), letter_subject(F.col("creditor_name")).alias("subject"), body.alias("body"),
+        F.lit("draft").alias("status"),
+    )
+
+
+def rewritten(letters: DataFrame, disputes: DataFrame, accounts: DataFrame, findings: DataFrame, as_of: Column, asked: str | None = None) -> DataFrame:
+    """Letters not yet sent, regenerated (see lifecycle.regenerated) with a new subject and body; the sender's name is left to fill in."""
+    d = reports.with_account(disputes, accounts).select(F.col("id").alias("dispute_key"), "bureau", "current_round", "creditor_name", "account_number")
+    out = lifecycle.regenerated(letters, disputes, findings, asked)
+    new = {"subject": letter_subject(F.col("creditor_name")), "body": letter_body(as_of, F.lit(reports.PLACEHOLDERS["full_name"]))}
+    out = out.join(d, F.col("dispute_id") == F.col("dispute_key"))
+    return out.select(*(new[c].alias(c) if c in new else c for c in letters.columns))
 
 
 def furnisher_letters(disputes: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -110,10 +110,14 @@ LETTER_FIELDS = (
 )
 
 
+#: Characters of a letter that a list shows.
+PREVIEW = 500
+
+
 def letter_detail(letters: DataFrame) -> DataFrame:
-    """All fields of each letter, times as text and null where there is none."""
+    """All fields of each letter, times as text and null where there is none, and the beginning of the body."""
     time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return letters.select(*(time(c) if c.endswith("_at") else c for c in LETTER_FIELDS))
+    return letters.select(*(time(c) if c.endswith("_at") else c for c in LETTER_FIELDS), F.concat(F.left("body", F.lit(PREVIEW)), F.lit("...")).alias("preview"))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:

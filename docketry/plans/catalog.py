@@ -182,7 +182,8 @@ def user_lookup(spark, d):
 
 
 @query(sql("""SELECT id, dispute_id, round_number, letter_type, recipient, recipient_type, subject, body, status, submission_method, strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS submitted_at,
-    certified_mail_tracking, array_to_string(legal_citations, ';') AS legal_citations, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM letters""", "letters"))
+    certified_mail_tracking, array_to_string(legal_citations, ';') AS legal_citations, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+    concat(left(body, 500), '...') AS preview FROM letters""", "letters"))
 def letter_detail(spark, d):
     return reports.letter_detail(v.letters(spark, d)).withColumn("legal_citations", F.array_join("legal_citations", ";"))
 
@@ -637,17 +638,25 @@ def account_colour(spark, d):
 
 
 _TWO_LINES = "concat(chr(10), chr(10))"
+_BODY = f"""concat('August 02, 1998', {_TWO_LINES}, CASE d.bureau WHEN 'equifax' THEN concat('Equifax Information Services LLC', chr(10), 'P.O. Box 740256', chr(10), 'Atlanta, GA 30374-0256') ELSE concat('Experian', chr(10), 'P.O. Box 4500', chr(10), 'Allen, TX 75013') END,
+      {_TWO_LINES}, 'RE: Dispute of Account — ', coalesce(creditor_name, 'unknown'), {_TWO_LINES}, 'I dispute account ', account_number, ', reported by ', creditor_name, '. Round ', current_round, '.', {_TWO_LINES},
+      'Pursuant to 15 U.S.C. § 1681i(a)(1), you are required to complete your reinvestigation within 30 days of receipt of this dispute, no later than September 01, 1998. Failure to do so within the statutory timeframe may constitute a willful violation of the FCRA, subjecting you to statutory damages of $100 to $1,000 per violation pursuant to 15 U.S.C. § 1681n.',
+      {_TWO_LINES}, NAME)"""
 
 
 @query(sql(f"""SELECT d.id AS dispute_id, d.bureau AS recipient, 'bureau' AS recipient_type, 'draft' AS status, concat('RE: Dispute of Account — ', coalesce(creditor_name, 'unknown')) AS subject,
-    concat('August 02, 1998', {_TWO_LINES}, CASE d.bureau WHEN 'equifax' THEN concat('Equifax Information Services LLC', chr(10), 'P.O. Box 740256', chr(10), 'Atlanta, GA 30374-0256') ELSE concat('Experian', chr(10), 'P.O. Box 4500', chr(10), 'Allen, TX 75013') END,
-      {_TWO_LINES}, 'RE: Dispute of Account — ', coalesce(creditor_name, 'unknown'), {_TWO_LINES}, 'I dispute account ', account_number, ', reported by ', creditor_name, '. Round ', current_round, '.', {_TWO_LINES},
-      'Pursuant to 15 U.S.C. § 1681i(a)(1), you are required to complete your reinvestigation within 30 days of receipt of this dispute, no later than September 01, 1998. Failure to do so within the statutory timeframe may constitute a willful violation of the FCRA, subjecting you to statutory damages of $100 to $1,000 per violation pursuant to 15 U.S.C. § 1681n.',
-      {_TWO_LINES}, full_name) AS body FROM disputes d LEFT JOIN accounts a ON a.id = d.account_id LEFT JOIN users u ON u.id = d.user_id""", "disputes", "accounts", "users"))
+    {_BODY.replace("NAME", "full_name")} AS body FROM disputes d LEFT JOIN accounts a ON a.id = d.account_id LEFT JOIN users u ON u.id = d.user_id""", "disputes", "accounts", "users"))
 def bureau_letters(spark, d):
     return letters.bureau_letters(v.disputes(spark, d), v.users(spark, d), v.accounts(spark, d), v.as_of())
 
 
+@query(sql(f"""SELECT l.id, l.round_number, 'draft' AS status, concat('RE: Dispute of Account — ', creditor_name) AS subject, {_BODY.replace("NAME", "'[YOUR FULL NAME]'")} AS body
+    FROM letters l JOIN disputes d ON d.id = l.dispute_id JOIN accounts a ON a.id = d.account_id WHERE l.status NOT IN ('submitted', 'delivered')""", "letters", "disputes", "accounts"))
+def letters_rewritten(spark, d):
+    out = letters.rewritten(v.letters(spark, d), v.disputes(spark, d), v.accounts(spark, d), _findings(spark, d), v.as_of())
+    return out.select("id", "round_number", "status", "subject", "body")
+
+
 @query(sql("SELECT d.id AS dispute_id, current_round AS round_number, creditor_name AS recipient, 'furnisher_direct' AS letter_type FROM disputes d JOIN accounts a ON a.id = d.account_id", "disputes", "accounts"))
 def furnisher_letters(spark, d):
     return letters.furnisher_letters(v.disputes(spark, d), v.accounts(spark, d)).select("dispute_id", "round_number", "recipient", "letter_type")

@@ -40,7 +40,7 @@ VIEWS = {
         FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag || l_linestatus) AS kind, max(l_shipdate) AS sent_date FROM lineitem GROUP BY ALL)""",
     "letters": f"""SELECT id, dispute_id, round_number, {pick("id % 4", ("equifax", "experian", "transunion", "First Bank"))} AS recipient,
         CASE WHEN id % 4 = 3 THEN 'furnisher' ELSE 'bureau' END AS recipient_type, {pick("id % 5", ("metro2_compliance", "section_609", "section_611", "fcra_violation", "factual_dispute"))} AS letter_type,
-        concat('RE: Letter ', id) AS subject, concat('Body of ', id, chr(10), 'End') AS body, {pick("id % 3", ("draft", "approved", "submitted"))} AS status,
+        concat('RE: Letter ', id) AS subject, concat('Body of ', id, CASE WHEN id % 10 = 0 THEN repeat(' and more', 80) ELSE '' END, chr(10), 'End') AS body, {pick("id % 3", ("draft", "approved", "submitted"))} AS status,
         CASE WHEN id % 3 = 2 AND id % 2 = 0 THEN 'online' END AS submission_method, CASE WHEN id % 3 = 2 THEN sent_date + INTERVAL 1 DAY END AS submitted_at,
         CASE WHEN id % 3 = 2 AND id % 7 = 0 THEN concat('T', id) END AS certified_mail_tracking, CASE WHEN id % 2 = 0 THEN ['15 U.S.C. § 1681i'] END AS legal_citations,
         sent_date AS created_at FROM rounds""",

@@ -98,7 +98,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         "id", "dispute_id", "round_number", _pick(key % 4, ("equifax", "experian", "transunion", "First Bank")).alias("recipient"),
         F.when(key % 4 == 3, "furnisher").otherwise("bureau").alias("recipient_type"), kind.alias("letter_type"),
-        F.concat(F.lit("RE: Letter "), key).alias("subject"), F.concat(F.lit("Body of "), key, F.lit("\nEnd")).alias("body"),
+        F.concat(F.lit("RE: Letter "), key).alias("subject"), F.concat(F.lit("Body of "), key, F.when(key % 10 == 0, F.repeat(F.lit(" and more"), 80)).otherwise(""), F.lit("\nEnd")).alias("body"),
         _pick(key % 3, ("draft", "approved", "submitted")).alias("status"), F.when(sent & (key % 2 == 0), "online").alias("submission_method"),
         F.when(sent, F.col("sent_date") + F.expr("INTERVAL 1 DAYS")).alias("submitted_at"), F.when(sent & (key % 7 == 0), F.concat(F.lit("T"), key)).alias("certified_mail_tracking"),
         F.when(key % 2 == 0, F.array(F.lit("15 U.S.C. § 1681i"))).alias("legal_citations"), F.col("sent_date").alias("created_at"),
