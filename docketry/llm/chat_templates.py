@@ -22,7 +22,6 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docketry.llm.common import prepare, read
 
