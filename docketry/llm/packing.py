@@ -22,6 +22,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ CAPACITY, END = 1024, 0
 #: Chunks of text whose ids a task keeps: code points of one at most, what a chunk takes besides its ids, and bytes of all.
 LONGEST_KEPT, CHUNK_COST, MOST_KEPT = 64, 200, 48 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Of tasks by lengths, the rows of first ranks that are broadcast (24 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 #: White space that is not one space or one line end between other characters.
@@ -98,6 +101,9 @@ def _encoder(path: str) -> ChunkedEncoder:
 def _cutter(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(path), np.array([END], "<u4").tobytes()
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        names = [x.split()[0] for x in PIECES.split(", ")] + ["part", "nth"] + ["ids"] * with_ids
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -105,9 +111,9 @@ def _cutter(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.R
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, *([piece] if with_ids else [])))
-            names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
-            kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+                    length = len(piece) // 4
+                    rows.append((doc_id, start, length, zlib.crc32(piece), n, part, seen[length], *([piece] if with_ids else [])))
+                    seen[length] += 1
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -115,13 +121,15 @@ def _cutter(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.R
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The pieces of each document: its ids and an end id, cut into runs of ``capacity`` and a rest.
+    """The pieces of each document, stored: its ids and an end id, cut into runs of ``capacity`` and a rest.
 
-    ``with_ids`` adds the ids themselves (binary, little-endian unsigned 32-bit numbers).
+    ``part`` is the task that cut a piece, ``nth`` its number among that task's pieces of its
+    length. ``with_ids`` adds the ids themselves (binary, little-endian unsigned 32-bit numbers).
     """
     prepare(docs.sparkSession)
     cut = _cutter(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, with_ids)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    schema = PIECES + ", part int, nth long" + ", ids binary" * with_ids
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema), "pieces")
 
 
 def padding(total: int, capacity: int = CAPACITY) -> int:
@@ -202,22 +210,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     itself; an empty table gives an empty one; other columns are not read. With ``with_ids`` each
     piece also carries its ids, and a sequence's ids are those of its pieces in order of offset.
 
-    Every stored piece has a number of its own. Ranks are counted by length and a salt of that
-    number and then added up, so that a length that many pieces share, equal ones included, is
-    spread over tasks. Only the count of each length (``capacity`` numbers) reaches the driver.
+    Tasks number their pieces of each length as they cut them. From the counts by length and task
+    come the first ranks of each task, so pieces, equal ones included, get their ranks where they
+    are: neither texts nor ids are shuffled unless there are very many tasks. Only the count of
+    each length (``capacity`` numbers) reaches the driver.
     """
-    spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, capacity, with_ids).withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)))
-    counts = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
+    cut = pieces(docs, tokenizer, capacity, with_ids)
+    counts = stored(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     plan = plan_windows({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    bases = counts.select("length", "salt", before.alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("piece"))
-    ranked = salted.withColumn("own", own).join(bases, ["length", "salt"])
-    names = [f.name for f in cut.schema if f.name != "piece"]
-    ranked = ranked.select(*names, (F.col("base") + F.col("own") - 1).alias("rank"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    bases = stored(counts.select("length", "part", before.alias("base")), "first-ranks")
+    bases = F.broadcast(bases) if bases.count() <= MOST_BROADCAST else bases
+    names = [f.name for f in cut.schema if f.name not in ("part", "nth")]
+    ranked = cut.join(bases, ["length", "part"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_placer(plan), PIECES + ", ids binary" * with_ids + ", sequence_id long, offset long")
 
 

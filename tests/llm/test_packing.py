@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from docketry.llm import packing as p
@@ -21,7 +22,9 @@ def test_ids_are_the_tokenizers():
             assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
-def test_packing(docs, odd):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_packing(docs, odd, monkeypatch, broadcast):
+    monkeypatch.setattr(p, "MOST_BROADCAST", broadcast)
     whole = Tokenizer.from_file(PATH)
     for table in (docs, odd):
         rows = p.pack(table).collect()
