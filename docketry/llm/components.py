@@ -9,15 +9,19 @@ from docketry.llm.common import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node below the node's smallest neighbour."""
+    """Hang every larger neighbour of a node below the node's smallest neighbour.
+
+    The least neighbours are written first: the join then has plain shuffles on both sides, and
+    adaptive execution splits the rows of a hub that has very many neighbours.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least-neighbours")
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours below the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    """Hang a node and its smaller neighbours below the smallest of them (written first, as in _large_star)."""
+    least = stored(edges.groupBy("b").agg(F.min("a").alias("m")), "least-neighbours")
     moved = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
 

@@ -169,7 +169,7 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     which has the same components. Keys with more than BLOCK members are dealt out as pairs of
     blocks, each compared in a task of its own; no member is left out.
     """
-    keys = fingerprints.select("fp").mapInArrow(_explode_keys, "key int, fp long")
+    keys = stored(fingerprints.select("fp").mapInArrow(_explode_keys, "key int, fp long"), "golay-keys")
     hot = stored(
         keys.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-keys"
     )
@@ -210,19 +210,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Not op1's links: texts are linked if the Jaccard similarity of their sets of five-word runs
     is 0.8 or more (see jaccard_links), and a class is what links reach. Texts without words are
-    one class. Rows are told apart by doc_id and text together, so a class keeps a row of its own
-    also where ids are null (they come last) or repeated; of rows that repeat both one stays.
+    one class. Rows are told apart by 128 bits of doc_id and text together, so a class keeps a row
+    of its own also where ids are null (they come last) or repeated; of rows that repeat both one
+    stays. An empty table gives an empty one; other columns pass through, and new names avoid theirs.
     """
     prepare(docs.sparkSession)
-    name, key = clean_name(docs, "row"), F.xxhash64("doc_id", "text")
-    rows = stored(described(docs, key), "near-rows")
-    roots = text_roots(docs, key, rows)
-    ids = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key.alias("row")).alias("id"))
-    found = ids.join(rows.select("row", "node").distinct(), F.col("id.row") == F.col("row")).join(roots, "node", "left")
-    keep = found.groupBy(F.coalesce("root", "node")).agg(F.min("id").alias("id")).select(F.col("id.row").alias(name))
-    keep = stored(keep, "kept-rows")
+    names = [clean_name(docs, x) for x in ("row", "row_more")]
+    hashes = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *(h.alias(n) for h, n in zip(hashes, ("row", "more"), strict=True)))
+    texts = described(docs, key)
+    keep = texts.join(text_roots(docs, key, texts), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("id").alias("id"))
+    keep = stored(keep.select(F.col("id.row").alias(names[0]), F.col("id.more").alias(names[1])), "kept-rows")
     # the texts are shuffled once: the join leaves them dealt and sorted by row
-    return docs.withColumn(name, key).join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    return docs.withColumns(dict(zip(names, hashes, strict=True))).join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

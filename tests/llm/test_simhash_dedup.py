@@ -98,11 +98,13 @@ def test_hot_keys_in_blocks(spark, monkeypatch, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_drop(docs, odd):
+def test_drop(docs, odd, empty):
     kept = sd.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
-    classes = {r["component_id"] for r in sd.near_duplicates(docs).collect()}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(classes)
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    expected = {rows[i]["doc_id"] for i in brute_roots([r["text"] for r in rows])}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(expected)
+    assert sd.drop_near_duplicates(empty).collect() == []
 
 
 def brute_roots(texts):
@@ -140,6 +142,32 @@ def test_drop_by_similarity(spark, monkeypatch, small):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected))
 
 
+def test_large_group_at_the_limit(spark, monkeypatch):
+    """Variants of one text, some just above 0.8 of others and some just below, of several lengths: classes are those of all pairs."""
+    import random
+
+    from docketry.llm import jaccard_links
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(jaccard_links, "SMALL", 6)
+    monkeypatch.setattr(jaccard_links, "PART", 12)
+    monkeypatch.setattr(jaccard_links, "COMMON", 3)
+    rng, base, rows = random.Random(4), prose(700, 150).split(), []
+    for i in range(90):
+        words = list(base)
+        for k in range(rng.randrange(7)):
+            words[rng.randrange(0, len(words), 5)] = f"new{i}x{k}"
+        rows.append(" ".join(words[rng.choice([0, 0, 7, 14]) :] + prose(800 + i, rng.choice([0, 0, 5, 12])).split()))
+    pairs = []
+    real = jaccard_links._missing
+    monkeypatch.setattr(jaccard_links, "_missing", lambda *a: pairs.append(real(*a)) or pairs[-1])
+    expected = set(brute_roots(rows))
+    assert 3 < len(expected) < 80
+    kept = sd.drop_near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(expected)
+    assert pairs and pairs[0].count() < 90 * 89 / 8
+
+
 def test_drop_keeps_one_of_each_class(spark):
     """Null ids and repeated ids: no class loses all its rows, and no class keeps two."""
     from tests.llm.conftest import prose
