@@ -10,6 +10,8 @@ references come from it and from the words; then only common words are looked up
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ MIN_CLASS_CHARS, MIN_COMMON_TEST_WORDS = 200, 100
 CLASSES = ("[a-z]+", "[ \\t\\n\\x0B\\f\\r]+", "[A-Z]+", "[0-9]+", "[.,;:'\"!?()-]+", "[\\x00-\\x7F]+")
 SPACE_CLASS, N_CLASSES = 1, len(CLASSES) + 1
 SYMBOLS = "[#*$%&|<>]+"
+#: Different windows found twice of which the places are looked up one by one (only a question of speed).
+FEW_REPEATED = 200
 KEY = ["k1", "k2"]
 
 
@@ -38,23 +42,36 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(whole) > 0, F.split(whole, "[ \\t\\n\\x0B\\f\\r]+")).otherwise(F.array().cast("array<string>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: transform over an array of one element names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeated_words(words: Column) -> Column:
     """How many words stand in a three-word window that the text has twice or more.
 
-    Windows are compared by 64-bit hash. Sorted with their places, equal ones stand together.
+    Windows are compared by 64-bit hash. Where few different ones repeat, their places are looked
+    up; else all are sorted with their places, so that equal ones stand together.
     """
     n = F.size(words)
     keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    same = lambda a, i: F.get(a, i)["k"].eqNullSafe(F.get(a, i - 1)["k"])
 
-    def places(a: Column) -> Column:
-        hit = F.filter(a, lambda x, i: ((i > 0) & same(a, F.greatest(i, F.lit(1)))) | same(a, i + 1))
-        return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def by_sorting(keys: Column) -> Column:
+        same = lambda a, i: F.get(a, i)["k"].eqNullSafe(F.get(a, i - 1)["k"])
+        hit = lambda a: F.filter(a, lambda x, i: ((i > 0) & same(a, F.greatest(i, F.lit(1)))) | same(a, i + 1))
+        placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        return covered(F.transform(_let(placed, hit), lambda x: x["i"]))
+
+    def of(keys: Column) -> Column:
+        twice = lambda a: F.array_distinct(F.filter(a, lambda k, i: F.get(a, i + 1).eqNullSafe(k)))
+        places = lambda found: F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: F.array_contains(found, F.get(keys, i)))
+        some = _let(_let(F.sort_array(keys), twice), lambda found: F.when(F.size(found) <= FEW_REPEATED, covered(places(found))).otherwise(by_sorting(keys)))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), 0).otherwise(some)
 
-    # transform over a one-element array names the sorted windows once
-    slow = F.get(F.transform(F.array(placed), places), F.lit(0))
-    return F.when(n < 3, 0).when(F.size(F.array_distinct(keys)) == n - 2, 0).otherwise(slow)
+    return F.when(n < 3, 0).otherwise(_let(keys, of))
 
 
 def _divergence(p: Column, q: Column) -> Column:

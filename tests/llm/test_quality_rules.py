@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from docketry.llm import quality_rules as q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -16,7 +18,9 @@ def brute_base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
 
 
-def test_base(docs, odd):
+@pytest.mark.parametrize("few", [0, 200])
+def test_base(docs, odd, monkeypatch, few):
+    monkeypatch.setattr(q, "FEW_REPEATED", few)
     for table in (docs, odd):
         found = {r["doc_id"]: r for r in q.judge(table).collect()}
         for r in docs.collect():
