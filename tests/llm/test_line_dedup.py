@@ -61,6 +61,8 @@ def test_documents_are_read_twice(spark, docs, tmp_path):
 def test_empty_and_columns(empty, odd):
     assert ld.drop_frequent_lines(empty).collect() == []
     assert ld.drop_frequent_lines(odd).columns == odd.columns
+    once = ld.drop_frequent_lines(odd, keep_once=True)
+    assert once.columns == odd.columns and once.count() == odd.count() and ld.drop_frequent_lines(empty, keep_once=True).collect() == []
 
 
 def test_stage_keeps_one_copy(spark):
