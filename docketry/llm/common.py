@@ -70,10 +70,15 @@ def clear(spark: SparkSession) -> None:
     """Delete the tables that this process has stored; for when no result that reads them is needed any more."""
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    jvm = spark._jvm
     while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _stored[-1])
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    """Delete a path of ``shared_path`` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _stored.remove(where)
 
 
 def ascii_lower(c: Column) -> Column:

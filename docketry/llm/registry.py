@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import byte_bpe, chat_templates, decontamination, line_dedup, packing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filters, warc
+from docketry.llm import byte_bpe, centroid_clustering, chat_templates, decontamination, line_dedup, packing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         quality_crf.op8_quality_classifier,
         chat_templates.op9_chat_formatting,
         decontamination.op10_benchmark_decontamination,
+        centroid_clustering.op11_centroid_clustering,
         byte_bpe.op13_byte_bpe,
     )
 }
@@ -28,4 +29,5 @@ SQL = {
     "op6_warc": warc.OP6_SQL,
     "op9_chat_formatting": chat_templates.OP9_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
+    "op11_centroid_clustering": centroid_clustering.OP11_SQL,
 }
