@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import byte_bpe, centroid_clustering, chat_templates, decontamination, line_dedup, packing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filters, warc
+from docketry.llm import byte_bpe, centroid_clustering, chat_templates, decontamination, embedding_whitening, line_dedup, packing, quality_crf, quality_rules, simhash_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         chat_templates.op9_chat_formatting,
         decontamination.op10_benchmark_decontamination,
         centroid_clustering.op11_centroid_clustering,
+        embedding_whitening.op12_embedding_whitening,
         byte_bpe.op13_byte_bpe,
     )
 }
