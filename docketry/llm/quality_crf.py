@@ -22,9 +22,9 @@ from pyspark.sql.types import DoubleType
 
 from docketry.llm.common import clean_name, prepare, read, stored
 
-#: Labelled documents of each class that are trained on at most, and lines of all of them together: the bounds of what the
-#: driver sees. Texts are whole: a document that would go beyond the lines is left out.
-MAX_DOCUMENTS, MAX_LINES = 1500, 200_000
+#: Labelled documents of each class that are trained on at most, taken in order of a hash of their ids, and lines of those
+#: taken at which no further one of the class is taken. Texts are whole, and a text's own length never decides on it.
+MAX_DOCUMENTS, MAX_LINES = 1500, 100_000
 THRESHOLD, FOLDS = 0.3, 5
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 
@@ -199,20 +199,22 @@ def training_ids(labels: DataFrame, column: str, most: int = MAX_DOCUMENTS) -> t
 
 
 def training_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, y and text of the labelled documents that are trained on, stored: whole texts, MAX_LINES lines in all.
+    """doc_id, y and text of the labelled documents that are trained on, stored as whole texts.
 
-    Rows that share an id give one text, chosen by hash. Documents are taken in order of the hash
-    of their ids; only ids and counts of lines (2 MAX_DOCUMENTS at most) reach the driver.
+    Rows that share an id give one text, chosen by hash. Documents of each class are taken in order
+    of the hash of their ids until those taken have MAX_LINES lines: the one that reaches the limit
+    is taken whole, however long, and the rest are not, however short. Only ids and counts of lines
+    (2 MAX_DOCUMENTS at most) reach the driver here.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))
     found = stored(found.groupBy("doc_id", "y").agg(one["text"].alias("text")), "training-texts")
     lines = 1 + F.char_length("text") - F.char_length(F.replace("text", F.lit("\n")))
-    rows = found.select("doc_id", lines.alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * MAX_DOCUMENTS).collect()
-    room, taken = MAX_LINES, []
+    rows = found.select("doc_id", "y", lines.alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * MAX_DOCUMENTS).collect()
+    room, taken = {0: MAX_LINES, 1: MAX_LINES}, []
     for r in rows:
-        if r["lines"] <= room:
-            room -= r["lines"]
+        if room[r["y"]] > 0:
+            room[r["y"]] -= r["lines"]
             taken.append(r["doc_id"])
     return found.where(F.col("doc_id").isin(taken)) if len(taken) < len(rows) else found
 

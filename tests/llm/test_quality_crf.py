@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.llm import quality_crf as q
 from tests.llm.conftest import prose
@@ -66,14 +67,23 @@ def test_document_score_against_the_formula():
     assert abs(crf.score(text) - 1 / (1 + math.exp(-(0.7 * math.log(mean / (1 - mean)) - 0.2)))) < 1e-9
 
 
-def test_training_texts_are_whole(spark, monkeypatch):
-    """A long document is trained on whole or not at all; an id of several rows gives one text."""
-    monkeypatch.setattr(q, "MAX_LINES", 1000)
-    rows = [(i, "a line\n" * (899 if i == 3 else 20)) for i in range(30)] + [(5, "another"), (6, None)]
+def test_training_texts_are_whole_and_not_chosen_by_length(spark, monkeypatch):
+    """Documents of a class are a prefix by hash until the lines are reached; each is whole; an id of several rows gives one text."""
+    monkeypatch.setattr(q, "MAX_LINES", 150)
     ids = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int")
-    taken = q.training_texts(spark.createDataFrame(rows, "doc_id long, text string"), ids).collect()
-    assert len({r["doc_id"] for r in taken}) == len(taken) and sum(r["text"].count("\n") + 1 for r in taken) <= 1000
-    assert all((r["doc_id"], r["text"]) in rows or r["text"] == "" for r in taken) and len(taken) > 4
+    order = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for long in (order[0], order[4], order[-1]):  # over the limit by itself: the first, one in the middle, the last
+        rows = [(i, "a line\n" * (899 if i == long else 19 + i % 3)) for i in range(30)] + [(31, "no label"), (6, None)]
+        taken = {r["doc_id"]: r["text"] for r in q.training_texts(spark.createDataFrame(rows, "doc_id long, text string"), ids).collect()}
+        expected = set()
+        for y in (0, 1):
+            lines = 0
+            for i in (i for i in order if i % 2 == y):
+                if lines < 150:
+                    expected.add(i)
+                    lines += taken[i].count("\n") + 1 if i in taken else 10**6
+        assert set(taken) == expected and all((i, t) in rows or (i == 6 and t == "") for i, t in taken.items())
+        assert (long in taken) == (long != order[-1])
 
 
 def test_features():
