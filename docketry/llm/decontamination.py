@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ BLOCK_WORDS = 200_000
 PASS_BYTES = 16 << 20
 #: A document with a greater share of marked words goes whole when contaminated spans are removed.
 MAX_COVERAGE = 0.5
+#: Bytes of the marks of earlier passes that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 32 << 20
+KEY = ["h0", "h1"]
+SPANS, NAMES = pa.list_(pa.int32()), pa.list_(pa.string())
 
 #: Bytes of words stay, A-Z lower-cased; all other ASCII is a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -197,50 +202,102 @@ def _scanner(pickled: object, counted: str, known: str, items: str) -> Callable[
             texts, n_words, spans, names = batch.column("text"), [], [], []
             for text, before, had in zip(texts, batch.column(known).to_pylist(), batch.column(items).to_pylist(), strict=True):
                 words = words_of(text.as_py())
-                marked = list(zip(before[::2], before[1::2], strict=True))
-                for automaton in automata:
-                    new, found = automaton.scan(words)
-                    marked = merge_spans([*marked, *new]) if marked else new
-                    had += [automaton.names[k] for k in found]
+                marked, new = _scan_all(automata, words, merge_spans(list(zip(before[::2], before[1::2], strict=True))))
                 n_words.append(len(words))
                 spans.append([x for s in marked for x in s])
-                names.append(list(dict.fromkeys(had)))
-            new_columns = {counted: pa.array(n_words, pa.int64()), known: pa.array(spans, pa.list_(pa.int32())), items: pa.array(names, pa.list_(pa.string()))}
+                names.append(list(dict.fromkeys(had + new)))
+            new_columns = {counted: pa.array(n_words, pa.int64()), known: pa.array(spans, SPANS), items: pa.array(names, NAMES)}
             columns = [new_columns.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return scan
 
 
+def _finder(pickled: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The spans and items that some automata find, for texts that have any."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = [pickle.loads(x) for x in pickled.value]
+        for batch in batches:
+            rows, spans, names = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                marked, new = _scan_all(automata, words_of(text.as_py()), [])
+                if marked:
+                    rows.append(i)
+                    spans.append([x for s in marked for x in s])
+                    names.append(new)
+            keys = [batch.column(k).take(pa.array(rows, pa.int32())) for k in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(spans, SPANS), pa.array(names, NAMES)], names=[*KEY, "spans", "items"])
+
+    return find
+
+
+def _scan_all(automata: list[ItemAutomaton], words: list[bytes], marked: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[str | None]]:
+    names: list[str | None] = []
+    for automaton in automata:
+        new, found = automaton.scan(words)
+        marked = merge_spans([*marked, *new]) if marked else new
+        names += [automaton.names[k] for k in found]
+    return marked, names
+
+
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, str, str, str]:
     """``docs`` with three more columns, whose names are returned too: the number of words, the marked spans
     (a flat array of word numbers: from, to, from, to ...) and the items found (their ids as strings).
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window; one
-    without words has none. Items are held in automata of about ``block_words`` words. Documents
+    without words has none. Items are held in automata of about ``block_words`` words, and texts
     pass some of them at a time without a shuffle: PASS_BYTES bound what a task and the driver
-    hold, and marks are written before the next pass, so neither grows with the benchmark; the
-    number of passes does. Null texts have no words. Repeated documents are scanned alike; repeated
-    items are found together; a null item_id is never named but marks. A very long text is scanned
-    as a stream of its words. An empty table gives an empty one, an empty benchmark no marks. New
-    names avoid those of ``docs``.
+    hold, whatever the benchmark's size; the number of passes grows with it. All passes but the
+    last write the marks they find, by a 128-bit hash of the text, and read texts from their
+    source; the last one takes these marks up. A benchmark of one pass writes nothing.
+
+    Null texts have no words. Repeated documents are scanned alike; repeated items are found
+    together, and of two items that share an id and not the text both mark and are named by that
+    id once; a null item_id is never named but marks. A very long text is scanned as a stream of
+    its words. An empty table gives an empty one, an empty benchmark no marks. New names avoid
+    those of ``docs``.
     """
     spark = docs.sparkSession
     prepare(spark)
     names = n_words, spans, items = tuple(clean_name(docs, x) for x in ("n_words", "spans", "items"))
-    out = docs.select("*", F.lit(0).cast("long").alias(n_words), F.array().cast("array<int>").alias(spans), F.array().cast("array<string>").alias(items))
     automata = item_automata(benchmark, window, block_words)
     group: list[bytes] = []
+    passes: list[DataFrame] = []
     for row in automata.toLocalIterator():
         if group and sum(map(len, group)) + len(row[0]) > PASS_BYTES:
-            out = stored(_passed(out, group, names), "marks")
+            passes.append(_marks(docs, group))
             group = []
         group.append(bytes(row[0]))
-    return _passed(out, group, names), *names
+    if passes:
+        hashes = dict(zip((clean_name(docs, k) for k in KEY), (_hash(i) for i in range(2)), strict=True))
+        before = _together(passes).toDF(*hashes, spans, items)
+        out = docs.withColumns(hashes).join(before, [*hashes], "left").select(*docs.columns, F.lit(0).cast("long").alias(n_words), *(F.coalesce(c, F.array()).alias(c) for c in (spans, items)))
+    else:
+        out = docs.select("*", F.lit(0).cast("long").alias(n_words), F.array().cast("array<int>").alias(spans), F.array().cast("array<string>").alias(items))
+    return out.mapInArrow(_scanner(spark.sparkContext.broadcast(group), *names), out.schema), *names
+
+
+def _hash(i: int) -> Column:
+    return F.xxhash64(F.lit(i), "text")
+
+
+def _marks(docs: DataFrame, automata: list[bytes]) -> DataFrame:
+    """What some automata find in the different texts, stored: KEY, spans, items."""
+    sent = docs.sparkSession.sparkContext.broadcast(automata)
+    texts = docs.where(F.col("text").isNotNull()).select(*(_hash(i).alias(k) for i, k in enumerate(KEY)), "text")
+    found = texts.mapInArrow(_finder(sent), "h0 long, h1 long, spans array<int>, items array<string>").dropDuplicates(KEY)
+    out = stored(found, "marks")
+    sent.unpersist()
+    return out
 
 
-def _passed(docs: DataFrame, automata: list[bytes], names: tuple[str, str, str]) -> DataFrame:
-    return docs.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(automata), *names), docs.schema)
+def _together(passes: list[DataFrame]) -> DataFrame:
+    """The marks of all passes by text; broadcast where they are small."""
+    marks = reduce(DataFrame.union, passes).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    marks = stored(marks, "all-marks")
+    bytes_ = marks.agg(F.sum(32 + 4 * F.size("spans") + F.octet_length(F.array_join("items", ",")))).first()[0] or 0
+    return F.broadcast(marks) if bytes_ <= MOST_BROADCAST else marks
 
 
 def marked_words(spans: str) -> Column:

@@ -79,8 +79,8 @@ def test_many_blocks_in_bounded_passes(spark, docs, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = {r["doc_id"]: r for r in dc.mark_contamination(rows, bench)[0].collect()}
     sizes = []
-    real = dc._passed
-    monkeypatch.setattr(dc, "_passed", lambda d, automata, names: sizes.append((len(automata), sum(map(len, automata)))) or real(d, automata, names))
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, automata: sizes.append((len(automata), sum(map(len, automata)))) or send(self, automata))
     one = len(pickle.dumps(dc.ItemAutomaton([(1, dc.words_of(items[0][1]))])))
     monkeypatch.setattr(dc, "PASS_BYTES", 40 * one)
     blocks = dc.item_automata(bench, block_words=120).count()
@@ -90,6 +90,32 @@ def test_many_blocks_in_bounded_passes(spark, docs, monkeypatch):
         assert (found[d]["__n_words"], found[d]["__spans"], set(found[d]["__items"])) == (r["__n_words"], r["__spans"], set(r["__items"])) and r["__items"]
 
 
+@pytest.mark.parametrize("broadcast", [0, 32 << 20])
+def test_passes_write_marks_and_no_texts(spark, docs, monkeypatch, tmp_path, broadcast):
+    """A hundred passes over long texts, most of them clean and one a third of all rows: what is written is a small part of the texts."""
+    from pathlib import Path
+
+    from docketry.llm import common
+
+    items = [(i, prose(500 + i, 60)) for i in range(100)]
+    long = [(i, prose(2000 + i, 2000), "en", "s", 1) for i in range(20)]
+    marked = [(100 + i, prose(900 + i, 15) + " " + prose(500 + 9 * i, 60) + " " + prose(501 + 9 * i, 60), "en", "s", 1) for i in range(10)]
+    rows = spark.createDataFrame([*long, *marked, *[marked[3]] * 15, (200, None, "en", "s", None)], docs.schema)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted((r["doc_id"], r["__n_words"], r["__spans"], sorted(r["__items"])) for r in dc.mark_contamination(rows, bench)[0].collect())
+    monkeypatch.setattr(dc, "PASS_BYTES", 1)
+    monkeypatch.setattr(dc, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = dc.mark_contamination(rows, bench, block_words=60)[0]
+    found = sorted((r["doc_id"], r["__n_words"], r["__spans"], sorted(r["__items"])) for r in out.collect())
+    assert found == whole and sum(bool(r[2]) for r in found) == 25
+    passes = [p for p in Path(tmp_path).glob("marks-*")]
+    written = [r for p in passes for r in spark.read.parquet(f"file://{p}").collect()]
+    assert len(passes) > 50 and len(written) <= 3 * 10 and set(written[0].asDict()) == {"h0", "h1", "spans", "items"}
+    payload = sum(16 + 4 * len(r["spans"]) + sum(map(len, r["items"])) for r in written)
+    assert 100 * payload < sum(len(r["text"] or "") for r in rows.collect())
+
+
 def test_removal(spark, docs, bench):
     text = "Before it all. " + prose(77, 40) + "!\nAfter it, " + prose(90, 60)
     rows = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, prose(77, 40), "en", "s", 1), (3, None, "en", "s", None), (4, "clean  text \n", "en", "s", 13)], docs.schema)
