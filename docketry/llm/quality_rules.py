@@ -2,10 +2,13 @@
 
 Base rules reject short texts and texts made of repeated windows. Of the rest, the histogram of
 character classes and that of common words are compared with those of the document's language by
-Jensen-Shannon distance. The references are sums over all documents, one for every language.
+Jensen-Shannon distance. The references are sums over all documents that the base rules pass, one
+for every language; a language of few texts, which would be compared with itself, is held against
+the reference of all languages too.
 
-What a text alone tells (counts and classes) is measured once and stored as a narrow table; the
-references come from it and from the words; then only common words are looked up in the texts.
+What a text alone tells (counts and classes) is measured once and stored as a narrow table. Words
+that may be common are found by counting all words, and counted in each text once; references and
+distances then come from these counts.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from docketry.llm.common import SPACE, read, stored
 MIN_WORDS = 50
 #: A word is common if it makes at least this share of its language's words, so a language has 250 at most.
 COMMON_SHARE = 0.004
-#: Languages (250 words each at most) that are broadcast; more are joined by a shuffle.
+#: A language of fewer different texts that pass the base rules is held against all languages too.
+MIN_TEXTS = 30
+#: Languages (some hundred words each) that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1000
 #: Greatest distances (0 to 1) that are kept.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.26, 0.40
@@ -93,7 +98,7 @@ def _shares(counts: Column | str, whole: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """What each text alone tells, stored: k1 and k2 (the row's hashes), doc_id, lang, classes (characters by class) and the base columns."""
+    """What each text alone tells, stored: k1 and k2 (the row's hashes), t (the text's), doc_id, lang, classes (characters by class) and the base columns."""
     left = [f"left{i}" for i in range(N_CLASSES)]
     out = keyed(docs).withColumn(left[0], F.col("text"))
     for i, pattern in enumerate(CLASSES):
@@ -103,10 +108,10 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     # symbols are all in the last class but one, so they are counted in what is left of the text there
     symbols = F.char_length(left[-2]) - F.char_length(F.regexp_replace(left[-2], SYMBOLS, ""))
-    out = out.select(*KEY, "doc_id", "lang", classes.alias("classes"), symbols.cast("long").alias("n_symbols"), lines.alias("lines"), words_of(F.col("text")).alias("words"))
+    out = out.select(*KEY, F.xxhash64("text").alias("t"), "doc_id", "lang", classes.alias("classes"), symbols.cast("long").alias("n_symbols"), lines.alias("lines"), words_of(F.col("text")).alias("words"))
     word_chars = _sum("classes") - F.get("classes", F.lit(SPACE_CLASS))
     out = out.select(
-        *KEY, "doc_id", "lang", "classes", F.size("words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), "n_symbols",
+        *KEY, "t", "doc_id", "lang", "classes", F.size("words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -119,45 +124,87 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.xxhash64("doc_id", "lang", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "lang", "text").alias("k2"))
 
 
-def language_references(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every language's shares of character classes and of common words, stored: ref_lang, ref_classes, ref_words, ref_shares, ref_other.
+def language_totals(rows: DataFrame) -> DataFrame:
+    """Of the rows that pass the base rules, stored by language: ref_lang, total (words), texts (different ones), c0 ... (characters by class)."""
+    passed = rows.where(~F.col("base_failed"))
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
+    texts = passed.select("lang", "t").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    out = passed.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).join(texts, "lang")
+    return stored(out.withColumnRenamed("lang", "ref_lang"), "language-totals")
+
+
+def candidate_words(docs: DataFrame, totals: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Words that may be common, stored by language: ref_lang, words (sorted).
 
-    ``rows`` are those of ``measured``. All sums are taken before rows are shuffled. COMMON_SHARE
-    bounds the words of a language; languages are as many as the documents name, and rows without
-    one are a language of their own. A language without words has no reference.
+    Counted over all rows, a word that is common among the passing rows has its share of their
+    words at least, in its language or in all; which ones do is known once they are counted there.
     """
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
-    totals = stored(rows.groupBy(F.col("lang").alias("ref_lang")).agg(F.sum("n_words").alias("total"), *sums).where("total > 0"), "language-totals")
-    near = F.broadcast if totals.count() <= MOST_BROADCAST else lambda x: x
+    whole = totals.agg(F.sum("total")).first()[0] or 0
     words = docs.select(F.coalesce("lang", F.lit("")).alias("ref_lang"), F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word"))
     counts = words.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
-    common = counts.join(near(totals.select("ref_lang", "total")), "ref_lang").where(F.col("n") >= F.lit(COMMON_SHARE) * F.col("total"))
-    common = common.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))).alias("common"))
-    refs = totals.join(common, "ref_lang", "left").withColumn("common", F.coalesce("common", F.array().cast(common.schema["common"].dataType)))
-    return stored(
-        refs.select(
-            "ref_lang", _shares(F.array(*(f"c{i}" for i in range(N_CLASSES))), sum(F.col(f"c{i}") for i in range(N_CLASSES))).alias("ref_classes"),
-            F.col("common.word").alias("ref_words"), F.col("common.share").alias("ref_shares"), F.greatest(1 - _sum("common.share"), F.lit(0.0)).alias("ref_other"),
-        ),
-        "language-references",
-    )
+    by_word = counts.groupBy("word").agg(F.sum("n").alias("in_all"), F.collect_list(F.struct("ref_lang", "n")).alias("by"))  # a language each
+    by_word = by_word.select("word", "in_all", F.inline("by")).join(near(totals.select("ref_lang", "total")), "ref_lang")
+    common = by_word.where((F.col("n") >= F.lit(COMMON_SHARE) * F.col("total")) | (F.col("in_all") >= F.lit(COMMON_SHARE * whole)))
+    return stored(common.groupBy("ref_lang").agg(F.sort_array(F.collect_list("word")).alias("words")), "candidate-words")
+
 
+def word_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """k1, k2 and found (places in the language's candidates, and counts) of each different row of MIN_WORDS words or more that has any."""
+    out = keyed(docs).select(*KEY, "lang", words_of(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    out = out.join(candidates.withColumnRenamed("words", "candidates"), F.col("lang") == F.col("ref_lang"))
+    count = lambda c: F.size("words") - F.size(F.array_remove("words", c))
+    place = lambda c: F.array_position("candidates", c).cast("int") - 1
+    found = F.transform(F.array_intersect("candidates", "words"), lambda c: F.struct(place(c).alias("i"), count(c).alias("n")))
+    return out.select(*KEY, found.alias("found")).dropDuplicates(KEY)
 
-def word_distances(docs: DataFrame, references: DataFrame) -> DataFrame:
-    """k1, k2 and the distance of common words, for each different row of MIN_COMMON_TEST_WORDS words or more whose language has common words.
 
-    Only common words that the text holds are counted; each other one adds its share in the reference.
+def language_references(rows: DataFrame, totals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What each language's rows are compared with, stored: ref_lang and the structs ``own`` and, for languages of few texts, ``all``.
+
+    A struct has the shares of classes, the shares of common words by the candidates' places (null:
+    not common), their sum and the rest. All sums are taken before rows are shuffled, and what is
+    left has a row for each language and candidate.
     """
-    out = keyed(docs).select(*KEY, "lang", words_of(F.col("text")).alias("words")).where(F.size("words") >= MIN_COMMON_TEST_WORDS)
-    out = out.join(references.where(F.size("ref_words") > 0), F.col("lang") == F.col("ref_lang"))
-    out = out.withColumn("hit", F.array_intersect("ref_words", "words")).withColumn("n", F.size("words").cast("double"))
-    count = lambda c: F.size("words") - F.size(F.array_remove("words", c))
-    share = lambda c: F.get("ref_shares", F.array_position("ref_words", c).cast("int") - 1)
-    out = out.withColumn("found", F.transform("hit", lambda c: F.struct((count(c) / F.col("n")).alias("p"), share(c).alias("q"))))
-    of_hits = _sum(F.transform("found", lambda x: _divergence(x["p"], x["q"]) - x["q"]))
-    other = F.greatest(1 - _sum("found.p"), F.lit(0.0))
-    distance = _distance(of_hits + _sum("ref_shares") + _divergence(other, F.col("ref_other")))
-    return out.select(*KEY, distance.alias("word_distance")).dropDuplicates(KEY)
+    passed = rows.where(~F.col("base_failed")).select(F.col("lang").alias("ref_lang"), F.inline("found"))
+    sums = passed.groupBy("ref_lang", "i").agg(F.sum("n").alias("n"))
+    places = candidates.select("ref_lang", F.posexplode("words").alias("i", "word"))
+    sums = stored(places.join(sums, ["ref_lang", "i"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "candidate-sums")
+    classes = [f"c{i}" for i in range(N_CLASSES)]
+    whole = totals.agg(F.sum("total").alias("total"), *(F.sum(c).alias(c) for c in classes)).first()
+    n_words = whole["total"] or 0
+    in_all = sums.groupBy("word").agg((F.sum("n") / F.lit(float(n_words or 1))).alias("in_all"), (F.sum("n") >= F.lit(COMMON_SHARE * n_words)).alias("common"))
+    in_all = stored(in_all.where("common").drop("common"), "common-of-all")
+    sum_all = in_all.agg(F.sum("in_all")).first()[0] or 0.0
+    own = F.when(F.col("n") >= F.lit(COMMON_SHARE) * F.col("total"), F.col("n") / F.col("total"))
+    shares = sums.join(totals.select("ref_lang", "total"), "ref_lang").join(in_all, "word", "left").withColumn("own", own)
+    shares = shares.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("i", "own", "in_all"))).alias("s"))
+    refs = totals.join(shares, "ref_lang", "left").withColumn("s", F.coalesce("s", F.array().cast(shares.schema["s"].dataType)))
+    sum_own = _sum(F.filter("s.own", lambda x: x.isNotNull()))
+
+    def struct(counts: Column, words: str, common: Column) -> Column:
+        return F.struct(
+            _shares(counts, _sum(counts)).alias("classes"), F.col(words).alias("words"), common.alias("common"), F.greatest(1 - common, F.lit(0.0)).alias("other"), (common > 0).alias("has_words"),
+        )
+
+    of_all = struct(F.array(*(F.lit(float(whole[c] or 0)) for c in classes)), "s.in_all", F.lit(float(sum_all)))
+    out = refs.select("ref_lang", struct(F.array(*classes), "s.own", sum_own).alias("own"), F.when(F.col("texts") < MIN_TEXTS, of_all).alias("all"))
+    return stored(out, "language-references")
+
+
+def _class_distance(ref: str) -> Column:
+    return _distance(_sum(F.zip_with(_shares("classes", _sum("classes")), f"{ref}.classes", _divergence)))
+
+
+def _word_distance(ref: str) -> Column:
+    """Only common words that the text holds are looked at; each other one adds its share in the reference."""
+    found = F.transform("found", lambda x: F.struct((x["n"] / F.col("n_words")).alias("p"), F.get(f"{ref}.words", x["i"]).alias("q")))
+
+    def of(hits: Column) -> Column:
+        other = F.greatest(1 - _sum(F.transform(hits, lambda x: x["p"])), F.lit(0.0))
+        double_square = _sum(F.transform(hits, lambda x: _divergence(x["p"], x["q"]) - x["q"])) + F.col(f"{ref}.common") + _divergence(other, F.col(f"{ref}.other"))
+        return F.when(F.col(f"{ref}.has_words"), _distance(double_square))
+
+    return _let(F.filter(found, lambda x: x["q"].isNotNull()), of)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -166,22 +213,24 @@ def judge(docs: DataFrame) -> DataFrame:
 
     ``kept`` is false if the base rules fail or a distance is over its limit. A distance is null,
     and does not reject, where the text is under the minimum length, the base rules fail or the
-    reference has nothing to compare. Every language with a word has a reference: a language of
-    one document is compared with itself, so both distances are 0. A null or empty text has no
-    words and so fails the base rules. Repeated rows are judged alike, each once; an empty table
-    gives an empty one; other columns are ignored whatever their names. A very long text is one
-    row, of which only counts are stored and hashes shuffled.
+    reference has nothing to compare. References are made of the rows that pass the base rules. A
+    language of fewer than MIN_TEXTS different passing texts is compared with the reference of all
+    languages too, and the greater distance counts: a text alone in its language is not its own
+    measure. A null or empty text has no words and so fails the base rules. Repeated rows are judged
+    alike, each once; an empty table gives an empty one; other columns are ignored whatever their
+    names. A very long text is one row, of which only counts are stored and hashes shuffled.
     """
     docs = docs.select("doc_id", "text", "lang")
     rows = measured(docs)
-    references = language_references(docs, rows)
-    near = F.broadcast if references.count() <= MOST_BROADCAST else lambda x: x
-    out = rows.join(near(references.select("ref_lang", "ref_classes")), F.col("lang") == F.col("ref_lang"), "left")
-    classes = _sum(F.zip_with(_shares("classes", _sum("classes")), "ref_classes", _divergence))
-    out = out.join(word_distances(docs, near(references)), KEY, "left")
+    totals = language_totals(rows)
+    near = F.broadcast if totals.count() <= MOST_BROADCAST else lambda x: x
+    candidates = candidate_words(docs, totals, near)
+    counted = rows.join(word_counts(docs, near(candidates)), KEY, "left")
+    rows = stored(counted.withColumn("found", F.coalesce("found", F.array().cast(counted.schema["found"].dataType))), "measured-words")
+    out = rows.join(near(language_references(rows, totals, candidates)), F.col("lang") == F.col("ref_lang"), "left")
     fit = ~F.col("base_failed") & F.col("ref_lang").isNotNull()
-    out = out.withColumn("class_distance", F.when(fit & (F.col("word_chars") >= MIN_CLASS_CHARS), _distance(classes)))
-    out = out.withColumn("word_distance", F.when(fit, F.col("word_distance")))
+    out = out.withColumn("class_distance", F.when(fit & (F.col("word_chars") >= MIN_CLASS_CHARS), F.greatest(_class_distance("own"), _class_distance("all"))))
+    out = out.withColumn("word_distance", F.when(fit & (F.col("n_words") >= MIN_COMMON_TEST_WORDS), F.greatest(_word_distance("own"), _word_distance("all"))))
     over = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *counts, "class_distance", "word_distance", (~F.col("base_failed") & ~over).alias("kept"))
@@ -206,20 +255,24 @@ rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT g.r, unnest([
 f AS (SELECT b.r, doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, n - c1 AS word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, n, [c0, c1, c2, c3, c4, ascii - c0 - c1 - c2 - c3 - c4, n - ascii] AS c FROM b LEFT JOIN rep ON rep.r = b.r),
 base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-lt AS (SELECT lang, sum(n_words) AS total, list_transform(range(1, 8), lambda i: 0.0) AS z FROM base GROUP BY lang),
-langs AS (SELECT lang, total FROM lt WHERE total > 0),
-ru AS (SELECT lang, i, sum(x) AS x FROM (SELECT lang, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM base) GROUP BY ALL),
-rq AS (SELECT lang, i, x / sum(x) OVER (PARTITION BY lang) AS q FROM ru),
-cd AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS v
-  FROM (SELECT r, p.lang, p.i, p, q FROM (SELECT r, lang, unnest(c) / n AS p, generate_subscripts(c, 1) AS i FROM base WHERE n > 0) p JOIN rq ON rq.lang = p.lang AND rq.i = p.i) GROUP BY r),
-cm AS (SELECT lang, word, n / total AS q FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM base) GROUP BY ALL) JOIN langs USING (lang) WHERE n >= {COMMON_SHARE} * total),
-oth AS (SELECT lang, CAST(NULL AS VARCHAR) AS word, 1 - sum(q) AS q FROM cm GROUP BY lang),
-hits AS (SELECT r, word, count(*) AS h FROM (SELECT r, lang, unnest(w) AS word FROM base) x JOIN cm USING (lang, word) GROUP BY ALL),
-wp AS (SELECT base.r, q, coalesce(h, 0) / n_words AS p FROM base JOIN cm ON cm.lang = base.lang LEFT JOIN hits ON hits.r = base.r AND hits.word = cm.word WHERE n_words > 0
-  UNION ALL SELECT base.r, q, (n_words - coalesce(t.h, 0)) / n_words FROM base JOIN oth ON oth.lang = base.lang LEFT JOIN (SELECT r, sum(h) AS h FROM hits GROUP BY r) t ON t.r = base.r WHERE n_words > 0),
-wd AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS v FROM wp GROUP BY r)
+ok AS (SELECT * FROM base WHERE NOT base_failed),
+lt AS (SELECT 'of ' || lang AS ref, lang, sum(n_words) AS total, count(DISTINCT t) AS texts FROM ok JOIN d USING (r, doc_id, lang) GROUP BY lang),
+langs AS (SELECT ref, total FROM lt UNION ALL SELECT 'all', sum(total) FROM lt),
+jr AS (SELECT r, ref FROM ok JOIN lt USING (lang) UNION ALL SELECT r, 'all' FROM ok JOIN lt USING (lang) WHERE texts < {MIN_TEXTS}),
+cs AS (SELECT r, 'of ' || lang AS ref, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM ok),
+ru AS (SELECT ref, i, sum(x) AS x FROM cs GROUP BY ALL UNION ALL SELECT 'all', i, sum(x) FROM cs GROUP BY i),
+rq AS (SELECT ref, i, x / sum(x) OVER (PARTITION BY ref) AS q FROM ru),
+cd AS (SELECT r, ref, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS v
+  FROM (SELECT p.r, jr.ref, p.i, p, q FROM (SELECT r, unnest(c) / n AS p, generate_subscripts(c, 1) AS i FROM ok WHERE n > 0) p JOIN jr ON jr.r = p.r JOIN rq ON rq.ref = jr.ref AND rq.i = p.i) GROUP BY r, ref),
+wl AS (SELECT 'of ' || lang AS ref, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM ok) GROUP BY ALL),
+cm AS (SELECT ref, word, n / total AS q FROM (SELECT ref, word, n FROM wl UNION ALL SELECT 'all', word, sum(n) FROM wl GROUP BY word) JOIN langs USING (ref) WHERE n >= {COMMON_SHARE} * total),
+oth AS (SELECT ref, greatest(1 - sum(q), 0) AS q FROM cm GROUP BY ref),
+hits AS (SELECT r, word, count(*) AS h FROM (SELECT r, unnest(w) AS word FROM ok) WHERE word IN (SELECT word FROM cm) GROUP BY ALL),
+wp AS (SELECT ok.r, jr.ref, q, coalesce(h, 0) / n_words AS p FROM ok JOIN jr ON jr.r = ok.r JOIN cm ON cm.ref = jr.ref LEFT JOIN hits ON hits.r = ok.r AND hits.word = cm.word
+  UNION ALL SELECT ok.r, jr.ref, q, (n_words - coalesce(t.h, 0)) / n_words FROM ok JOIN jr ON jr.r = ok.r JOIN oth ON oth.ref = jr.ref
+  LEFT JOIN (SELECT hits.r, cm.ref, sum(h) AS h FROM hits JOIN cm ON cm.word = hits.word GROUP BY ALL) t ON t.r = ok.r AND t.ref = jr.ref),
+wd AS (SELECT r, ref, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS v FROM wp GROUP BY r, ref)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (word_chars >= {MIN_CLASS_CHARS} AND langs.lang IS NOT NULL AND coalesce(cd.v, 0) > {MAX_CLASS_DISTANCE})
-  AND NOT (n_words >= {MIN_COMMON_TEST_WORDS} AND langs.lang IS NOT NULL AND coalesce(wd.v, 0) > {MAX_WORD_DISTANCE}) AS kept
-FROM base LEFT JOIN langs ON langs.lang = base.lang LEFT JOIN cd ON cd.r = base.r LEFT JOIN wd ON wd.r = base.r
+  NOT base_failed AND NOT (word_chars >= {MIN_CLASS_CHARS} AND coalesce(x.v, 0) > {MAX_CLASS_DISTANCE}) AND NOT (n_words >= {MIN_COMMON_TEST_WORDS} AND coalesce(y.v, 0) > {MAX_WORD_DISTANCE}) AS kept
+FROM base LEFT JOIN (SELECT r, max(v) AS v FROM cd GROUP BY r) x ON x.r = base.r LEFT JOIN (SELECT r, max(v) AS v FROM wd GROUP BY r) y ON y.r = base.r
 """
