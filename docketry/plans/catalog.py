@@ -12,6 +12,7 @@ from docketry.operators import extract, ingest, letters, lifecycle, reports, rul
 from docketry.plans import views as v
 from docketry.plans.oracle import NOW, pick, sql
 from docketry.sources import reference, tables
+from docketry.streaming import deadlines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -272,6 +273,20 @@ def letter_log(spark, d):
     return lifecycle.letter_rows(v.actions(spark, d))
 
 
+_SLOW = f"(TIMESTAMP '{v.FIRST_EVENT}' + (ts - TIMESTAMP '{v.FIRST_EVENT}') * {v.SLOWER})"
+_WAITS = _EVENTS.replace("event_id AS seq, ts,", f"event_id AS seq, {_SLOW} AS ts,") + f""",
+w AS (SELECT ev.dispute_id, s.status, s.round, s.next_action, ev.ts, coalesce(lead(ev.ts) OVER (PARTITION BY ev.dispute_id ORDER BY ev.i), TIMESTAMP '{v.YEAR_AS_OF}') AS until
+  FROM ev JOIN folded s ON s.dispute_id = ev.dispute_id AND s.i = ev.i)"""
+
+
+@query(_WAITS + """
+SELECT dispute_id, kind, round, moment FROM (SELECT dispute_id, 'overdue' AS kind, round, greatest(next_action, ts) AS moment, until FROM w WHERE status IN ('submitted', 'response_received') AND next_action IS NOT NULL
+  UNION ALL SELECT dispute_id, 'silent', round, ts + INTERVAL 35 DAYS, until FROM w WHERE status = 'submitted') WHERE moment < until""")
+def deadline_moments(spark, d):
+    log = v.slow_actions(spark, d).repartition(8, "seq")  # files without an order in time
+    return deadlines.moments_until(log, v.YEAR_AS_OF, "400 days")
+
+
 def _findings(spark, d):
     """Violations of each account; every fifth account's analysis names no strategy, others one or an empty one."""
     found = v.violations(spark, d).groupBy("account_id").agg(F.collect_set("violation_type").alias("violation_types"), F.array_sort(F.collect_set("legal_citation")).alias("citations"))

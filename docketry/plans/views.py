@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from docketry.functions.bands import opening_bureau
 
 AS_OF, EVENTS_AS_OF = "1998-08-02 00:00:00", "2024-01-31 00:00:00"
+#: The slowed log begins here and is read until YEAR_AS_OF.
+FIRST_EVENT, SLOWER, YEAR_AS_OF = "2024-01-01 00:00:00", 12, "2025-01-31 00:00:00"
 STATUSES = ("pending_approval", "approved", "submitted", "response_received", "resolved", "escalated", "frivolous_flagged")
 RESPONSES = ("removed", "updated", "verified", "denied", "no_response", "frivolous")
 PRIORITIES = {"1-URGENT": 9, "2-HIGH": 7, "3-MEDIUM": 5, "4-NOT SPECIFIED": 3}
@@ -133,6 +135,12 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def slow_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log at a twelfth of its speed: a month of events becomes a year, so deadlines of 35 and 40 days pass within it."""
+    first = F.lit(FIRST_EVENT).cast("timestamp_ntz")
+    return actions(spark, sf_dir).withColumn("ts", first + (F.col("ts") - first) * SLOWER)
+
+
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered report for each order: header, scores, personal data, account blocks, one inquiry section.
 
