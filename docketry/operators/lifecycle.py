@@ -6,7 +6,7 @@ case (tens, hundreds at most), never an unbounded group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import dates, steps
@@ -58,35 +58,63 @@ def gathered(actions: DataFrame) -> DataFrame:
     return log.groupBy("dispute_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "action", "response_type"))).alias("events"))
 
 
-def _nothing() -> Column:
+def nothing() -> Column:
+    """The state before any event."""
     return _state(**{n: F.lit(None) for n in ("status", "round", "next_action", "updated", "outcome", "strategy", "letter")}, sent=F.lit(0), rejected=F.lit(0))
 
 
 def fold(actions: DataFrame) -> DataFrame:
     """The state of each dispute after its log (dispute_id, seq, ts, action, response_type); without a create its status is null."""
-    return gathered(actions).select("dispute_id", F.aggregate("events", _nothing(), step).alias("s")).select("dispute_id", "s.*")
+    return gathered(actions).select("dispute_id", F.aggregate("events", nothing(), step).alias("s")).select("dispute_id", "s.*")
 
 
-def accepted(actions: DataFrame) -> DataFrame:
-    """The events that passed their guard: dispute_id, ts, seq, action, response_type, the round they came in (1 for a create) and the strategy after them."""
-    events = gathered(actions)
-    kind = events.schema["events"].dataType.simpleString()[len("array<struct<") : -2]
-    row = f"struct<{kind},round:int,strategy:string>"
+#: What is known of an accepted event: the round it came in (1 for a create), the strategy after it, the status before and after it.
+ACCEPTED = "ts timestamp_ntz, seq bigint, action string, response_type string, round int, strategy string, before string, after string"
+
+
+def replayed(events: Column, start: Column) -> Column:
+    """The state after an ordered array of events from the state ``start`` (s), and those of them that passed their guard (out)."""
+    row = f"struct<{ACCEPTED.replace(', ', ',').replace(' ', ':')}>"
 
     def add(acc: Column, e: Column) -> Column:
-        after = step(acc["s"], e)
-        new = F.struct(e["ts"], e["seq"], e["action"], e["response_type"], F.coalesce(acc["s"]["round"], F.lit(1)), after["strategy"]).cast(row)
-        return F.struct(after.alias("s"), F.when(after["rejected"] > acc["s"]["rejected"], acc["out"]).otherwise(F.array_append(acc["out"], new)).alias("out"))
+        then = step(acc["s"], e)
+        new = F.struct(e["ts"], e["seq"], e["action"], e["response_type"], F.coalesce(acc["s"]["round"], F.lit(1)), then["strategy"], acc["s"]["status"], then["status"]).cast(row)
+        return F.struct(then.alias("s"), F.when(then["rejected"] > acc["s"]["rejected"], acc["out"]).otherwise(F.array_append(acc["out"], new)).alias("out"))
+
+    return F.aggregate(events, F.struct(start.alias("s"), F.array().cast(f"array<{row}>").alias("out")), add)
+
+
+def accepted(actions: DataFrame) -> DataFrame:
+    """The events that passed their guard: dispute_id and the columns of ACCEPTED."""
+    return gathered(actions).select("dispute_id", F.inline(replayed(F.col("events"), nothing())["out"]))
 
-    first = F.struct(_nothing().alias("s"), F.array().cast(f"array<{row}>").alias("out"))
-    return events.select("dispute_id", F.inline(F.aggregate("events", first, add, lambda acc: acc["out"])))
+
+def status_changes(accepted_events: DataFrame, *by: str) -> DataFrame:
+    """What accepted events take from the status they leave and give to the one they reach: the columns ``by``, day, status,
+    change; summed before the shuffle."""
+    moves = F.array(F.struct(F.col("before").alias("status"), F.lit(-1).alias("change")), F.struct(F.col("after").alias("status"), F.lit(1).alias("change")))
+    rows = accepted_events.select(*by, F.to_date("ts").alias("day"), F.inline(moves)).where(F.col("status").isNotNull())
+    return rows.groupBy(*by, "day", "status").agg(F.sum("change").alias("change"))
+
+
+def counts_by_day(changes: DataFrame) -> DataFrame:
+    """Disputes in each status at the end of each day on which one came or went: day, status, n.
+
+    ``changes`` has a row for each day and status, however many events there were, so one task adds up a status.
+    """
+    return changes.select("day", "status", F.sum("change").over(Window.partitionBy("status").orderBy("day")).alias("n"))
 
 
 def round_rows(actions: DataFrame) -> DataFrame:
     """One row for each submission and one for each response, as they are appended; a response does not change the row of its submission."""
+    return rounds_of(accepted(actions))
+
+
+def rounds_of(accepted_events: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``round_rows``, with the columns ``more``."""
     sent, answered = F.col("action") == "submit", F.col("action") == "respond"
-    return accepted(actions).where(sent | answered).select(
-        "dispute_id", "seq", F.col("round").alias("round_number"), F.when(sent, F.col("ts")).alias("sent_date"), F.when(answered, F.col("ts")).alias("response_received_date"),
+    return accepted_events.where(sent | answered).select(
+        *more, "dispute_id", "seq", F.col("round").alias("round_number"), F.when(sent, F.col("ts")).alias("sent_date"), F.when(answered, F.col("ts")).alias("response_received_date"),
         F.when(answered, F.col("response_type")).alias("response_type"), F.when(answered, F.col("strategy")).alias("next_strategy"),
     )
 

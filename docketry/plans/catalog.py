@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import bands, dates, patterns, steps
-from docketry.operators import extract, ingest, letters, lifecycle, reports, rules
+from docketry.operators import extract, incremental, ingest, letters, lifecycle, reports, rules
 from docketry.plans import views as v
 from docketry.plans.oracle import NOW, pick, sql
 from docketry.sources import reference, tables
+from docketry.sources.shared import shared_path
 from docketry.streaming import deadlines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,6 +274,29 @@ def letter_log(spark, d):
     return lifecycle.letter_rows(v.actions(spark, d))
 
 
+@query(_EVENTS + """, c AS (SELECT CAST(ev.ts AS DATE) AS day, unnest([b.status, a.status]) AS status, unnest([-1, 1]) AS change
+  FROM ev JOIN folded b ON b.dispute_id = ev.dispute_id AND b.i = ev.i - 1 JOIN folded a ON a.dispute_id = ev.dispute_id AND a.i = ev.i)
+SELECT day, status, CAST(sum(change) OVER (PARTITION BY status ORDER BY day) AS BIGINT) AS n FROM (SELECT day, status, sum(change) AS change FROM c WHERE status IS NOT NULL GROUP BY ALL)""")
+def status_counts_by_day(spark, d):
+    return lifecycle.counts_by_day(lifecycle.status_changes(lifecycle.accepted(v.actions(spark, d))))
+
+
+def _applied(spark, d, parts: int = 4) -> str:
+    """The folder of stored tables after the log came in ``parts`` slices by time, the last of them twice."""
+    folder, log = shared_path(spark, "stored-disputes"), v.actions(spark, d)
+    ends = log.agg(F.min("ts").alias("a"), (F.max("ts") + F.expr("INTERVAL 1 SECOND")).alias("b")).first()
+    if ends["a"] is not None:
+        cuts = [ends["a"] + (ends["b"] - ends["a"]) * i / parts for i in range(parts + 1)]
+        for i in [*range(parts), parts - 1]:
+            incremental.apply_slice(spark, folder, log.where((F.col("ts") >= F.lit(cuts[i]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(cuts[i + 1]).cast("timestamp_ntz"))), f"part {i}", 16)
+    return folder
+
+
+@query(SQL["dispute_fold"])
+def dispute_table(spark, d):
+    return incremental.disputes(spark, _applied(spark, d)).select("dispute_id", "status", "round", "next_action", "strategy", "sent", "rejected", "updated")
+
+
 _SLOW = f"(TIMESTAMP '{v.FIRST_EVENT}' + (ts - TIMESTAMP '{v.FIRST_EVENT}') * {v.SLOWER})"
 _WAITS = _EVENTS.replace("event_id AS seq, ts,", f"event_id AS seq, {_SLOW} AS ts,") + f""",
 w AS (SELECT ev.dispute_id, s.status, s.round, s.next_action, ev.ts, coalesce(lead(ev.ts) OVER (PARTITION BY ev.dispute_id ORDER BY ev.i), TIMESTAMP '{v.YEAR_AS_OF}') AS until
