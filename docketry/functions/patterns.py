@@ -67,8 +67,12 @@ def by_alphabet(text: Column, flags: str, find: Callable[[str], Column]) -> Colu
 
 
 def first(text: Column, pattern: str, group: int = 1, flags: str = IGNORE_CASE) -> Column:
-    """A group of the pattern's first match, null where there is none; the group must not match an empty text."""
-    return F.nullif(by_alphabet(text, flags, lambda f: F.regexp_extract(text, f + pattern, group)), F.lit(""))
+    """A group of the pattern's first match, null where there is none; the group must take part in every match.
+
+    The match is made to run to the text's end, so there is one at most, and the pattern is run once.
+    """
+    found = by_alphabet(text, flags, lambda f: F.regexp_extract_all(text, F.lit(f"{f}(?:{pattern})(?s:.*)"), F.lit(group)))
+    return F.get(found, F.lit(0))
 
 
 def stripped(text: Column) -> Column:
@@ -97,8 +101,8 @@ def chosen_bureau(asked: Column, text: Column) -> Column:
 
 
 def _in_range(number: Column) -> Column:
-    value = number.try_cast("int")
-    return F.when(value.between(*SCORE_RANGE), value)
+    """The number if it is a score; filtering an array of it names it, so that it is extracted once."""
+    return F.get(F.filter(F.array(number.try_cast("int")), lambda x: x.between(*SCORE_RANGE)), F.lit(0))
 
 
 def credit_score(text: Column) -> Column:
@@ -142,13 +146,22 @@ def report_date(text: Column) -> Column:
     )
 
 
+def amount_text(block: Column, labels: tuple[str, ...]) -> Column:
+    return after_label(block, labels, AMOUNT, separator=SEPARATOR + r"\$?")
+
+
+def number_of(amount: Column) -> Column:
+    """An amount's text as a number; null for what is none (a lone comma)."""
+    return F.replace(amount, F.lit(",")).try_cast("double")
+
+
 def amount(block: Column, labels: tuple[str, ...]) -> Column:
-    return F.replace(after_label(block, labels, AMOUNT, separator=SEPARATOR + r"\$?"), F.lit(",")).try_cast("double")
+    return number_of(amount_text(block, labels))
 
 
 def amount_invalid(block: Column, labels: tuple[str, ...]) -> Column:
-    """An amount was found that is no number (a lone comma)."""
-    return after_label(block, labels, AMOUNT, separator=SEPARATOR + r"\$?").isNotNull() & amount(block, labels).isNull()
+    """An amount was found that is no number."""
+    return amount_text(block, labels).isNotNull() & amount(block, labels).isNull()
 
 
 def status_text(block: Column) -> Column:
@@ -176,16 +189,15 @@ def account_number(block: Column) -> Column:
 
 
 def account_fields(block: Column) -> dict[str, Column]:
-    """Every field of an account block, by name; status_text is what the status is read from."""
+    """Every field of an account block, by name, each extracted once: amounts are texts yet, and status_text is what the status is read from."""
     return {
         "creditor_name": creditor_name(block),
         "account_number": account_number(block),
-        "balance": amount(block, ("balance", "amount owed")),
-        "credit_limit": amount(block, ("credit limit", "high balance", "original amount")),
+        "balance": amount_text(block, ("balance", "amount owed")),
+        "credit_limit": amount_text(block, ("credit limit", "high balance", "original amount")),
         "status_text": status_text(block),
         **{name: after_label(block, labels, MONTH_DATE) for name, labels in DATE_LABELS.items()},
         "account_type": up_to(block, ("account type", "type"), ("status", "balance")),
-        "amount_invalid": amount_invalid(block, ("balance", "amount owed")) | amount_invalid(block, ("credit limit", "high balance", "original amount")),
     }
 
 

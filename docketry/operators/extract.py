@@ -26,7 +26,7 @@ def account_rows(texts: DataFrame) -> DataFrame:
     """Account blocks with their fields; a text without any gives one row that holds the whole text.
 
     Blocks of under 50 stripped characters go, and those with neither creditor nor number; what
-    decides that is extracted once. Blocks stay in their text's row until they are exploded, so
+    decides that is extracted once. ``amount_invalid`` tells of an amount that is no number. Blocks stay in their text's row until they are exploded, so
     nothing is shuffled.
     """
     given = lambda c: F.coalesce(c, F.lit("")) != ""
@@ -38,7 +38,9 @@ def account_rows(texts: DataFrame) -> DataFrame:
     fields = [F.col(name) if name in known else c.alias(name) for name, c in patterns.account_fields(F.col("block")).items()]
     whole = F.when(F.col("block").isNull(), "full_text_ai_parse").alias("extraction_method")
     out = out.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("block", "text").alias("raw_block"), whole, *fields)
-    return out.withColumn("account_status", patterns.status_of(F.col("status_text"))).drop("status_text")
+    amounts = {c: patterns.number_of(F.col(c)) for c in ("balance", "credit_limit")}
+    wrong = [F.col(c).isNotNull() & x.isNull() for c, x in amounts.items()]
+    return out.withColumns({**amounts, "amount_invalid": wrong[0] | wrong[1], "account_status": patterns.status_of(F.col("status_text"))}).drop("status_text")
 
 
 def inquiry_rows(texts: DataFrame) -> DataFrame:

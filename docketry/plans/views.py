@@ -145,9 +145,12 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered report for each order: header, scores, personal data, account blocks, one inquiry section.
 
     Some have no account block, some several, a short one, one that names nobody, or page breaks;
-    dates have two shapes, numbers are masked or dashed.
+    dates have two shapes, numbers are masked or dashed. A text is some hundred times its row and
+    takes as long to read, so the narrow rows are dealt out before texts are made: partitions by
+    bytes of the orders would be few and slow.
     """
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    o = keys.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     key, text = F.col("o_orderkey"), lambda s: F.lit(s)
     month = lambda n: F.lpad((1 + key % n % 12).cast("string"), 2, "0")
     only = lambda test, *lines: [F.when(test, x) for x in lines]
