@@ -77,7 +77,7 @@ def first(text: Column, pattern: str, group: int = 1, flags: str = IGNORE_CASE)
 
 def stripped(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return by_alphabet(text, "(?U)", lambda f: F.regexp_replace(text, (f if "U" in f else "") + r"^\s+|\s+\z", ""))
 
 
 def after_label(text: Column, labels: tuple[str, ...], value: str, flags: str = IGNORE_CASE, separator: str = SEPARATOR) -> Column:

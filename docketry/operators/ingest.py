@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.patterns import stripped
+
 VIOLATION = "struct<violation_type:string,specific_violation:string,description:string,evidence:string,legal_citation:string>"
-ITEM = (
-    "struct<creditor_name:string,account_number:string,is_disputable:boolean,priority_score:int,estimated_score_impact:int,"
-    f"dispute_type:string,primary_strategy:string,violations:array<{VIOLATION}>,dispute_reasons:array<string>,recommended_letter_type:string>"
-)
-ANALYSIS = (
-    "summary struct<total_accounts:int,disputable_accounts:int,total_inquiries:int,disputable_inquiries:int,estimated_score_gain:int,"
-    "highest_priority_items:array<string>,overall_strategy:string>, disputable_accounts array<string>, "
-    "disputable_inquiries array<struct<creditor_name:string,inquiry_date:string,is_disputable:boolean,dispute_reason:string>>, "
-    "non_disputable_accounts array<string>, broken string"
-)
+LISTS = ("disputable_accounts", "non_disputable_accounts", "disputable_inquiries")
 #: Where an analysis gives no priority at all; a null one stays null.
 DEFAULT_PRIORITY = 5
 #: Characters of JSON, and of raw text where no account was found, that an external analysis is given.
@@ -26,40 +19,64 @@ TRUNCATED = "\n... [truncated for length]"
 
 def unfenced(answer: Column) -> Column:
     """Without surrounding white space, code fence and ``json`` tag."""
-    inner = F.regexp_replace(F.regexp_replace(answer, r"(?U)^\s*```(?:json)?", ""), r"(?U)```\s*\z", "")
-    return F.regexp_replace(inner, r"(?U)^\s+|\s+\z", "")
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(answer), "^```(?:json)?", ""), r"```\z", ""))
 
 
 def parsed(answers: DataFrame) -> DataFrame:
-    """report_id, the analysis, and whether it could not be read (then all lists are empty). Accounts are kept as JSON text."""
-    analysis = F.from_json(unfenced(F.col("answer")), ANALYSIS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    out = answers.select("report_id", analysis.alias("analysis"))
-    return out.withColumn("failed", F.col("analysis.broken").isNotNull() | F.col("analysis").isNull())
+    """report_id, the analysis as a variant, and whether it could not be read as an object (then all lists are empty)."""
+    out = answers.select("report_id", F.try_parse_json(unfenced(F.col("answer"))).alias("analysis"))
+    return out.withColumn("failed", ~F.coalesce(F.schema_of_variant("analysis").startswith("OBJECT"), F.lit(False)))
+
+
+def member(item: Column | str, key: str, kind: str) -> Column:
+    """The value of an object's key as ``kind``; null where it is missing, null, or of another kind."""
+    return F.try_variant_get(item, f"$.{key}", kind)
+
+
+def given(item: Column | str, key: str) -> Column:
+    """Whether an object has the key at all; a null value is one."""
+    return F.try_variant_get(item, f"$.{key}", "variant").isNotNull()
+
+
+def listed(analysis: Column | str, key: str) -> Column:
+    """A list of an analysis; empty where it is missing or no list."""
+    return F.coalesce(member(analysis, key, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def account_rows(analyses: DataFrame) -> DataFrame:
     """Disputable and other accounts of readable analyses in one table, with whether a strategy was given at all.
 
-    An analysis is read once: both lists become one, each account is read after the explode.
+    An analysis is parsed once, and its accounts are read as parts of it. A broken one has no lists,
+    so no filter comes before the explode, which would have to parse it too.
     """
-    tagged = lambda c, bad: F.transform(F.coalesce(f"analysis.{c}", F.array().cast("array<string>")), lambda x, i: F.struct(i.alias("n"), F.lit(bad).alias("bad"), x.alias("json")))
-    rows = analyses.where(~F.col("failed")).select("report_id", F.explode(F.concat(tagged("disputable_accounts", True), tagged("non_disputable_accounts", False))).alias("x"))
-    rows = rows.select("report_id", "x.n", F.col("x.bad").alias("is_disputable"), F.from_json("x.json", ITEM).alias("a"), F.json_object_keys("x.json").alias("keys"))
-    given = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
-    bad = F.col("is_disputable")
-    violations = F.coalesce("a.violations", F.array().cast(f"array<{VIOLATION}>"))
+    tagged = lambda key, bad: F.transform(listed("analysis", key), lambda x, i: F.struct(i.alias("n"), F.lit(bad).alias("bad"), x.alias("a")))
+    rows = analyses.select("report_id", F.explode_outer(F.concat(tagged("disputable_accounts", True), tagged("non_disputable_accounts", False))).alias("x")).where("x IS NOT NULL")
+    a, bad = F.col("x.a"), F.col("x.bad")
+    rows = rows.select("report_id", "x.n", bad.alias("is_disputable"), a.alias("a"), F.coalesce(member(a, "violations", f"array<{VIOLATION}>"), F.array().cast(f"array<{VIOLATION}>")).alias("violations"))
+    a, bad = F.col("a"), F.col("is_disputable")
+    priority = F.when(given(a, "priority_score"), member(a, "priority_score", "int")).otherwise(DEFAULT_PRIORITY)
     return rows.select(
-        "report_id", "n", "is_disputable", "a.creditor_name", F.when(bad, F.col("a.account_number")).alias("account_number"),
-        F.when(bad, F.when(given("priority_score"), F.col("a.priority_score")).otherwise(DEFAULT_PRIORITY)).alias("priority_score"),
-        F.when(bad, F.coalesce("a.estimated_score_impact", F.lit(0))).alias("estimated_score_impact"),
-        F.when(bad, F.col("a.primary_strategy")).alias("primary_strategy"), F.when(bad, given("primary_strategy")).alias("strategy_given"),
-        F.when(bad, violations).alias("metro2_violations"), F.when(bad, of_type(violations, "fcra")).alias("fcra_violations"),
+        "report_id", "n", "is_disputable", member(a, "creditor_name", "string").alias("creditor_name"), F.when(bad, member(a, "account_number", "string")).alias("account_number"),
+        F.when(bad, priority).alias("priority_score"), F.when(bad, F.coalesce(member(a, "estimated_score_impact", "int"), F.lit(0))).alias("estimated_score_impact"),
+        F.when(bad, member(a, "primary_strategy", "string")).alias("primary_strategy"), F.when(bad, given(a, "primary_strategy")).alias("strategy_given"),
+        F.when(bad, F.col("violations")).alias("metro2_violations"), F.when(bad, of_type(F.col("violations"), "fcra")).alias("fcra_violations"),
+        F.when(~bad, member(a, "reason_not_disputed", "string")).alias("reason"),
     )
 
 
 def inquiry_rows(analyses: DataFrame) -> DataFrame:
-    good = analyses.where(~F.col("failed"))
-    return good.select("report_id", F.posexplode("analysis.disputable_inquiries").alias("n", "i")).select("report_id", "n", "i.creditor_name", "i.inquiry_date", "i.is_disputable", "i.dispute_reason")
+    rows = analyses.select("report_id", F.posexplode_outer(listed("analysis", "disputable_inquiries")).alias("n", "i")).where("n IS NOT NULL")
+    kinds = {"creditor_name": "string", "inquiry_date": "string", "is_disputable": "boolean", "dispute_reason": "string"}
+    return rows.select("report_id", "n", *(member("i", k, kind).alias(k) for k, kind in kinds.items()))
+
+
+def unknown_keys(analyses: DataFrame) -> DataFrame:
+    """What the accounts of analyses hold besides what is read from them: the merged type of all accounts (one row).
+
+    An external model may add keys at any time; one aggregate over the variants shows them.
+    """
+    rows = analyses.select(F.explode_outer(listed("analysis", "disputable_accounts")).alias("a")).where(F.schema_of_variant("a").startswith("OBJECT"))
+    return rows.agg(F.schema_of_variant_agg("a").alias("accounts"))
 
 
 def of_type(violations: Column, kind: str) -> Column:
@@ -71,8 +88,8 @@ def first_violations(violations: Column, k: int) -> Column:
 
 
 def upload_counters(analyses: DataFrame) -> DataFrame:
-    size = lambda c: F.when(F.col("failed"), 0).otherwise(F.coalesce(F.size(f"analysis.{c}"), F.lit(0)))
-    return analyses.select("report_id", size("disputable_accounts").alias("disputable"), size("non_disputable_accounts").alias("clean"), size("disputable_inquiries").alias("inquiries"), "failed")
+    names = ("disputable", "clean", "inquiries")
+    return analyses.select("report_id", *(F.size(listed("analysis", key)).alias(name) for key, name in zip(LISTS, names, strict=True)), "failed")
 
 
 def summary(accounts: DataFrame, top: int = 3) -> DataFrame:

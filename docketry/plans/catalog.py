@@ -575,7 +575,7 @@ _GOOD = "id % 50 <> 0"
     CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'section_609' WHEN 2 THEN NULL ELSE 'factual_dispute' END AS primary_strategy, id % 5 <> 0 AS strategy_given FROM accounts WHERE {_GOOD}
     UNION ALL SELECT id, 0, false, concat('Clean ', id % 7), NULL, NULL, NULL, NULL, NULL FROM accounts WHERE {_GOOD}""", "accounts"))
 def analysis_ingest(spark, d):
-    return ingest.account_rows(ingest.parsed(v.analyses(spark, d))).drop("metro2_violations", "fcra_violations")
+    return ingest.account_rows(ingest.parsed(v.analyses(spark, d))).drop("metro2_violations", "fcra_violations", "reason")
 
 
 @query(sql("""SELECT id AS report_id, CAST(id % 50 <> 0 AS INTEGER) AS disputable, CAST(id % 50 <> 0 AS INTEGER) AS clean, CAST(id % 50 <> 0 AS INTEGER) AS inquiries, id % 50 = 0 AS failed FROM accounts""", "accounts"))

@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows in as many partitions as a shuffle has, before a long text is made of each.
+
+    A text is some hundred times its row and takes as long to read: partitions by bytes of the rows
+    would be few and slow.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _pick(number, values: tuple[str, ...]):
     return F.get(F.array(*map(F.lit, values)), number.cast("int"))
 
@@ -145,11 +154,9 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered report for each order: header, scores, personal data, account blocks, one inquiry section.
 
     Some have no account block, some several, a short one, one that names nobody, or page breaks;
-    dates have two shapes, numbers are masked or dashed. A text is some hundred times its row and
-    takes as long to read, so the narrow rows are dealt out before texts are made: partitions by
-    bytes of the orders would be few and slow.
+    dates have two shapes, numbers are masked or dashed.
     """
-    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    keys = dealt_out(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     o = keys.join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     key, text = F.col("o_orderkey"), lambda s: F.lit(s)
     month = lambda n: F.lpad((1 + key % n % 12).cast("string"), 2, "0")
@@ -211,7 +218,7 @@ def _pick_number(number, values: tuple[int, ...]):
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An analysis as JSON text inside a code fence, for each order; some lack a strategy, some are cut short."""
     v = violations(spark, sf_dir).groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("n", "violation_type", "specific_violation"))).alias("v"))
-    a = accounts(spark, sf_dir).join(v, F.col("id") == F.col("account_id"), "left")
+    a = dealt_out(accounts(spark, sf_dir).select("id", "creditor_name", "account_number", "priority_score"), "id").join(v, F.col("id") == F.col("account_id"), "left")
     key = F.col("id")
     vs = F.transform(F.coalesce("v", F.array()), lambda x: F.concat(F.lit('{"violation_type":"'), x["violation_type"], F.lit('","specific_violation":"'), x["specific_violation"], F.lit('"}')))
     strategy = F.when(key % 5 == 0, "").when(key % 5 == 1, ',"primary_strategy":"section_609"').when(key % 5 == 2, ',"primary_strategy":null').otherwise(',"primary_strategy":"factual_dispute"')

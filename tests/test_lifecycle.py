@@ -135,6 +135,25 @@ def test_ingest(spark):
     assert [tuple(r)[1:4] for r in ingest.upload_counters(parsed).orderBy("report_id").collect()] == [(2, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
 
 
+def test_an_analysis_is_parsed_once(spark):
+    parsed = ingest.parsed(spark.createDataFrame([(1, "{}")], "report_id long, answer string"))
+    for rows in (ingest.account_rows(parsed), ingest.inquiry_rows(parsed), ingest.upload_counters(parsed)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") == 1 and "from_json" not in plan, plan
+
+
+def test_ingest_of_odd_json(spark):
+    """Values of other kinds count as missing, given nulls as given; what is no object could not be read."""
+    odd = '{"disputable_accounts":[{"creditor_name":7,"priority_score":"high","estimated_score_impact":null,"violations":"none"},{"priority_score":null,"surprise":[1]},"text"],"non_disputable_accounts":[{"reason_not_disputed":"paid"}],"disputable_inquiries":{"a":1}}'
+    rows = spark.createDataFrame([(1, odd), (2, "[1, 2]"), (3, "7"), (4, "null"), (5, '{"disputable_accounts":null}')], "report_id long, answer string")
+    parsed = ingest.parsed(rows)
+    assert sorted(r["report_id"] for r in parsed.where("failed").collect()) == [2, 3, 4]
+    found = [(r["is_disputable"], r["n"], r["creditor_name"], r["priority_score"], r["estimated_score_impact"], r["strategy_given"], r["metro2_violations"], r["reason"]) for r in ingest.account_rows(parsed).collect()]
+    assert sorted(found, key=repr) == sorted([(True, 0, "7", None, 0, False, [], None), (True, 1, None, None, 0, False, [], None), (True, 2, None, 5, 0, False, [], None), (False, 0, None, None, None, None, None, "paid")], key=repr)
+    assert ingest.inquiry_rows(parsed).count() == 0
+    assert "surprise" in ingest.unknown_keys(parsed).first()[0]
+
+
 def test_needs_approval_falls_back(spark):
     rows = [(i, "approved" if i % 2 else "resolved", T + timedelta(days=i)) for i in range(12)]
     table = spark.createDataFrame(rows, "id long, status string, created_at timestamp_ntz")
