@@ -81,19 +81,23 @@ class ChunkedEncoder:
             self._keep(ids)
         return b"".join(found)
 
+    def rest(self) -> None:
+        """Between tasks, when a worker may serve other stages for long, no chunks are kept."""
+        self.known.clear()
+        self.held = 0
+
     def _keep(self, ids: dict[str, bytes]) -> None:
         short = {c: x for c, x in ids.items() if len(c) <= LONGEST_KEPT}
         self.held += sum(map(len, short.values())) + CHUNK_COST * len(short)
         if self.held > MOST_KEPT:
-            self.known.clear()
-            self.held = 0
+            self.rest()
             return
         self.known.update(short)
 
 
 @cache
 def _encoder(path: str) -> ChunkedEncoder:
-    """One for each Python worker, so that tasks that follow each other share known chunks."""
+    """One for each Python worker: the vocabulary is read once."""
     ranks = f"{os.path.splitext(path)[0]}.tiktoken"
     return ChunkedEncoder(path, ranks if os.path.exists(ranks) else None)
 
@@ -116,6 +120,7 @@ def _cutter(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.R
                     seen[length] += 1
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        encode.rest()
 
     return cut
 
