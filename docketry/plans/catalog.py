@@ -701,6 +701,30 @@ def furnisher_letters(spark, d):
     return letters.furnisher_letters(v.disputes(spark, d), v.accounts(spark, d)).select("dispute_id", "round_number", "recipient", "letter_type")
 
 
+_WARNING = _BODY.split("'Pursuant")[1].split("1681n.'")[0]
+_DEMAND = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{text}'" for k, text in letters.DEMANDS.items()) + f" ELSE '{letters.ANY_DEMAND}' END"
+_KIND = """CASE current_round WHEN 1 THEN CASE WHEN m THEN 'metro2_compliance' WHEN f THEN 'fcra_violation' WHEN s = '' THEN 'section_609' ELSE coalesce(s, 'factual_dispute') END
+    WHEN 2 THEN CASE WHEN coalesce(s, 'factual_dispute') = 'factual_dispute' THEN 'section_609' WHEN s = 'section_609' THEN 'section_611' ELSE 'fcra_violation' END ELSE 'fcra_violation' END"""
+
+
+@query(sql(f"""SELECT dispute_id, current_round AS round_number, recipient, recipient_type, kind AS letter_type, concat('RE: Dispute of Account — ', coalesce(creditor_name, 'unknown')) AS subject, coalesce(c, '') AS citations,
+    concat_ws(chr(10) || chr(10), 'August 02, 1998', address, concat('RE: Dispute of Account — ', coalesce(creditor_name, 'unknown')),
+      concat('I dispute account ', account_number, ', reported by ', creditor_name, '. Round ', current_round, '.'), 'What is wrong:' || chr(10) || chr(10) || found, {_DEMAND}, 'Pursuant{_WARNING}1681n.', full_name) AS body
+    FROM (SELECT d.id AS dispute_id, current_round, creditor_name, account_number, full_name, c, found, t.kind, t.recipient, t.recipient_type, t.address
+      FROM disputes d JOIN accounts a ON a.id = d.account_id LEFT JOIN users u ON u.id = d.user_id LEFT JOIN {_FOUND} x ON x.account_id = a.id
+      LEFT JOIN (SELECT account_id, string_agg(concat(i, '. ', specific_violation, CASE WHEN legal_citation IS NULL THEN '' ELSE concat(' (', legal_citation, ')') END, '.'), chr(10) || chr(10) ORDER BY i) AS found
+        FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY n, violation_type, specific_violation, legal_citation) AS i FROM violations) GROUP BY account_id) p ON p.account_id = a.id,
+      LATERAL (SELECT {_KIND} AS kind, d.bureau AS recipient, 'bureau' AS recipient_type, CASE d.bureau WHEN 'equifax' THEN concat('Equifax Information Services LLC', chr(10), 'P.O. Box 740256', chr(10), 'Atlanta, GA 30374-0256')
+          ELSE concat('Experian', chr(10), 'P.O. Box 4500', chr(10), 'Allen, TX 75013') END AS address
+        UNION ALL SELECT 'furnisher_direct', creditor_name, 'furnisher', concat(creditor_name, chr(10), 'Dispute Department')) t)""", "disputes", "accounts", "users", "violations"))
+def whole_letters(spark, d):
+    rows = v.violations(spark, d).groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("n", "violation_type", "specific_violation", "legal_citation"))).alias("violations"))
+    key = F.col("account_id") % 5
+    found = rows.select("*", F.when(key == 1, "section_609").when(key > 2, "factual_dispute").alias("primary_strategy"), (key != 0).alias("strategy_given"))
+    out = letters.whole_letters(v.disputes(spark, d), v.users(spark, d), v.accounts(spark, d), found, v.as_of())
+    return out.select("dispute_id", "round_number", "recipient", "recipient_type", "letter_type", "subject", F.array_join(F.array_sort("legal_citations"), ";").alias("citations"), "body")
+
+
 # ---- rules ----------------------------------------------------------------------------------
 
 

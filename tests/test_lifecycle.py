@@ -207,3 +207,23 @@ def test_pdf_files_need_a_library(spark, monkeypatch):
             pdf.pdf_texts(files)
         monkeypatch.setattr(pdf, "LIBRARIES", ("json",))
     assert [tuple(r) for r in pdf.pdf_texts(files).collect()] == [("a.pdf", None)]
+
+
+def test_whole_letters(spark):
+    """Bureau and furnisher letters with a paragraph for each finding; a dispute without its account says so and writes nothing."""
+    disputes = spark.createDataFrame([(1, 10, 5, "equifax", 1), (2, 11, 6, "innovis", 2), (3, 99, 5, "experian", 3)], "id long, account_id long, user_id long, bureau string, current_round int")
+    accounts = spark.createDataFrame([(10, "Bank", "X1"), (11, None, None)], "id long, creditor_name string, account_number string")
+    users = spark.createDataFrame([(5, "Ann Lee")], "id long, full_name string")
+    kind = "account_id long, violations array<struct<violation_type:string,specific_violation:string,legal_citation:string>>, primary_strategy string, strategy_given boolean"
+    findings = spark.createDataFrame([(10, [("metro2", "field 24", None), ("fcra", None, "§ 1681i"), ("fcra", "late", "§ 1681i")], None, False)], kind)
+    out = {(r["dispute_id"], r["recipient_type"]): r for r in letters.whole_letters(disputes, users, accounts, findings, F.lit("2024-01-01").cast("timestamp_ntz")).collect()}
+    assert len(out) == 6 and {k[0]: r["reason"] for k, r in out.items()} == {1: None, 2: None, 3: "account not found"}
+    a, b = out[1, "bureau"], out[1, "furnisher"]
+    assert (a["letter_type"], a["recipient"], a["legal_citations"], b["letter_type"], b["recipient"]) == ("metro2_compliance", "equifax", ["§ 1681i"], "furnisher_direct", "Bank")
+    for r, address in ((a, "Equifax Information Services LLC"), (b, "Bank\nDispute Department")):
+        parts = r["body"].split("\n\n")
+        assert parts[0] == "January 01, 2024" and parts[1].startswith(address) and parts[2] == r["subject"] == "RE: Dispute of Account — Bank"
+        assert parts[3:8] == ["I dispute account X1, reported by Bank. Round 1.", "What is wrong:", "1. field 24.", "2. not specified (§ 1681i).", "3. late (§ 1681i)."]
+        assert parts[8] == letters.DEMANDS[r["letter_type"]] and "January 31, 2024" in parts[9] and parts[10] == "Ann Lee"
+    assert "What is wrong" not in out[2, "bureau"]["body"] and out[2, "bureau"]["letter_type"] == "section_609" and out[2, "furnisher"]["recipient"] == "unknown"
+    assert all(out[3, k]["body"] is None and out[3, k]["subject"] is None for k in ("bureau", "furnisher")) and out[3, "bureau"]["recipient"] == "experian"
