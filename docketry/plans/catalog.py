@@ -540,6 +540,15 @@ def _item_type():
     return F.get(F.array(F.lit("negative_items"), F.lit("chapter_7_bankruptcy"), F.lit("other")), (F.col("id") % 3).cast("int"))
 
 
+_SHAPE, _DATED = f"o_orderkey % {len(v.SHAPES)}", "CAST(o_orderdate AS DATE)"
+
+
+@query(f"""SELECT o_orderkey AS id, CAST(CASE WHEN {_SHAPE} IN (16, 17, 18) THEN date_trunc('month', {_DATED}) WHEN {_SHAPE} = 19 AND day({_DATED}) <= 12 THEN make_date(year({_DATED}), day({_DATED}), month({_DATED}))
+    WHEN {_SHAPE} < 20 THEN {_DATED} END AS DATE) AS day FROM orders""")
+def written_dates(spark, d):
+    return v.written_dates(spark, d).select("id", dates.loose_date(F.col("text")).alias("day"))
+
+
 @query(sql(f"SELECT id, first_delinquency + to_hours(CASE {_TYPE} WHEN 'chapter_7_bankruptcy' THEN 87660 ELSE 61362 END) AS removal_time FROM accounts", "accounts"))
 def removal_date(spark, d):
     return v.accounts(spark, d).select("id", dates.removal_time(F.col("first_delinquency"), _item_type()).alias("removal_time"))

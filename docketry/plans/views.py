@@ -196,6 +196,22 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("id"), F.when(key % 16 == 3, F.concat(text("A page that is no report, number "), key)).otherwise(report).alias("text"))
 
 
+#: Shapes in which dates are written, as date patterns.
+SHAPES = (
+    "MM/dd/yyyy", "M/d/yyyy", "M-d-yyyy", "MM/dd/yy", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMM'.' d, yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd",
+    "MMMM dd'th', yyyy", "EEEE, MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss", "MM/yyyy", "MMMM yyyy", "yyyy-MM", "dd.MM.yyyy", "'around' yyyy",
+)
+
+
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of each order as text, in one of SHAPES."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = F
+    for i, shape in enumerate(SHAPES):
+        text = text.when(key % len(SHAPES) == i, F.date_format("o_orderdate", shape))
+    return o.select(key.alias("id"), text.alias("text"))
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users send: the reports of some orders, with a name, a type, a length and the bureau asked for.
 

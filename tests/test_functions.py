@@ -165,6 +165,20 @@ def test_seven_years(one, first, report, expected):
     assert one(lambda a, b: dates.past_seven_years(a, b, F.lit("2024-06-01").cast("timestamp")), first, report) == expected
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("03/2015", "2015-03-01"), ("3-2015", "2015-03-01"), ("March 2015", "2015-03-01"), ("Mar. 2015", "2015-03-01"), ("sept 2015", "2015-09-01"), ("March 4, 2015", "2015-03-04"), ("4 March 2015", "2015-03-04"),
+        ("March 4th 2015", "2015-03-04"), ("Wed, Mar 4, 2015", "2015-03-04"), ("3/4/15", "2015-03-04"), ("3/4/85", "1985-03-04"), ("13/4/2015", "2015-04-13"), ("4/13/2015", "2015-04-13"), ("2015-03-04", "2015-03-04"),
+        ("2015/3", "2015-03-01"), ("20150304", "2015-03-04"), ("2015-03-04T10:20:30Z", "2015-03-04"), ("03/04/2015 10:20 pm", "2015-03-04"), ("2015 March 4", "2015-03-04"), ("4 Mar 99", "1999-03-04"), ("Mar 99", "1999-03-01"),
+        ("the 4th of March 2015", "2015-03-04"), ("not-a-date", None), ("", None), (None, None), ("2015", None), ("13/13/2015", None), ("31 Feb 2015", None), ("March April 2015", None), ("Marche 2015", None), ("ma 2015", None),
+        ("around 3/2015", None), ("1/2/3/2015", None), ("99999999999/2015", None), ("Mar 12", None), ("août 2015", None), ("0/2015", None),
+    ],
+)
+def test_written_dates(one, text, expected):
+    assert str(one(dates.loose_date, text)) == str(expected)
+
+
 def test_times(spark):
     t = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     row = spark.range(1).select(
