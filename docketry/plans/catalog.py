@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import bands, dates, patterns, steps
-from docketry.operators import extract, incremental, ingest, letters, lifecycle, reports, rules
+from docketry.operators import extract, incremental, ingest, letters, lifecycle, matching, reports, rules
 from docketry.plans import views as v
 from docketry.plans.oracle import NOW, pick, sql
 from docketry.sources import reference, tables
@@ -734,6 +734,15 @@ def whole_letters(spark, d):
     return out.select("dispute_id", "round_number", "recipient", "recipient_type", "letter_type", "subject", F.array_join(F.array_sort("legal_citations"), ";").alias("citations"), "body")
 
 
+@query("""WITH n AS (SELECT o_orderkey, o_custkey AS user_id, lpad(CAST(o_orderkey * 7919 % 100000000 - o_orderkey % 5 AS VARCHAR), 8, '0') AS g FROM orders),
+m AS (SELECT o_orderkey * 3 + i AS id, user_id, CASE i WHEN 0 THEN '****' || right(g, 4) WHEN 1 THEN left(g, 4) || '****' ELSE g END AS x FROM n, range(3) r(i)),
+p AS (SELECT a.user_id, a.id AS a, b.id AS b, list_transform(range(1, 9), lambda k: a.x[k] = b.x[k] OR a.x[k] = '*' OR b.x[k] = '*') AS same,
+  list_transform(range(1, 6), lambda k: NOT contains(a.x[k:k + 3], '*') AND NOT contains(b.x[k:k + 3], '*')) AS shown FROM m a JOIN m b ON a.user_id = b.user_id AND a.id < b.id)
+SELECT user_id, a, b FROM p WHERE list_bool_and(same) AND list_bool_or(shown)""")
+def masked_pairs(spark, d):
+    return matching.masked_pairs(v.masked_accounts(spark, d))
+
+
 # ---- rules ----------------------------------------------------------------------------------
 
 

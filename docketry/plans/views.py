@@ -196,6 +196,16 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("id"), F.when(key % 16 == 3, F.concat(text("A page that is no report, number "), key)).otherwise(report).alias("text"))
 
 
+def masked_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account of each order as three reports have it: the number masked in front, masked behind, or whole with dashes."""
+    key = F.col("o_orderkey")
+    digits = F.lpad((key * 7919 % 100_000_000 - key % 5).cast("string"), 8, "0")
+    left, right = F.left(digits, F.lit(4)), F.right(digits, F.lit(4))
+    shown = F.array(F.concat(F.lit("XXXX-"), right), F.concat(left, F.when(key % 2 == 0, "****").otherwise("-xx**")), F.concat(F.left(left, F.lit(2)), F.lit("-"), F.right(left, F.lit(2)), F.lit("-"), right))
+    rows = table(spark, sf_dir, "orders").select(key.alias("key"), F.col("o_custkey").alias("user_id"), F.posexplode(shown).alias("i", "account_number"))
+    return rows.select((F.col("key") * 3 + F.col("i")).alias("id"), "user_id", "account_number")
+
+
 #: Shapes in which dates are written, as date patterns.
 SHAPES = (
     "MM/dd/yyyy", "M/d/yyyy", "M-d-yyyy", "MM/dd/yy", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMM'.' d, yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd",
