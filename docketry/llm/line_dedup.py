@@ -41,15 +41,22 @@ def row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def line_hashes(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
-    """Every different key of every document, stored: row, batch, doc_id, size (code points of all keys), n (of this one), h1, h2."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_key))
+def line_hashes(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES, sizes: bool = False) -> DataFrame:
+    """Every different key of every document, stored: row, batch, h1, h2; with ``sizes`` also doc_id, size (code points of all
+    keys) and n (of this one).
+
+    The text is lower-cased whole, which gives the same keys as line by line.
+    """
+    lines = lines_of(ascii_lower(F.coalesce(F.col("text"), F.lit(""))))
+    keys = F.array_distinct(F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE))), lambda k: F.char_length(k) >= min_key))
+    batch = F.pmod("row", F.lit(batches)).cast("int").alias("batch")
+    if not sizes:
+        out = docs.select(row_hash().alias("row"), F.explode(keys).alias("k"))
+        return stored(out.select("row", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), batch), "line-hashes", "batch")
     out = docs.select(row_hash().alias("row"), "doc_id", keys.alias("keys"))
     size = F.aggregate("keys", F.lit(0), lambda s, k: s + F.char_length(k))
-    each = F.explode(F.transform("keys", lambda k: F.struct(key_hash(k).alias("h"), F.char_length(k).alias("n"))))
-    out = out.select("row", "doc_id", size.alias("size"), each.alias("k"))
-    out = out.select("row", "doc_id", "size", "k.n", "k.h.h1", "k.h.h2", F.pmod("row", F.lit(batches)).cast("int").alias("batch"))
-    return stored(out, "line-hashes", "batch")
+    out = out.select("row", "doc_id", size.alias("size"), F.explode("keys").alias("k"))
+    return stored(out.select("row", "doc_id", "size", F.char_length("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), batch), "line-hashes", "batch")
 
 
 class LineRuns:
@@ -132,7 +139,7 @@ def _once(docs: DataFrame, min_key: int, min_documents: int, batches: int) -> tu
     they are its text and no boilerplate. Each line of such documents stays in the one with the
     smallest doc_id (null last); all other frequent lines go.
     """
-    hashes = line_hashes(docs, min_key, batches)
+    hashes = line_hashes(docs, min_key, batches, sizes=True)
     row, hits, own = (clean_name(docs, x) for x in ("row", "hits", "own"))
     parts = hashes.join(frequent_lines(docs, hashes, min_documents, batches), HASH, "left_semi")
     found = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.collect_set(F.struct(*HASH, "n")).alias("found"))
