@@ -30,8 +30,9 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's ``spark.checkpoint.dir``.
 
-    Where it is not set, one machine (a ``local`` master) takes a temporary folder of its own; a
-    cluster has no folder that every executor sees, so there it is an error.
+    Where it is not set, one machine (a ``local`` master) takes a temporary folder of its own, which
+    becomes the setting for the whole session; a cluster has no folder that every executor sees, so
+    there it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
