@@ -73,7 +73,7 @@ def test_run_and_entry(spark, folder):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "pipeline" in e.queries()
     numbers = sorted(int(m[1]) for n in e.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_operators_are_called():
