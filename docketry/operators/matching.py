@@ -35,11 +35,13 @@ def masked_pairs(accounts: DataFrame, by: str = "user_id") -> DataFrame:
 
     Such a pair shares that run of digits and its place, so the join is on them and finds every
     pair; what it finds is verified over all places. A number without such a run, a null one, and a
-    null ``by`` have no pairs; equal ids are one account.
+    null ``by`` have no pairs; equal ids are one account. Both sides are shuffled: an account has
+    several runs, so the size that is estimated before they are made says nothing of what a broadcast
+    would hold.
     """
     rows = accounts.select(by, "id", unmasked(F.col("account_number")).alias("number")).where(F.col("number").isNotNull())
     keyed = rows.select(by, "id", "number", F.inline(_keys(F.col("number"))))
     one = keyed.select(by, "end", "digits", F.col("id").alias("a"), F.col("number").alias("number_a"))
     two = keyed.select(by, "end", "digits", F.col("id").alias("b"), F.col("number").alias("number_b"))
-    found = one.join(two, [by, "end", "digits"]).where((F.col("a") < F.col("b")) & compatible(F.col("number_a"), F.col("number_b")))
+    found = one.join(two.hint("merge"), [by, "end", "digits"]).where((F.col("a") < F.col("b")) & compatible(F.col("number_a"), F.col("number_b")))
     return found.select(by, "a", "b").distinct()

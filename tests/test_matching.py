@@ -38,3 +38,10 @@ def test_no_cross_join_and_empty(spark):
     empty = spark.createDataFrame([], "user_id long, id long, account_number string")
     out = matching.masked_pairs(empty)
     assert out.count() == 0 and not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Cartesian", "NestedLoop"))
+
+
+def test_runs_are_not_broadcast(spark):
+    """However small the table is thought to be, its runs are shuffled."""
+    table = spark.range(300).selectExpr("id % 3 AS user_id", "id", "concat('XXXX-', 1000 + id % 50) AS account_number")
+    out = matching.masked_pairs(table)
+    assert out.count() == 3 * 50 * 1 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
