@@ -1,5 +1,6 @@
-"""Links between texts that share most of their five-word runs: candidates by MinHash bands, then verified.
+"""Links between texts that share most of their five-word runs: candidates by SimHash and by MinHash bands, then verified.
 
+Texts of near fingerprints are candidates (see simhash_dedup); bands add those that fingerprints miss.
 A text is its set of hashed runs of five words. One hundred minima of the set are cut into twenty
 bands of five; two sets of Jaccard similarity 0.8 share a band with probability 0.9996. Texts that
 share a band are compared by their whole sets, and only pairs at SIMILARITY or more are linked.
@@ -14,7 +15,8 @@ outside the largest component of the meeting are compared with the others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +70,20 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return _mix((least.reshape(BANDS, BAND_ROWS) * _ROW).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, node, n, bands)."""
+def _describe(fingerprint: Callable[[str | None], int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, node, n, bands, fp)."""
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, fps = [], [], [], []
         for text in batch.column(1):
             words = words_of(text.as_py())
             hashes = shingles(words)
             nodes.append(xxhash.xxh64_intdigest(b" ".join(words)))
             sizes.append(len(hashes))
             keys.append(band_keys(hashes))
+            fps.append(fingerprint(text.as_py()))
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), bands], names=["id", "node", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), bands, pa.array(fps, pa.int64())], names=["id", "node", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +104,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
-def described(docs: DataFrame, key: Column) -> DataFrame:
-    """One row for each different text of ``docs`` (by its words), stored: node, id (the least ``key`` of its rows), n (runs) and bands.
+def described(docs: DataFrame, key: Column, fingerprint: Callable[[str | None], int]) -> DataFrame:
+    """One row for each different text of ``docs`` (by its words), stored: node, id (the least ``key`` of its rows), n (runs), bands and fp.
 
-    A node is 64 bits of the words, so of 10 billion different texts about three pairs share one by chance.
+    A node is 64 bits of the words, so of 10 billion different texts about three pairs share one by
+    chance; ``fp`` is what ``fingerprint`` makes of the words.
     """
     kind = docs.select(key.alias("id")).schema["id"].dataType.simpleString()
-    rows = docs.select(key.alias("id"), "text").mapInArrow(_describe, f"id {kind}, node long, n int, bands array<long>")
-    return stored(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-texts")
+    rows = docs.select(key.alias("id"), "text").mapInArrow(partial(_describe, fingerprint), f"id {kind}, node long, n int, bands array<long>, fp long")
+    return stored(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bands", "fp"))), "near-texts")
 
 
 def _alike(n: str, m: str) -> Column:
@@ -117,14 +121,28 @@ def _alike(n: str, m: str) -> Column:
     return q * F.least(n, m) >= p * F.greatest(n, m)
 
 
-def text_roots(docs: DataFrame, key: Column, texts: DataFrame) -> DataFrame:
-    """Columns ``node`` and ``root`` of every linked text; ``texts`` are those of ``described``."""
+def _near_pairs(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of each text with the first text of its own fingerprint and of every linked one (a, b), and where the sizes allow it at all."""
+    heads = stored(texts.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")), "fingerprint-heads")
+    near = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = near.join(heads, near["b"] == heads["fp"]).select(F.col("a").alias("fp"), "head").union(heads)
+    pairs = texts.select("fp", "node", "n").join(near, "fp").where((F.col("node") != F.col("head.node")) & _alike("n", "head.n"))
+    return pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+
+
+def text_roots(docs: DataFrame, key: Column, texts: DataFrame, near: DataFrame) -> DataFrame:
+    """Columns ``node`` and ``root`` of every linked text; ``texts`` are those of ``described``, ``near`` links (a, b) of their fingerprints.
+
+    Texts of linked fingerprints are compared first of all; bands then find what fingerprints miss.
+    Both give candidates only: each pair is compared by its whole sets.
+    """
     members = texts.select("node", "n", F.explode("bands").alias("key"))
     counts = members.groupBy("key").count().where("count > 1")
     members = stored(members.join(counts, "key"), "band-members")
     small, large = members.where(F.col("count") <= SMALL), members.where(F.col("count") > SMALL)
     other = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
     pairs = small.join(other, "key").where((F.col("node") < F.col("b")) & _alike("n", "m")).select(F.col("node").alias("a"), "b")
+    pairs = _near_pairs(texts, near).union(pairs)
     if not large.limit(1).count():
         return components(_linked(docs, key, texts, pairs.distinct()))
     sets = _sets_of(docs, key, texts, large.select("node").distinct())

@@ -208,9 +208,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each class of near duplicates: that with the smallest doc_id.
 
-    Not op1's links: texts are linked if the Jaccard similarity of their sets of five-word runs
-    is 0.8 or more (see jaccard_links), and a class is what links reach. Texts without words are
-    one class. Rows are told apart by 128 bits of doc_id and text together, so a class keeps a row
+    Fingerprints are made and linked as in near_duplicates. An exact check follows: texts of linked
+    fingerprints stay linked if the Jaccard similarity of their sets of five-word runs is 0.8 or more.
+    Pairs of that similarity whose fingerprints differ in more bits are found by MinHash bands beside
+    them and checked alike (see jaccard_links). A class is what links reach. Texts without words are one class. Rows are told apart by 128 bits of doc_id and text together, so a class keeps a row
     of its own also where ids are null (they come last) or repeated; of rows that repeat both one
     stays. An empty table gives an empty one; other columns pass through, and new names avoid theirs.
     """
@@ -218,8 +219,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     names = [clean_name(docs, x) for x in ("row", "row_more")]
     hashes = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *(h.alias(n) for h, n in zip(hashes, ("row", "more"), strict=True)))
-    texts = described(docs, key)
-    keep = texts.join(text_roots(docs, key, texts), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("id").alias("id"))
+    texts = described(docs, key, fingerprint)
+    near = fingerprint_links(texts.select("fp").distinct())
+    keep = texts.join(text_roots(docs, key, texts, near), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("id").alias("id"))
     keep = stored(keep.select(F.col("id.row").alias(names[0]), F.col("id.more").alias(names[1])), "kept-rows")
     # the texts are shuffled once: the join leaves them dealt and sorted by row
     return docs.withColumns(dict(zip(names, hashes, strict=True))).join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)

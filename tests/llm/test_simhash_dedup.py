@@ -176,3 +176,25 @@ def test_drop_keeps_one_of_each_class(spark):
     rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, e), (8, d), (None, None), (9, "")]
     kept = sd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert key(kept.collect()) == key([(1, a), (None, b), (None, c), (7, d), (7, e), (9, "")])
+
+
+def test_drop_takes_fingerprints(spark, monkeypatch):
+    """Near copies within three bits go where no band holds two texts; others within three bits stay, by the exact check."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.conftest import prose
+
+    near = lambda x, y: bin(brute_fingerprint(x) ^ brute_fingerprint(y)).count("1") <= 3
+    rows = []
+    for seed in range(30):
+        words = prose(seed + 900, 400).split()
+        copy = " ".join([*words[:-1], f"new{seed}"])
+        if near(" ".join(words), copy):
+            rows += [" ".join(words), copy]
+    copies, repeated = len(rows) // 2, (prose(7, 9) + " ") * 60
+    rows += [repeated + prose(990 + i, 30) for i in range(3)]
+    assert copies > 10 and (near(rows[-1], rows[-2]) or near(rows[-1], rows[-3])) and len(set(brute_roots(rows))) == copies + 3
+    real = sd.described
+    monkeypatch.setattr(sd, "described", lambda *a: real(*a).withColumn("bands", F.array("node")))
+    kept = sd.drop_near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_roots(rows)))
