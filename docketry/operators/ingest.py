@@ -149,21 +149,31 @@ INQUIRY_KEYS = ("raw_block", "creditor_name", "inquiry_date", "inquiry_type")
 PERSON_KEYS = ("name", "ssn_last_four", "date_of_birth", "address")
 
 
-def _json_rows(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
-    """By report, the JSON list of its rows in order; values that were not found are left out. A report has tens of them."""
-    value = lambda k: json_amount(F.col(k)) if k in ("balance", "credit_limit") else json_text(F.col(k))
-    each = rows.select("id", "n", json_lines([(k, value(k)) for k in keys], 2).alias("json"))
-    return each.groupBy(F.col("id").alias(f"{name}_of")).agg(json_list(F.array_sort(F.collect_list(F.struct("n", "json")))["json"], 1).alias(name))
+def _json_rows(rows: Column, keys: tuple[str, ...]) -> Column:
+    """The JSON list of a report's rows; values that were not found are left out. A report has tens of them."""
+    value = lambda x, k: json_amount(x[k]) if k in ("balance", "credit_limit") else json_text(x[k])
+    return json_list(F.transform(rows, lambda x: json_lines([(k, value(x, k)) for k in keys], 2)), 1)
+
+
+def _inside(rows: DataFrame, name: str) -> DataFrame:
+    """By report, its rows in order."""
+    order = [F.col("n"), *(F.col(c) for c in rows.columns if c not in ("id", "n"))]
+    return rows.groupBy(F.col("id").alias(f"{name}_of")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
 
 
 def analysis_request(reports: DataFrame, accounts: DataFrame, inquiries: DataFrame) -> DataFrame:
-    """By report, the indented JSON that an external analysis is given, cut where it is too long: id, request, has_text, truncated.
+    """``requests`` of reports whose accounts and inquiries are rows of tables."""
+    out = reports.join(_inside(accounts, "accounts"), F.col("id") == F.col("accounts_of"), "left")
+    return requests(out.join(_inside(inquiries, "inquiries"), F.col("id") == F.col("inquiries_of"), "left"))
+
+
+def requests(reports: DataFrame) -> DataFrame:
+    """By report (with its accounts and inquiries inside), the indented JSON that an external analysis is given, cut where it is too long: id, request, has_text, truncated.
 
     It holds what was parsed, and the beginning of the raw text where no account was found.
     """
-    unparsed = accounts.groupBy(F.col("id").alias("text_of")).agg((F.count_if(F.col("extraction_method").isNull()) == 0).alias("unparsed"))
-    out = reports.join(_json_rows(accounts, ACCOUNT_KEYS, "accounts"), F.col("id") == F.col("accounts_of"), "left")
-    out = out.join(_json_rows(inquiries, INQUIRY_KEYS, "inquiries"), F.col("id") == F.col("inquiries_of"), "left").join(unparsed, F.col("id") == F.col("text_of"), "left")
+    out = reports.withColumn("unparsed", F.forall("accounts", lambda x: x["extraction_method"].isNotNull()))
+    out = out.withColumns({"accounts": _json_rows(F.col("accounts"), ACCOUNT_KEYS), "inquiries": _json_rows(F.col("inquiries"), INQUIRY_KEYS)})
     has_text = F.coalesce("unparsed", F.lit(True))
     null = F.lit("null")
     body = json_lines(

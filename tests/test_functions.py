@@ -226,3 +226,20 @@ def test_bands(spark):
     assert [r[0] for r in colours] == ["#10b981", "#f59e0b", "#ef4444", "#64748b", "#64748b", "#94a3b8"]
     more = spark.range(1).select(steps.bureau_address(F.lit("innovis")), bands.status_label(F.lit("odd"), bands.LIST_LABELS), bands.opening_bureau(F.lit("tri_merge")), steps.letter_description(F.lit("factual_dispute"))).first()
     assert tuple(more) == ("Innovis Credit Bureau", "odd", "equifax", None)
+
+
+def test_texts_are_read_in_their_own_row(spark):
+    """Accounts and inquiries come into their report's row without a shuffle or a broadcast of texts, and as their tables give them."""
+    from docketry.operators import extract, ingest
+    from docketry.plans import views
+
+    texts = spark.createDataFrame([tuple(r) for r in views.report_texts(spark, "/root/testdata/sf0.001").limit(60).collect()], "id long, text string")
+    out = extract.parsed_rows(texts)
+    plan = ingest.requests(out)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = out.collect()
+    for name, table in (("accounts", extract.account_rows(texts)), ("inquiries", extract.inquiry_rows(texts))):
+        inside = [(r["id"], *x) for r in rows for x in r[name] or ()]
+        assert sorted(inside, key=repr) == sorted((tuple(r) for r in table.select("id", "n", *[c for c in table.columns if c not in ("id", "n")]).collect()), key=repr) and inside
+    three = ingest.analysis_request(extract.report_rows(texts), extract.account_rows(texts), extract.inquiry_rows(texts))
+    assert sorted(map(tuple, three.collect())) == sorted(map(tuple, ingest.requests(out).collect()))
