@@ -9,12 +9,13 @@ the state moves over them in order of time.
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any, NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,8 +23,8 @@ from docketry.functions import dates, steps
 from docketry.sources.shared import shared_path
 
 DAY = 86_400_000_000
-EVENT = "us long, seq long, action string, response_type string"
-STATE = "status string, round int, since long, due long, overdue_said boolean, silent_said boolean"
+EVENTS = "events string"
+STATE = "status string, round int, since long, due long, overdue_said boolean, silent_said boolean, waiting_from long, timer long"
 MOMENT = "dispute_id long, kind string, round int, us long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,47 +70,56 @@ class Dispute(NamedTuple):
 
 
 class Deadlines(StatefulProcessor):
-    """Keeps events that are not final yet in a list and the dispute in a value; one timer stands at the next moment of either."""
+    """Keeps events that are not final yet in a list and the dispute in a value; one timer stands at the next moment of either.
+
+    A row of the list holds all events that one batch brought, as JSON, and the value knows the earliest of
+    them and the timer: the list is read when the watermark has passed an event, and not before.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
+        self.waiting = handle.getListState("waiting", EVENTS)
         self.dispute = handle.getValueState("dispute", STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            self.waiting.appendList([(int(u), int(s), a, None if pd.isna(r) else r) for u, s, a, r in zip(batch["us"], batch["seq"], batch["action"], batch["response_type"], strict=True)])
-        return self._moved(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        return self._moved(key, timerValues.getCurrentWatermarkInMs())
-
-    def _moved(self, key: Any, watermark: int) -> Iterator[pd.DataFrame]:
-        """Takes all events before the watermark in order, and says what came to pass between and after them."""
-        now, until = Dispute(*self.dispute.get()) if self.dispute.exists() else Dispute(), max(watermark, 0) * 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
-        ready = [e for e in events if e[0] < until]
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        return self._moved(key, timerValues.getCurrentWatermarkInMs(), "[" + ",".join(r.event for r in rows) + "]")
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        return self._moved(key, timerValues.getCurrentWatermarkInMs(), "[]", expiredTimerInfo.getExpiryTimeInMs())
+
+    def _moved(self, key: Any, watermark: int, batch: str, gone: int | None = None) -> Iterator[Row]:
+        """Takes all events before the watermark in order, and says what came to pass between and after them; ``gone`` is a timer that Spark deletes."""
+        kept, until = self.dispute.get() or (*Dispute(), None, None), max(watermark, 0) * 1000
+        *state, stored, timer = kept
+        now, events, ready = Dispute(*state), json.loads(batch), []
+        first = min((us for us in (stored, *(e["us"] for e in events)) if us is not None), default=None)
+        if first is not None and first < until:
+            if stored is not None:
+                events += [e for (earlier,) in self.waiting.get() for e in json.loads(earlier)]
+                self.waiting.clear()
+            events.sort(key=lambda e: (e["us"], e["seq"]))
+            n = bisect_left(events, until, key=lambda e: e["us"])
+            ready, events = events[:n], events[n:]
+            first, batch = events[0]["us"] if events else None, json.dumps(events)
+        if events:
+            self.waiting.appendValue((batch,))
         out: list[tuple[str, int, int]] = []
-        for us, _, action, response in ready:
-            if (then := now.after(us, action, response)) is not now:
-                out += now.said(us)[1]
+        for e in ready:
+            if (then := now.after(e["us"], e["action"], e.get("response_type"))) is not now:
+                out += now.said(e["us"])[1]
                 now = then
         now, more = now.said(until)
         out += more
-        if ready:
-            self.waiting.clear()
-            if len(events) > len(ready):
-                self.waiting.put(events[len(ready) :])
-        if ready or more:
-            self.dispute.update(tuple(now))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        coming = [*(e[0] for e in events[len(ready) :][:1]), *now.waits().values()]
-        if coming:
-            self.handle.registerTimer(max(min(coming) // 1000 + 1, watermark + 1))
-        if out:
-            kinds, rounds, moments = zip(*out, strict=True)
-            yield pd.DataFrame({"dispute_id": key[0], "kind": kinds, "round": pd.Series(rounds, dtype="int32"), "us": moments})
+        coming = [*([] if first is None else [first]), *now.waits().values()]
+        at = max(min(coming) // 1000 + 1, watermark + 1) if coming else None
+        if at != timer:
+            if timer is not None and timer != gone:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if (*now, first, at) != tuple(kept):
+            self.dispute.update((*now, first, at))
+        return (Row(dispute_id=key[0], kind=kind, round=round_, us=us) for kind, round_, us in out)
 
     def close(self) -> None:
         pass
@@ -124,11 +134,11 @@ def moments(actions: DataFrame, late: str) -> DataFrame:
     dispute, or of actions other than the four, only move the watermark.
     """
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    timed = actions.select("dispute_id", us.alias("us"), F.timestamp_micros(us).alias("time"), "seq", "action", "response_type").withWatermark("time", late)
+    timed = actions.select("dispute_id", F.timestamp_micros(us).alias("time"), "action", F.to_json(F.struct(us.alias("us"), "seq", "action", "response_type")).alias("event")).withWatermark("time", late)
     # the key depends on the time, else the filter would go below the watermark, which other rows would no longer move
     counts = F.col("time").isNotNull() & F.col("action").isin("create", "approve", "submit", "respond")
-    log = timed.withColumn("dispute_id", F.when(counts, F.col("dispute_id"))).where(F.col("dispute_id").isNotNull())
-    out = log.groupBy("dispute_id").transformWithStateInPandas(Deadlines(), MOMENT, "Append", "EventTime")
+    log = timed.withColumn("dispute_id", F.when(counts, F.col("dispute_id"))).where(F.col("dispute_id").isNotNull()).select("dispute_id", "time", "event")
+    out = log.groupBy("dispute_id").transformWithState(Deadlines(), MOMENT, "Append", "EventTime")
     at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("us") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
     return out.select("dispute_id", "kind", "round", at.alias("moment"))
 

@@ -93,3 +93,13 @@ def test_day_by_day_with_little_lateness_repeats_nothing_and_counts_what_is_late
 def test_empty_log(spark):
     empty = spark.createDataFrame([], SCHEMA).withColumn("extra", F.lit(1))
     assert deadlines.moments_until(empty, str(END), "500 days").count() == 0
+
+
+def test_the_list_of_waiting_events_has_a_row_for_a_batch(spark, tmp_path):
+    """State grows by one row for each batch that brings events of a dispute, whatever their number."""
+    log, folder, checkpoint = events(), f"file://{tmp_path}/log", f"file://{tmp_path}/checkpoint"
+    for part in (log[::2], log[1::2]):
+        write(spark, part, folder)
+        deadlines.follow(spark, folder, f"file://{tmp_path}/out", checkpoint, "500 days")
+    rows = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    assert len(log) > 100 and rows.count() == 2 * len({e[0] for e in log})
