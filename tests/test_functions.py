@@ -243,3 +243,14 @@ def test_texts_are_read_in_their_own_row(spark):
         assert sorted(inside, key=repr) == sorted((tuple(r) for r in table.select("id", "n", *[c for c in table.columns if c not in ("id", "n")]).collect()), key=repr) and inside
     three = ingest.analysis_request(extract.report_rows(texts), extract.account_rows(texts), extract.inquiry_rows(texts))
     assert sorted(map(tuple, three.collect())) == sorted(map(tuple, ingest.requests(out).collect()))
+
+
+def test_a_value_is_read_once(spark):
+    """Blocks are read inside lambda functions, where Spark reads again whatever is named again."""
+    plan = spark.range(1).select(F.transform(F.array(F.lit("Creditor: x\n")), patterns.creditor_name).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 2  # with and without Unicode classes, one of which is run
+
+
+def test_white_space_at_both_ends(one):
+    spaces = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    assert one(patterns.stripped, f"{spaces}\u00e9 {spaces} a{spaces}") == f"\u00e9 {spaces} a" and one(patterns.stripped, spaces) == "" and one(patterns.stripped, "\u200bx\x1c") == "\u200bx\x1c"
