@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.patterns import stripped
+from docketry.functions.patterns import named, stripped
 
 VIOLATION = "struct<violation_type:string,specific_violation:string,description:string,evidence:string,legal_citation:string>"
 LISTS = ("disputable_accounts", "non_disputable_accounts", "disputable_inquiries")
@@ -109,9 +109,12 @@ def gain_shown(summaries: DataFrame) -> DataFrame:
 
 def json_text(c: Column) -> Column:
     """A string as JSON with all but printable ASCII escaped, null where it is null."""
-    quoted = c
-    for plain, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        quoted = F.replace(quoted, F.lit(plain), F.lit(said))
+
+    def said(x: Column, *signs: tuple[str, str]) -> Column:
+        for plain, letter in signs:
+            x = F.replace(x, F.lit(plain), F.lit("\\" + letter))
+        return x
+
     code = lambda h: F.concat(F.lit("\\u"), h)
 
     def escaped(x: Column) -> Column:
@@ -119,8 +122,12 @@ def json_text(c: Column) -> Column:
         both = F.when(F.char_length(units) > 4, F.concat(code(F.left(units, F.lit(4))), code(F.right(units, F.lit(4))))).otherwise(code(units))
         return F.when((x >= " ") & (x <= "~"), x).otherwise(both)
 
-    out = F.when(quoted.rlike("[^ -~]"), F.array_join(F.transform(F.split(quoted, ""), escaped), "")).otherwise(quoted)
-    return F.when(c.isNotNull(), F.concat(F.lit('"'), out, F.lit('"')))
+    # mostly there is nothing to escape, or line ends alone; each step is named, as a lambda function reads again what is named again
+    rest = lambda x: F.when(x.rlike("[^ -~]"), F.array_join(F.transform(F.split(x, ""), escaped), "")).otherwise(x)
+    signs = lambda x: F.when(x.rlike("[^ -~\n]"), named(said(x, ("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")), rest)).otherwise(said(x, ("\n", "n")))
+    lines = lambda x: F.when(x.rlike("[^ -~]"), signs(x)).otherwise(x)
+    quoted = lambda x: F.when(x.rlike(r'["\\]'), said(x, ("\\", "\\"), ('"', '"'))).otherwise(x)
+    return F.concat(F.lit('"'), named(named(c, quoted), lines), F.lit('"'))
 
 
 def json_amount(c: Column) -> Column:
@@ -132,13 +139,13 @@ def json_lines(entries: list[tuple[str, Column]], depth: int) -> Column:
     """An object with an entry on each line, two spaces deeper than ``depth``; entries without a value are left out."""
     pad = "\n" + "  " * (depth + 1)
     given = F.array_compact(F.array(*(F.concat(F.lit(f'{pad}"{name}": '), value) for name, value in entries)))
-    return F.when(F.size(given) == 0, "{}").otherwise(F.concat(F.lit("{"), F.array_join(given, ","), F.lit("\n" + "  " * depth + "}")))
+    return named(given, lambda g: F.when(F.size(g) == 0, "{}").otherwise(F.concat(F.lit("{"), F.array_join(g, ","), F.lit("\n" + "  " * depth + "}"))))
 
 
 def json_list(items: Column, depth: int) -> Column:
     """A list of JSON texts, each on a line."""
     pad = "\n" + "  " * (depth + 1)
-    return F.when(F.coalesce(F.size(items), F.lit(0)) < 1, "[]").otherwise(F.concat(F.lit("[" + pad), F.array_join(items, "," + pad), F.lit("\n" + "  " * depth + "]")))
+    return named(items, lambda i: F.when(F.coalesce(F.size(i), F.lit(0)) < 1, "[]").otherwise(F.concat(F.lit("[" + pad), F.array_join(i, "," + pad), F.lit("\n" + "  " * depth + "]"))))
 
 
 ACCOUNT_KEYS = (

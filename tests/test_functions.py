@@ -254,3 +254,60 @@ def test_a_value_is_read_once(spark):
 def test_white_space_at_both_ends(one):
     spaces = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
     assert one(patterns.stripped, f"{spaces}\u00e9 {spaces} a{spaces}") == f"\u00e9 {spaces} a" and one(patterns.stripped, spaces) == "" and one(patterns.stripped, "\u200bx\x1c") == "\u200bx\x1c"
+
+
+def test_json_names_each_value_once(spark):
+    """What is named again is read again, in lambda functions and out of them: once for each level of the text."""
+    from docketry.operators import ingest
+
+    item = ingest.json_lines([("a", ingest.json_text(F.col("value")))], 1)
+    text = spark.sql("SELECT 'x\ny' AS value").select(ingest.json_list(F.array(item), 0).alias("out"))
+    assert text._jdf.queryExecution().analyzed().toString().count("value#") == 2  # where it is made and where it is read
+    assert text.first()[0] == '[\n  {\n    "a": "x\\ny"\n  }\n]'
+
+
+def test_texts_are_dealt_out_after_their_join(spark):
+    """A join of narrow rows by shuffles would leave few tasks for the texts."""
+    from docketry.plans import views
+
+    plan = views.report_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition") < plan.index("Join")
+
+
+ODD = (
+    "", "CREDITOR: \u00c9pargne\nname x", "Cred\u0130tor: A\ncred\u0131tor: B\nCREDITOR: C\n", "\u017ftatus: a\nStatu\u017f: b\n", "\U0001f600\U0001f600 \u212aey, balance:\u00a0$5 Balance:\u2003$7,000.25\nx", "opened  closed opened 2019 Opened: May 2020",
+    "Date\nClosed\n:\n\n" + " " * 900 + "June\n 2011 and more", "Closed: " + "w" * 900 + " 2001\nclosed: July 2002", "balance: " + "1" * 395 + ".25 and more, Balance: 3", "Balance: none\nBalance: " + "\u00e9" * 500 + "\nBalance: 12.5" + "z" * 900,
+    "Creditor: " + "long " * 200 + "account\nCompany: B\n", "Type: " + "\u1680" * 500 + "Revolving\n", "Account Type:\nstatus balance\nPayment Status: Open date", "acct ## XX-12 account\u2003number: 1234567", "\x01\x01balance\x01 5 balance: 6",
+)
+
+
+def test_labels_are_found_in_the_folded_text_as_in_the_text(spark):
+    """Values of labels, located in the folded text and read near by, are those of the plain pattern over the whole text."""
+    text = F.col("text")
+    texts = spark.createDataFrame([(t + more,) for t in ODD for more in ("", "\nmore \u00e9 text" * 60)], "text string")
+    folded = [r[0] for r in texts.select(patterns.folded(text)).collect()]
+    assert all(len(f) == len(r["text"]) and f.isascii() for f, r in zip(folded, texts.collect(), strict=True)) and folded[4] == "cred\x01tor: a".replace("\x01", "i") + "\ncreditor: b\ncreditor: c\n"
+    plain = lambda pattern, flags=patterns.IGNORE_CASE: F.get(F.regexp_extract_all(text, F.lit(f"{flags}(?:{pattern})(?s:.*)"), F.lit(1)), F.lit(0))
+    after = lambda labels, value, sep=patterns.SEPARATOR: plain("(?:" + "|".join(map(patterns.spaced, labels)) + f"){sep}({value})")
+    cases = {
+        "number": (patterns.account_number(text), patterns.stripped(plain(patterns.ACCOUNT_NUMBER))),
+        "balance": (patterns.amount_text(text, ("balance", "amount owed")), after(("balance", "amount owed"), patterns.AMOUNT, patterns.SEPARATOR + r"\$?")),
+        **{n: (patterns.after_label(text, x, patterns.MONTH_DATE), after(x, patterns.MONTH_DATE)) for n, x in patterns.DATE_LABELS.items()},
+        "creditor": (patterns.creditor_name(text), patterns.stripped(plain(r"(?:creditor|company|lender|collection\s+agency)[:\s]+(.+?)(?:\n|account)"))),
+        "type": (patterns.up_to(text, ("account type", "type"), ("status", "balance")), patterns.stripped(plain(r"(?:account\s+type|type)[:\s]+(.+?)(?:\n|status|balance)"))),
+        "status": (patterns.status_text(text), F.lower(patterns.stripped(plain(r"(?:account\s+status|status|payment\s+status)[:\s]+(.+?)(?:\n|date|balance)")))),
+    }
+    for r in texts.select("text", *(F.struct(a.alias("a"), b.alias("b")).alias(n) for n, (a, b) in cases.items())).collect():
+        for n in cases:
+            assert r[n]["a"] == r[n]["b"], (n, r["text"])
+
+
+def test_many_blocks_are_cut_as_few_are(spark):
+    """Account blocks and inquiries of texts that are long, or hold other white space and letters than ASCII."""
+    block, tail = "Cred\u0131tor\u00a0: Bank \u00c9 of the town and of all \U0001f600 villages\nAcct: XXXX-1234\nBalance: $%d\n", "Hard\u2003Inquiries\n\nChase Bank of Town date: 03/15/2023\n\n\nOther Lender \u00e9 06/01/2022\nAccounts of old"
+    texts = spark.createDataFrame([(n, "".join(block % i for i in range(n)) + tail + "\nmore \u00e9 text" * 3000) for n in (1, 3, 70)], "id long, text string")
+    rows = extract.parsed_rows(texts).collect()
+    assert [[a["balance"] for a in r["accounts"]] for r in rows] == [[float(i) for i in range(r["id"])] for r in rows]
+    for r, t in zip(rows, texts.collect(), strict=True):
+        assert "".join(a["raw_block"] for a in r["accounts"]) == t["text"]
+        assert [(i["raw_block"], i["inquiry_date"]) for i in r["inquiries"]] == [("Chase Bank of Town date: 03/15/2023", "03/15/2023"), ("Other Lender \u00e9 06/01/2022\n", "06/01/2022")]
